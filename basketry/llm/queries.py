@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, chat, warc
+from basketry.llm import bpe, chat, substring_dedup, suffix_dedup, warc
 from basketry.llm.common import shared_dir, table
 
 #: The conversation that op9 adds: it says what the template itself uses as marks.
@@ -26,6 +26,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=200)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"), width=35)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", FORGED), (-7, 1, "assistant", FORGED)], rows.schema)
@@ -35,6 +43,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_bpe": op3_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_chat": op9_chat,
 }
 
@@ -47,6 +57,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f""",
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT r, i, hash(array_to_string(w[i:i + 34], ' ')) AS a, md5(array_to_string(w[i:i + 34], ' ')) AS b FROM s),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY a, b) AS n FROM h) WHERE n > 1),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM m),
+x AS (SELECT r, count(*) AS n_removed, list(i) AS gone FROM g GROUP BY r),
+p AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT p.r, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN g ON p.r = g.r AND p.i = g.i GROUP BY p.r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(x.n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN x ON d.r = x.r LEFT JOIN k ON d.r = k.r""",
     "op9_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
