@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, chat, quality, substring_dedup, suffix_dedup, toxicity, warc
+from basketry.llm import bpe, chat, ngram_join, quality, substring_dedup, suffix_dedup, toxicity, warc
 from basketry.llm.common import shared_dir, table, written
 
 #: The conversation that op9 adds: it says what the template itself uses as marks.
@@ -24,6 +24,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, path)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=5, threshold=0.75)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +62,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_ngram_join": op2_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_toxicity": op6_toxicity,
