@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, chat, ngram_join, quality, substring_dedup, suffix_dedup, toxicity, warc
+from basketry.llm import bpe, chat, decontam, ngram_join, quality, substring_dedup, suffix_dedup, toxicity, warc
 from basketry.llm.common import shared_dir, table, written
 
 #: The conversation that op9 adds: it says what the template itself uses as marks.
@@ -60,6 +60,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.unionByName(extra)))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", F.col("l.item").alias("item_id"), "l.score", F.col("l.question").alias("question_overlap"), F.col("l.answer").alias("answer_overlap"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_join": op2_ngram_join,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat": op9_chat,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {

@@ -19,6 +19,11 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: What parts words made of ASCII letters, digits and all bytes above ASCII.
+NOT_ALNUM = np.ones(256, bool)
+for _low, _high in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    NOT_ALNUM[_low:_high] = False
+
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
 #: Bytes of text hashed in one go.
@@ -69,6 +74,15 @@ def column_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - first
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and Latin-1 letters, byte for byte."""
+    out = LOWER[data]
+    if len(out) > 1:
+        capital = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+        out[1:][capital] += 32
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about limit bytes of the column's text; a longer text stands alone."""
     array = batch.column(batch.schema.get_field_index(column))

@@ -35,11 +35,8 @@ LEARNED, LEAST_TEXTS = 1500, 4
 BEGINNINGS = range(4, 9)
 
 #: Letters, digits, marks that stand for letters and all bytes above ASCII are part of a word.
-SEPARATOR = np.ones(256, bool)
-for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    SEPARATOR[_a:_b] = False
-for _c in b"@$*":
-    SEPARATOR[_c] = False
+SEPARATOR = ts.NOT_ALNUM.copy()
+SEPARATOR[list(b"@$*")] = False
 _QUOTES = np.zeros(256, bool)
 _QUOTES[list(b"\"`>")] = True
 
@@ -159,15 +156,6 @@ class Matcher:
         return out[inverse]
 
 
-def folded(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and Latin-1 letters, byte for byte."""
-    out = ts.LOWER[data]
-    if len(out) > 1:
-        capital = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
-        out[1:][capital] += 32
-    return out
-
-
 def _hash_of(words: tuple[str, ...]) -> np.ndarray:
     raw = [w.encode() for w in words]
     ends = np.cumsum([len(w) for w in raw])
@@ -179,7 +167,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, matcher: Matcher) -> np.ndarr
     n = len(offsets) - 1
     out = np.zeros((n, 4))
     out[:, 0] = 1
-    low = folded(data)
+    low = ts.folded(data)
     starts, ends, doc = ts.words(low, offsets, SEPARATOR)
     if not len(starts):
         return out
