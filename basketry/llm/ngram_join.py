@@ -21,11 +21,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm import textscan as ts
-from basketry.llm.common import buckets_for, small_batches, text_or_empty, written
+from basketry.llm.common import buckets_for, content_key, small_batches, text_or_empty, written
 from basketry.llm.components import components
 
 #: Halves in a band, as a share of its greatest size.
@@ -285,6 +285,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     return label.join(least, "__c", "left").select(F.col("__key").alias(key), "n_shingles", F.coalesce("least", "__key").alias("component_id"))
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.75) -> DataFrame:
+    """docs with one row of each group of linked rows: that with the smallest key.
+
+    Rows that link with nothing stay, null and empty texts included; of rows that repeat both key and text one stays.  Rows and
+    columns that stay are unchanged.
+    """
+    groups = join(docs, key, text, n, threshold)
+    stay = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k")).distinct()
+    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    first = Window.partitionBy(key, content_key(F.coalesce(F.concat(F.lit("1"), F.col(text)), F.lit("")))).orderBy(F.lit(1))
+    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+
+
 def _missed(texts: DataFrame, rows: DataFrame, pairs: DataFrame, edges: DataFrame, labels: DataFrame, n: int, threshold: Fraction, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Edges and labels with the links that stars alone may have missed.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, chat, decontam, ngram_join, quality, substring_dedup, suffix_dedup, toxicity, warc
+from basketry.llm import bpe, chat, decontam, ngram_join, permutation_index, quality, substring_dedup, suffix_dedup, toxicity, warc
 from basketry.llm.common import shared_dir, table, written
 
 #: The conversation that op9 adds: it says what the template itself uses as marks.
@@ -38,6 +38,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=200)
 
 
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     lexicon = toxicity.learn(written(toxicity.sample(docs, labels, "toxic", fold=(4, 2))))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_permutation_index": op5_permutation_index,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
