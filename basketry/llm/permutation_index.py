@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import shared_dir, small_batches, written
 
-#: Pivots: a sample of so many distinct vectors, those with the smallest hashes.  Positions fit in a byte.
-PIVOTS = 256
+#: Pivots, whose positions fit in a byte, and distinct vectors (those with the smallest hashes) that they are chosen from.
+PIVOTS, SAMPLE = 256, 2048
 #: A query reads the lists of so many of its nearest pivots.
-LISTS = 64
+LISTS = 128
 #: The share of each segment that is ranked again, and the least number.
-SHARE, LEAST = 0.025, 96
+SHARE, LEAST = 0.05, 128
 PAGE, SEGMENT = 256, 4096
 #: Distinct queries in a block.
 BLOCK = 8192
@@ -57,14 +57,22 @@ def positions(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_pivots(rows: DataFrame, count: int = PIVOTS) -> np.ndarray:
-    """count distinct vectors at most, of the length that most of the sampled ones have."""
-    found = [r["e"] for r in rows.groupBy("h", "g").agg(F.first("e").alias("e")).orderBy("h", "g").limit(count).collect()]
+def choose_pivots(rows: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
+    """count distinct vectors at most: of a bounded sample, each the farthest from those chosen before it.
+
+    So a dense group of near copies doesn't take many pivots.  They have the length that most of the sample has.
+    """
+    found = [r["e"] for r in rows.groupBy("h", "g").agg(F.first("e").alias("e")).orderBy("h", "g").limit(sample).collect()]
     if not found:
         return np.zeros((0, 0))
-    lengths = np.array([len(x) for x in found])
-    usual = np.bincount(lengths).argmax()
-    return np.array([x for x in found if len(x) == usual], np.float64)
+    usual = np.bincount([len(x) for x in found]).argmax()
+    known = np.array([x for x in found if len(x) == usual], np.float64)
+    chosen = [0]
+    gap = ((known - known[0]) ** 2).sum(1)
+    while len(chosen) < count and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((known - known[chosen[-1]]) ** 2).sum(1))
+    return known[chosen]
 
 
 def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> tuple[DataFrame, np.ndarray]:
@@ -76,7 +84,7 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     """
     small_batches(vectors.sparkSession)
     rows = _rows(vectors, key, vector)
-    pivots = sample_pivots(rows)
+    pivots = choose_pivots(rows)
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
     rows = rows.filter(F.size("e") == pivots.shape[1]).dropDuplicates(["h", "g", "id"])
     order = Window.partitionBy("h", "g").orderBy("id")
