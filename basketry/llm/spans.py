@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import textscan as ts
-from basketry.llm.common import content_key, small_batches, text_or_empty
+from basketry.llm.common import content_key, small_batches, text_or_empty, written
 
 #: What a map task sends to a bucket: data of a batch, or (with what = 1) the batch's directory.
 SENT = "bucket int, batch long, what int, a binary, b binary, c binary"
@@ -105,7 +105,8 @@ def found_spans(keyed_docs: DataFrame, emit: Emit, judge: Judge, buckets: int) -
     sent = keyed_docs.select("__text", "__key").mapInArrow(send, SENT)
     answers = sent.groupBy("bucket").applyInArrow(answer, ANSWER)
     spans = answers.groupBy("batch").applyInArrow(gather, "__key binary, __spans binary")
-    return spans.groupBy("__key").agg(F.max("__spans").alias("__spans"))
+    # written, so that Spark can split the later join where one text has many copies
+    return written(spans.groupBy("__key").agg(F.max("__spans").alias("__spans")))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -10,17 +10,18 @@ quotation and report take from it.  A logistic layer, fitted to the labels, turn
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm import textscan as ts
-from basketry.llm.common import small_batches
+from basketry.llm.common import small_batches, written
 
 #: Terms that are abusive whatever the labels say.
 GIVEN = ("idiot", "moron", "stupid", "worthless", "pathetic", "disgusting", "loser", "scum", "trash", "clown", "imbecile", "filth", "vermin", "retard", "bastard", "bitch")
@@ -32,6 +33,8 @@ WINDOW = 10
 SAMPLE = 4000
 #: Terms and beginnings that are learned, at most, and in how many toxic texts each must be.
 LEARNED, LEAST_TEXTS = 1500, 4
+#: A learned term is in this share of the toxic texts at least.
+LEAST_SHARE = 0.015
 BEGINNINGS = range(4, 9)
 
 #: Letters, digits, marks that stand for letters and all bytes above ASCII are part of a word.
@@ -41,37 +44,76 @@ _QUOTES = np.zeros(256, bool)
 _QUOTES[list(b"\"`>")] = True
 
 
-class LevenshteinAutomaton:
-    """Accepts what is within limit insertions, deletions, substitutions and swaps of neighbours of word.
+class Automaton:
+    """The words within some errors of a term of the lexicon: Levenshtein automata on its trie, made deterministic.
 
-    A state is the sparse row of edit distances not above limit, with the row before it for swaps.
+    A position is a node of the trie, the errors left, and the letter that an open swap of neighbours waits for.  A state
+    is the set of positions that a word's letters lead to; states and steps are made when a word first needs them.
     """
 
-    def __init__(self, word: str, limit: int):
-        self.word, self.limit = word, limit
+    def __init__(self, tries: dict[int, dict], most: int = 200_000):
+        self.tries, self.most = tries, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[frozenset, int] = {}
+        self.positions: list[dict] = []
+        self.steps: list[dict[str, int]] = []
+        self.worth: list[float] = []
+        self.made = 0
+        self.start = self.state({(id(root), left, ""): (root, left) for left, root in self.tries.items()})
+
+    def state(self, found: dict) -> int:
+        """The number of the state with these positions and those that missing letters lead to."""
+        todo = list(found.items())
+        while todo:
+            (_, left, wait), (node, limit) = todo.pop()
+            if left and not wait:
+                for c, child in node.items():
+                    key = (id(child), left - 1, "")
+                    if c and key not in found:
+                        found[key] = (child, limit)
+                        todo.append((key, found[key]))
+        name = frozenset(found)
+        if name not in self.ids:
+            self.ids[name] = len(self.positions)
+            self.positions.append(found)
+            self.steps.append({})
+            ends = [node[""][1] * 0.6 ** (limit - left) for (_, left, wait), (node, limit) in found.items() if "" in node and not wait]
+            self.worth.append(max(ends, default=0.0))
+        return self.ids[name]
+
+    def step(self, state: int, letter: str) -> int:
+        found: dict = {}
+        for (_, left, wait), (node, limit) in self.positions[state].items():
+            if wait:
+                if wait == letter:
+                    found[id(node), left, ""] = (node, limit)
+                continue
+            if letter in node:
+                found[id(node[letter]), left, ""] = (node[letter], limit)
+            if left:
+                found[id(node), left - 1, ""] = (node, limit)
+                for c, child in node.items():
+                    if c and c != letter:
+                        found[id(child), left - 1, ""] = (child, limit)
+                        if letter in child:
+                            found[id(child[letter]), left - 1, c] = (child[letter], limit)
+        after = self.steps[state][letter] = self.state(found)
+        self.made += 1
+        return after
 
-    def start(self) -> tuple:
-        return ({i: i for i in range(min(self.limit, len(self.word)) + 1)}, {}, "")
-
-    def step(self, state: tuple, c: str) -> tuple:
-        row, prior, last = state
-        word, limit, new = self.word, self.limit, {}
-        for i in range(min(row) if row else 0, min(len(word), max(row) + 1 + limit) + 1 if row else 0):
-            best = row.get(i, limit) + 1
-            if i:
-                best = min(best, new.get(i - 1, limit) + 1, row.get(i - 1, limit + 1) + (word[i - 1] != c))
-                if i > 1 and word[i - 1] == last and word[i - 2] == c:
-                    best = min(best, prior.get(i - 2, limit) + 1)
-            if best <= limit:
-                new[i] = best
-        return new, row, c
-
-    def accepts(self, state: tuple) -> int | None:
-        """The number of errors, if the word is accepted here."""
-        return state[0].get(len(self.word))
-
-    def alive(self, state: tuple) -> bool:
-        return bool(state[0])
+    def weight(self, word: str) -> float:
+        """The greatest worth of a term that the word is, less for errors; 0 if it is none."""
+        if self.made > self.most:
+            self.clear()
+        steps, positions, state = self.steps, self.positions, self.start
+        for c in word:
+            after = steps[state].get(c)
+            state = self.step(state, c) if after is None else after
+            if not positions[state]:
+                return 0.0
+        return self.worth[state]
 
 
 def trie(terms: dict[str, float]) -> dict:
@@ -84,23 +126,6 @@ def trie(terms: dict[str, float]) -> dict:
     return root
 
 
-def intersect(word: str, root: dict, limit: int) -> Iterator[tuple[str, float, int]]:
-    """Terms of the trie within limit errors of the word: (term, weight, errors)."""
-    automaton = LevenshteinAutomaton(word, limit)
-    stack = [(root, automaton.start())]
-    while stack:
-        node, state = stack.pop()
-        for c, child in node.items():
-            if c == "":
-                errors = automaton.accepts(state)
-                if errors is not None:
-                    yield child[0], child[1], errors
-            else:
-                after = automaton.step(state, c)
-                if automaton.alive(after):
-                    stack.append((child, after))
-
-
 def errors_allowed(length: int) -> int:
     """Errors that a term of so many letters may have: short ones are too close to other words."""
     return 0 if length < 5 else 1 if length < 8 else 2
@@ -112,6 +137,7 @@ class Lexicon:
 
     terms: dict[str, float]
     beginnings: dict[str, float]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
     layer: np.ndarray = field(default_factory=lambda: np.array([-3.0, 1.0, 1.0, 0.5]))
 
 
@@ -120,12 +146,7 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.tries = {limit: trie({t: w for t, w in lexicon.terms.items() if errors_allowed(len(t)) == limit}) for limit in (1, 2)}
-        self.ends: dict[int, set[tuple[int, bool, str]]] = {1: set(), 2: set()}
-        for t in lexicon.terms:
-            limit = errors_allowed(len(t))
-            if limit:
-                self.ends[limit] |= {(len(t), False, t[:2]), (len(t), True, t[-2:])}
+        self.automaton = Automaton({limit: trie({t: w for t, w in lexicon.terms.items() if errors_allowed(len(t)) == limit}) for limit in (1, 2)})
         self.seen: dict[int, float] = {}
 
     def weight(self, word: str) -> float:
@@ -133,14 +154,7 @@ class Matcher:
         if exact:
             return exact
         best = max((self.lexicon.beginnings.get(word[:n], 0.0) for n in BEGINNINGS if len(word) >= n), default=0.0)
-        for limit, root in self.tries.items():
-            # with limit errors at most, the first or the last letters are right unless both ends are wrong; one
-            # error leaves one end whole, and of words with two errors those with an end right are looked for
-            near = any((len(word) + d, end, part) in self.ends[limit] for d in range(-limit, limit + 1) for end, part in ((False, word[:2]), (True, word[-2:])))
-            if near:
-                for _, w, errors in intersect(word, root, limit):
-                    best = max(best, w * 0.6**errors)
-        return best
+        return max(best, self.automaton.weight(word))
 
     def weights(self, hashes: np.ndarray, spelled) -> np.ndarray:
         """Of words by hash; spelled(i) spells the i-th."""
@@ -156,6 +170,17 @@ class Matcher:
         return out[inverse]
 
 
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(lexicon: Lexicon) -> Matcher:
+    """The matcher of a lexicon, made once in each Python worker: what it remembers serves later tasks too."""
+    if lexicon.name not in _matchers:
+        _matchers.clear()
+        _matchers[lexicon.name] = Matcher(lexicon)
+    return _matchers[lexicon.name]
+
+
 def _hash_of(words: tuple[str, ...]) -> np.ndarray:
     raw = [w.encode() for w in words]
     ends = np.cumsum([len(w) for w in raw])
@@ -204,6 +229,34 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id",
     return docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__k").dropDuplicates(["__k"])
 
 
+def distinct(examples: DataFrame) -> DataFrame:
+    """examples without near copies: of texts with the same smallest hash of four words in a row, one stays.
+
+    Three hash functions are used one after the other.  Copies of one text would otherwise make its rare words look like marks
+    of its class.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ts.column_bytes(batch.column(2))
+            starts, ends, doc = ts.words(ts.folded(data), offsets)
+            rolled = ts.window_hashes(ts.span_hashes(ts.folded(data), starts, ends), 4)
+            inside = np.flatnonzero(doc[: len(rolled)] == doc[3:]) if len(rolled) else np.zeros(0, np.int64)
+            least = np.repeat(batch.column(0).to_numpy()[:, None], 3, 1)
+            for k in range(3):
+                mixed = (ts.mix(rolled[inside] ^ np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(1)).astype(np.int64)
+                smallest = np.full(batch.num_rows, np.iinfo(np.int64).max)
+                np.minimum.at(smallest, doc[inside], mixed)
+                least[:, k] = np.where(smallest < np.iinfo(np.int64).max, smallest, least[:, k])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(least[:, k]) for k in range(3))], [*batch.schema.names, "m0", "m1", "m2"])
+
+    out = examples.select(F.col("__k").cast("long"), "__y", "__text").mapInArrow(run, "__k long, __y int, __text string, m0 long, m1 long, m2 long")
+    for k in range(3):
+        order = Window.partitionBy("__y", f"m{k}").orderBy("__k")
+        out = out.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    return written(out.select("__k", "__y", "__text"))
+
+
 def _counted(examples: DataFrame) -> DataFrame:
     """Per word or beginning (with a trailing blank if a whole word): texts of either class that hold it."""
 
@@ -228,13 +281,14 @@ def learn(examples: DataFrame) -> Lexicon:
     come to the driver.  Without examples of both classes the given terms stand alone.
     """
     small_batches(examples.sparkSession)
+    examples = distinct(examples)
     size = {r["__y"]: r["n"] for r in examples.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     lexicon = Lexicon({t: 3.0 for t in GIVEN}, {})
     if not toxic or not clean:
         return lexicon
     worth = F.log(((F.col("toxic") + 0.5) / toxic) / ((F.col("clean") + 0.5) / clean))
-    found = _counted(examples).withColumn("worth", worth).filter((F.col("toxic") >= LEAST_TEXTS) & (F.col("worth") > 1.5)).orderBy((F.col("worth") * F.sqrt("toxic")).desc(), "term").limit(LEARNED).collect()
+    found = _counted(examples).withColumn("worth", worth).filter((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)) & (F.col("worth") > 2.5)).orderBy((F.col("worth") * F.sqrt("toxic")).desc(), "term").limit(LEARNED).collect()
     whole = {r["term"][:-1]: r for r in found if r["term"].endswith(" ")}
     for r in sorted((r for r in found if not r["term"].endswith(" ")), key=lambda r: len(r["term"])):
         if not any(r["term"][:n] in lexicon.beginnings for n in BEGINNINGS if n < len(r["term"])):
@@ -254,7 +308,7 @@ def learn(examples: DataFrame) -> Lexicon:
 
 def _features(examples: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(lexicon)
+        matcher = matcher_of(lexicon)
         for batch in batches:
             x = windows(*ts.column_bytes(batch.column(1)), matcher)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(1, 4))], ["y", "a", "b", "c"])
@@ -285,7 +339,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "sco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        matcher = Matcher(known)
+        matcher = matcher_of(known)
         for whole in batches:
             for batch in ts.slices(whole, text, ts.SEGMENT):
                 x = windows(*ts.column_bytes(batch.column(batch.schema.get_field_index(text))), matcher)
