@@ -9,7 +9,8 @@ for t = 3/4); empty halves aren't signed.  Sets of small bands sign each element
 
 A signature that few sets share gives all their pairs.  One that many share gives a star around its least set only;
 the sets that could lose a link by this (those with as many such signatures as a link has at least in common) are
-joined again among themselves, with all pairs of what the first pass left unconnected.  Each pair is verified on the sets.
+joined again among themselves, with all pairs of what the first pass left unconnected.  Pairs found by fewer signatures than any
+link shares are dropped (a lossless count filter); each of the others is verified on the sets.
 """
 
 from __future__ import annotations
@@ -151,7 +152,8 @@ def described(docs: DataFrame, text: str, n: int, threshold: Fraction) -> DataFr
 
 
 def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int, only: Broadcast | None = None) -> DataFrame:
-    """Pairs x < y of set names that share a signature, and hot: the signatures for which x is the centre of y's star.
+    """Pairs x < y of set names that share a signature; hot: the signatures for which x is the centre of y's star; n: all
+    that the pair was found by.
 
     only: a filter of the sets to join, all pairs of which are given.
     """
@@ -189,15 +191,15 @@ def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int, onl
         signs = np.zeros((sum(len(x.as_py()) for x in group.column("signs")) // 5, 8), np.uint8)
         signs[:, :5] = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint8).reshape(-1, 5)
         names = np.repeat(np.frombuffer(b"".join(group.column("names").to_pylist()), "<i8"), np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4"))
-        x, y, hot = paired(signs.view("<u8").ravel(), names, few)
-        return pa.table({"x": x, "y": y, "hot": hot}, schema=pa.schema([("x", pa.int64()), ("y", pa.int64()), ("hot", pa.int64())]))
+        x, y, hot, n = paired(signs.view("<u8").ravel(), names, few)
+        return pa.table({"x": x, "y": y, "hot": hot, "n": n}, schema=pa.schema([(c, pa.int64()) for c in ("x", "y", "hot", "n")]))
 
     sent = texts.select("__text").mapInArrow(send, "bucket int, signs binary, names binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(pair, "x long, y long, hot long").groupBy("x", "y").agg(F.sum("hot").alias("hot"))
+    return sent.groupBy("bucket").applyInArrow(pair, "x long, y long, hot long, n long").groupBy("x", "y").agg(F.sum("hot").alias("hot"), F.sum("n").alias("n"))
 
 
-def paired(signs: np.ndarray, names: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of names that share a sign, and for how many signs the pair is part of a star."""
+def paired(signs: np.ndarray, names: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of names that share a sign, for how many signs the pair is part of a star, and for how many at all."""
     order = np.argsort(signs, kind="stable")
     signs, names = signs[order], names[order]
     alone = np.ones(len(signs), bool)
@@ -230,7 +232,20 @@ def paired(signs: np.ndarray, names: np.ndarray, few: int) -> tuple[np.ndarray,
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     first = np.flatnonzero(new)
-    return x[first], y[first], np.add.reduceat(hot, first) if len(first) else hot
+    return x[first], y[first], np.add.reduceat(hot, first) if len(first) else hot, np.diff(np.append(first, len(x)))
+
+
+def _likely(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """The pairs that may be links: found by as many signatures as any link of either set shares at least.
+
+    Signatures for which both sets are members of a third one's star don't show in the pair; they are no more than either
+    set's memberships, which are added.  So no link is lost.
+    """
+    member = pairs.filter("hot > 0").groupBy("y").agg(F.sum("hot").alias("h"))
+    known = least.join(member.withColumnRenamed("y", "node"), "node", "left").select("node", "t", F.coalesce("h", F.lit(0)).alias("h"))
+    of = lambda c: known.select(F.col("node").alias(c), F.col("t").alias(f"t{c}"), F.col("h").alias(f"h{c}"))
+    hidden = F.least(F.col("hx"), F.col("hy") - F.col("hot"))
+    return pairs.join(of("x"), "x").join(of("y"), "y").filter(F.col("n") + hidden >= F.greatest("tx", "ty")).select("x", "y")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -277,9 +292,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     rows = written(described(docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")), "__t", n, limit))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets_for(texts, F.col("__text")) // 2)
     pairs = written(_candidates(texts, n, limit, buckets))
-    edges = written(_verified(texts, pairs, n, limit))
+    least = written(rows.filter("n_shingles > 0").groupBy(F.col("__set").alias("node")).agg(F.min("__least").alias("t")))
+    edges = written(_verified(texts, written(_likely(pairs, least)), n, limit))
     labels = written(components(edges))
-    edges, labels = _missed(texts, rows, pairs, edges, labels, n, limit, buckets)
+    edges, labels = _missed(texts, least, pairs, edges, labels, n, limit, buckets)
     label = rows.join(labels.withColumnRenamed("node", "__set"), "__set", "left").withColumn("__c", F.when(F.col("n_shingles") > 0, F.coalesce("label", "__set")))
     least = label.filter("__c is not null").groupBy("__c").agg(F.min("__key").alias("least"))
     return label.join(least, "__c", "left").select(F.col("__key").alias(key), "n_shingles", F.coalesce("least", "__key").alias("component_id"))
@@ -298,7 +314,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
-def _missed(texts: DataFrame, rows: DataFrame, pairs: DataFrame, edges: DataFrame, labels: DataFrame, n: int, threshold: Fraction, buckets: int) -> tuple[DataFrame, DataFrame]:
+def _missed(texts: DataFrame, least: DataFrame, pairs: DataFrame, edges: DataFrame, labels: DataFrame, n: int, threshold: Fraction, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Edges and labels with the links that stars alone may have missed.
 
     If a link's two sets are in different components, all signatures that they share gave stars, in each of which
@@ -309,15 +325,14 @@ def _missed(texts: DataFrame, rows: DataFrame, pairs: DataFrame, edges: DataFram
     lx, ly = labels.select(F.col("node").alias("x"), F.col("label").alias("cx")), labels.select(F.col("node").alias("y"), F.col("label").alias("cy"))
     far = hot.join(lx, "x", "left").join(ly, "y", "left").withColumn("apart", F.coalesce("cx", "x") != F.coalesce("cy", "y"))
     member = far.groupBy("y").agg(F.sum("hot").alias("h"), F.sum(F.when(F.col("apart"), F.col("hot")).otherwise(0)).alias("u"))
-    centre = far.groupBy("x").agg(F.max(F.when(F.col("apart"), 1).otherwise(0)).alias("c"))
-    least = rows.filter("n_shingles > 0").groupBy(F.col("__set").alias("node")).agg(F.min("__least").alias("t"))
     # a centre's own signatures link it to every member directly, so only members can lose a link
     lost = written(least.join(member.withColumnRenamed("y", "node"), "node").filter("h >= t and 2 * u >= t").select("node"))
     if lost.isEmpty():
         return edges, labels
     open_sets = least.join(member.withColumnRenamed("y", "node"), "node").filter("h >= t").select("node")
     again = _candidates(texts, n, threshold, buckets, _filter(open_sets))
-    again = again.join(lx, "x", "left").join(ly, "y", "left").filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+    again = again.join(lx, "x", "left").join(ly, "y", "left").filter(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
+    again = _likely(again.withColumn("hot", F.lit(0)), least)
     again = written(again.join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
     if again.isEmpty():
         return edges, labels
