@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, tuple[Query, str | None]]:
-    from basketry.plans import prices
+    from basketry.plans import household, prices
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (prices,):
+    for module in (prices, household):
         found |= module.QUERIES
     return found
