@@ -9,7 +9,7 @@ for t = 3/4); empty halves aren't signed.  Sets of small bands sign each element
 
 A signature that few sets share gives all their pairs.  One that many share gives a star around its least set only;
 the sets that could lose a link by this (those with as many such signatures as a link has at least in common) are
-joined again among themselves, with all pairs of what the first pass left unconnected.  Pairs found by fewer signatures than any
+joined again among themselves, by their rarest elements, as far as the first pass left them unconnected.  Pairs found by fewer signatures than any
 link shares are dropped (a lossless count filter); each of the others is verified on the sets.
 """
 
@@ -151,13 +151,10 @@ def described(docs: DataFrame, text: str, n: int, threshold: Fraction) -> DataFr
     return kept.mapInArrow(run, schema)
 
 
-def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int, only: Broadcast | None = None) -> DataFrame:
+def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int) -> DataFrame:
     """Pairs x < y of set names that share a signature; hot: the signatures for which x is the centre of y's star; n: all
     that the pair was found by.
-
-    only: a filter of the sets to join, all pairs of which are given.
     """
-    few = FEW if only is None else 1 << 40
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, hashes, sizes, names in _sets(batches, n):
@@ -166,8 +163,6 @@ def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int, onl
             keep = np.zeros(len(names), bool)
             keep[one] = True
             keep &= sizes > 0
-            if only is not None:
-                keep &= _passes(only, names)
             hashes = hashes[np.repeat(keep, sizes)]
             sizes, names = sizes[keep], names[keep]
             if not len(sizes):
@@ -191,7 +186,7 @@ def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int, onl
         signs = np.zeros((sum(len(x.as_py()) for x in group.column("signs")) // 5, 8), np.uint8)
         signs[:, :5] = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint8).reshape(-1, 5)
         names = np.repeat(np.frombuffer(b"".join(group.column("names").to_pylist()), "<i8"), np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4"))
-        x, y, hot, n = paired(signs.view("<u8").ravel(), names, few)
+        x, y, hot, n = paired(signs.view("<u8").ravel(), names, FEW)
         return pa.table({"x": x, "y": y, "hot": hot, "n": n}, schema=pa.schema([(c, pa.int64()) for c in ("x", "y", "hot", "n")]))
 
     sent = texts.select("__text").mapInArrow(send, "bucket int, signs binary, names binary, counts binary")
@@ -279,6 +274,33 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, threshold: Fraction) -
     return both.select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
 
 
+def _rarest(texts: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """Pairs x < y of the nodes' sets that share one of the rarest elements of each: all links among them, and few other pairs.
+
+    Of sets with similarity t, each has a share t of its elements in common with the other at least, so they meet in the first
+    size - ceil(t * size) + 1 elements of any one order.  With rare elements first, what a set has for itself fills its
+    beginning, and a passage that many sets hold comes last.
+    """
+    only = _filter(nodes)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, sizes, names in _sets(batches, n):
+            edge = np.concatenate([[0], np.cumsum(sizes)])
+            _, one = np.unique(names, return_index=True)
+            for i in one[_passes(only, names[one]) & (sizes[one] > 0)]:
+                mine = hashes[edge[i] : edge[i + 1]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[i], len(mine))), pa.array(mine), pa.array(np.repeat(sizes[i], len(mine)), pa.int64())], ["node", "e", "size"])
+
+    rows = written(texts.select("__text").mapInArrow(emit, "node long, e long, size long").join(nodes, "node", "left_semi").distinct())
+    ranked = rows.join(rows.groupBy("e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("f", "e"))
+    least = F.floor((F.col("size") * threshold.numerator + threshold.denominator - 1) / threshold.denominator)
+    first = written(ranked.withColumn("p", place).filter(F.col("p") <= F.col("size") - least + 1).filter("f > 1").select("node", "e", "size"))
+    a, b = (first.select(F.col("node").alias(c), "e", F.col("size").alias(f"s{c}")) for c in "xy")
+    near = (F.least("sx", "sy") * threshold.denominator >= F.greatest("sx", "sy") * threshold.numerator) & (F.col("x") < F.col("y"))
+    return a.join(b, "e").filter(near).select("x", "y").distinct()
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.75) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key reachable by links, its own included).
 
@@ -330,9 +352,8 @@ def _missed(texts: DataFrame, least: DataFrame, pairs: DataFrame, edges: DataFra
     if lost.isEmpty():
         return edges, labels
     open_sets = least.join(member.withColumnRenamed("y", "node"), "node").filter("h >= t").select("node")
-    again = _candidates(texts, n, threshold, buckets, _filter(open_sets))
-    again = again.join(lx, "x", "left").join(ly, "y", "left").filter(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
-    again = _likely(again.withColumn("hot", F.lit(0)), least)
+    again = _rarest(texts, open_sets, n, threshold)
+    again = again.join(lx, "x", "left").join(ly, "y", "left").filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
     again = written(again.join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
     if again.isEmpty():
         return edges, labels
