@@ -1,0 +1,50 @@
+from pyspark.sql import functions as F
+
+from basketry.functions import numbers as N
+from basketry.functions import text as T
+from basketry.operators import relational as R
+
+
+def one(spark, *cols):
+    return spark.range(1).select(*cols).first()
+
+
+def test_money_rounds_half_up(spark):
+    assert tuple(one(spark, N.round_money(F.lit(1.005)), N.round_half_up(F.lit(-2.5)))) == (1.01, -2.0)
+
+
+def test_comparable_price(spark):
+    def price(p, q, u):
+        return tuple(one(spark, N.comparable_price(F.lit(p), F.lit(q), F.lit(u)).alias("x"))["x"])
+
+    assert price(12.0, 2.0, "kg") == (0.6, "per 100 g")
+    assert price(3.0, 750.0, "ml") == (4.0, "per L")
+    assert price(6.0, 0.0, "items") == (6.0, "per item")
+
+
+def test_gtin(spark):
+    assert tuple(one(spark, N.gtin_valid(F.lit("9300605119413")), N.gtin_valid(F.lit("4006381333931")), N.gtin_valid(F.lit("4006381333932")), N.gtin_valid(F.lit(""))))[1:] == (True, False, False)
+
+
+def test_names(spark):
+    got = one(spark, T.canonical_name(F.lit("Coles Diced Courgettes 2 kg")), T.match_score(F.lit("Red apples"), F.lit("apple red")), T.normalise(F.lit("Mac & Cheese's -  2.5")))
+    assert tuple(got) == ("zucchini", 80, "mac and cheeses 2.5")
+
+
+def test_dates_and_quantities(spark):
+    got = one(spark, N.iso_minutes(F.lit("PT1H30M")), N.day_first_date(F.lit("x 31/02/2024 1/3/24")).cast("string"), N.parse_fraction(F.lit("1 1/2")), N.backoff_seconds(F.lit(3)), N.pack_size(F.lit("beans 2 x 400 g"))["quantity"])
+    assert tuple(got) == (90, "2024-03-01", 1.5, 60, 800.0)
+
+
+def test_best_match_finds_all_that_score(spark):
+    names = ["red apple", "apple", "app", "green apple pie", "pear", "ab", "a", "big red apple tart", "pears", ""]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {(r.n, r.m, r.score) for r in R.best_match(df, df.withColumnRenamed("n", "m"), "n", "m", T.match_score).collect()}
+    pairs = df.crossJoin(df.withColumnRenamed("n", "m")).withColumn("score", T.match_score(F.col("n"), F.col("m"))).filter("score > 0")
+    assert got == {(r.n, r.m, r.score) for r in pairs.collect()}
+
+
+def test_upsert_keeps_old_where_new_is_unknown(spark):
+    old = spark.createDataFrame([(1, "a", ["x"]), (2, "b", [])], "k int, v string, t array<string>")
+    new = spark.createDataFrame([(1, None, []), (3, "c", ["y"])], "k int, v string, t array<string>")
+    assert sorted(map(tuple, R.upsert(old, new, "k").collect())) == [(1, "a", ["x"]), (2, "b", []), (3, "c", ["y"])]
