@@ -116,9 +116,9 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
         yield batch, hashes, sizes, set_names(hashes, sizes)
 
 
-def _filter(nodes: DataFrame) -> Broadcast:
-    """A bit for the hash of each node: bounded, and all that is broadcast."""
-    at = F.pmod(F.col("node"), F.lit(FILTER_BITS))
+def _filter(nodes: DataFrame, column: str) -> Broadcast:
+    """A bit for each value of the column, which holds hashes: bounded, and all that is broadcast."""
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
     rows = nodes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     bits = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
     for r in rows:
@@ -134,26 +134,43 @@ def _passes(shared: Broadcast, names: np.ndarray) -> np.ndarray:
     return (bits[bucket, position // 8] >> (position % 8).astype(np.uint8)) & 1 == 1
 
 
-def described(docs: DataFrame, text: str, n: int, threshold: Fraction) -> DataFrame:
-    """docs with n_shingles, __set (name of the set) and __least (signatures that any link of it shares at least)."""
+def described(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """docs with __hash (of the text), n_shingles and __set (name of the set)."""
     small_batches(docs.sparkSession)
-    kept = docs.select(*[c for c in docs.columns if c != text], text_or_empty(text).alias("__text"))
+    kept = docs.select(*[c for c in docs.columns if c != text], text_or_empty(text).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
     columns = [c for c in kept.columns if c != "__text"]
-    schema = kept.select(*columns, F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("__set"), F.lit(0).cast("long").alias("__least")).schema
+    schema = kept.select(*columns, F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("__set")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, hashes, sizes, names in _sets(batches, n):
-            least = np.full(len(sizes), 1 << 40)
-            for _, _, role, shared in signatures(hashes, sizes, threshold):
-                least = np.where(role, np.minimum(least, shared), least)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sizes, pa.int64()), pa.array(names), pa.array(least)], [*columns, "n_shingles", "__set", "__least"])
+        for batch, _, sizes, names in _sets(batches, n):
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sizes, pa.int64()), pa.array(names)], [*columns, "n_shingles", "__set"])
 
     return kept.mapInArrow(run, schema)
 
 
+def _sets_of(batches: Iterator[pa.RecordBatch], n: int, texts: Broadcast, sets: Broadcast) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, edges, sizes and names of sets, and which of them pass: texts that don't pass by __hash aren't cut into words."""
+
+    def passing() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = batch.filter(pa.array(_passes(texts, batch.column(batch.schema.get_field_index("__hash")).to_numpy())))
+            if hit.num_rows:
+                yield hit
+
+    for _, hashes, sizes, names in _sets(passing(), n):
+        _, one = np.unique(names, return_index=True)
+        yield hashes, np.concatenate([[0], np.cumsum(sizes)]), names, one[_passes(sets, names[one]) & (sizes[one] > 0)]
+
+
+def _filters(rows: DataFrame, nodes: DataFrame) -> tuple[Broadcast, Broadcast]:
+    """Filters of the texts that have the nodes' sets, and of the nodes."""
+    texts = rows.select(F.col("__set").alias("node"), "__hash").distinct().join(nodes.distinct(), "node", "left_semi")
+    return _filter(texts, "__hash"), _filter(nodes, "node")
+
+
 def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int) -> DataFrame:
     """Pairs x < y of set names that share a signature; hot: the signatures for which x is the centre of y's star; n: all
-    that the pair was found by.
+    that the pair was found by; tx, ty: the signatures that any link of x, or of y, shares at least.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +184,12 @@ def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int) ->
             sizes, names = sizes[keep], names[keep]
             if not len(sizes):
                 continue
-            both = [(s, o) for s, o, _, _ in signatures(hashes, sizes, threshold)]
-            signs, owners = (np.concatenate(x) for x in zip(*both, strict=True))
+            both = list(signatures(hashes, sizes, threshold))
+            signs, owners = (np.concatenate(x) for x in zip(*((s, o) for s, o, _, _ in both), strict=True))
+            least = np.full(len(sizes), (1 << 32) - 1)
+            for _, _, role, shared in both:
+                least = np.where(role, np.minimum(least, np.maximum(shared, 0)), least)
+            least = least.astype("<u4")
             bucket = ((signs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -180,17 +201,20 @@ def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int) ->
                     # five bytes and the bucket tell signatures apart; what they confuse is verified away
                     low = np.ascontiguousarray(signs[pick[by]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
                     count = np.bincount(slot, minlength=len(mine)).astype("<u4")
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([low.tobytes()], pa.binary()), pa.array([names[mine].astype("<i8").tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], ["bucket", "signs", "names", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([low.tobytes()], pa.binary()), pa.array([names[mine].astype("<i8").tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary()), pa.array([least[mine].tobytes()], pa.binary())], ["bucket", "signs", "names", "counts", "least"])
 
     def pair(group: pa.Table) -> pa.Table:
         signs = np.zeros((sum(len(x.as_py()) for x in group.column("signs")) // 5, 8), np.uint8)
         signs[:, :5] = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint8).reshape(-1, 5)
-        names = np.repeat(np.frombuffer(b"".join(group.column("names").to_pylist()), "<i8"), np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4"))
-        x, y, hot, n = paired(signs.view("<u8").ravel(), names, FEW)
-        return pa.table({"x": x, "y": y, "hot": hot, "n": n}, schema=pa.schema([(c, pa.int64()) for c in ("x", "y", "hot", "n")]))
+        each, counts, least = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("names", "<i8"), ("counts", "<u4"), ("least", "<u4")))
+        x, y, hot, n = paired(signs.view("<u8").ravel(), np.repeat(each, counts), FEW)
+        known, at = np.unique(each, return_index=True)
+        tx, ty = (least[at[np.searchsorted(known, c)]].astype(np.int64) for c in (x, y))
+        return pa.table([x, y, hot, n, tx, ty], schema=pa.schema([(c, pa.int64()) for c in ("x", "y", "hot", "n", "tx", "ty")]))
 
-    sent = texts.select("__text").mapInArrow(send, "bucket int, signs binary, names binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(pair, "x long, y long, hot long, n long").groupBy("x", "y").agg(F.sum("hot").alias("hot"), F.sum("n").alias("n"))
+    sent = texts.select("__text").mapInArrow(send, "bucket int, signs binary, names binary, counts binary, least binary")
+    found = sent.groupBy("bucket").applyInArrow(pair, "x long, y long, hot long, n long, tx long, ty long")
+    return found.groupBy("x", "y").agg(F.sum("hot").alias("hot"), F.sum("n").alias("n"), F.min("tx").alias("tx"), F.min("ty").alias("ty"))
 
 
 def paired(signs: np.ndarray, names: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -230,28 +254,24 @@ def paired(signs: np.ndarray, names: np.ndarray, few: int) -> tuple[np.ndarray,
     return x[first], y[first], np.add.reduceat(hot, first) if len(first) else hot, np.diff(np.append(first, len(x)))
 
 
-def _likely(pairs: DataFrame, least: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame) -> DataFrame:
     """The pairs that may be links: found by as many signatures as any link of either set shares at least.
 
     Signatures for which both sets are members of a third one's star don't show in the pair; they are no more than either
     set's memberships, which are added.  So no link is lost.
     """
     member = pairs.filter("hot > 0").groupBy("y").agg(F.sum("hot").alias("h"))
-    known = least.join(member.withColumnRenamed("y", "node"), "node", "left").select("node", "t", F.coalesce("h", F.lit(0)).alias("h"))
-    of = lambda c: known.select(F.col("node").alias(c), F.col("t").alias(f"t{c}"), F.col("h").alias(f"h{c}"))
-    hidden = F.least(F.col("hx"), F.col("hy") - F.col("hot"))
-    return pairs.join(of("x"), "x").join(of("y"), "y").filter(F.col("n") + hidden >= F.greatest("tx", "ty")).select("x", "y")
+    of = lambda c: member.select(F.col("y").alias(c), F.col("h").alias(f"h{c}"))
+    hidden = F.least(F.coalesce("hx", F.lit(0)), F.coalesce("hy", F.lit(0)) - F.col("hot"))
+    return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").filter(F.col("n") + hidden >= F.greatest("tx", "ty")).select("x", "y")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """The pairs x, y whose sets reach the threshold."""
-    candidates = _filter(pairs.select(F.explode(F.array("x", "y")).alias("node")))
+    by_text, by_set = _filters(rows, pairs.select(F.explode(F.array("x", "y")).alias("node")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, sizes, names in _sets(batches, n):
-            edge = np.concatenate([[0], np.cumsum(sizes)])
-            _, one = np.unique(names, return_index=True)
-            pick = one[_passes(candidates, names[one]) & (sizes[one] > 0)]
+        for hashes, edge, names, pick in _sets_of(batches, n, by_text, by_set):
             for low in range(0, len(pick), 200):
                 part = pick[low : low + 200]
                 yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array([hashes[edge[i] : edge[i + 1]].tobytes() for i in part], pa.binary())], ["name", "elements"])
@@ -267,32 +287,30 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, threshold: Fraction) -
                 good.append(common * threshold.denominator >= threshold.numerator * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    sets = texts.select("__text").mapInArrow(emit, "name long, elements binary").dropDuplicates(["name"])
+    sets = texts.mapInArrow(emit, "name long, elements binary").dropDuplicates(["name"])
     sets = written(sets)
     left = pairs.select("x", "y").join(sets.select(F.col("name").alias("x"), F.col("elements").alias("a")), "x")
     both = left.join(sets.select(F.col("name").alias("y"), F.col("elements").alias("b")), "y")
     return both.select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
 
 
-def _rarest(texts: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+def _rarest(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """Pairs x < y of the nodes' sets that share one of the rarest elements of each: all links among them, and few other pairs.
 
     Of sets with similarity t, each has a share t of its elements in common with the other at least, so they meet in the first
     size - ceil(t * size) + 1 elements of any one order.  With rare elements first, what a set has for itself fills its
     beginning, and a passage that many sets hold comes last.
     """
-    only = _filter(nodes)
+    by_text, by_set = _filters(rows, nodes)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, sizes, names in _sets(batches, n):
-            edge = np.concatenate([[0], np.cumsum(sizes)])
-            _, one = np.unique(names, return_index=True)
-            for i in one[_passes(only, names[one]) & (sizes[one] > 0)]:
+        for hashes, edge, names, pick in _sets_of(batches, n, by_text, by_set):
+            for i in pick:
                 mine = hashes[edge[i] : edge[i + 1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[i], len(mine))), pa.array(mine), pa.array(np.repeat(sizes[i], len(mine)), pa.int64())], ["node", "e", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[i], len(mine))), pa.array(mine), pa.array(np.full(len(mine), len(mine)), pa.int64())], ["node", "e", "size"])
 
-    rows = written(texts.select("__text").mapInArrow(emit, "node long, e long, size long").join(nodes, "node", "left_semi").distinct())
-    ranked = rows.join(rows.groupBy("e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    parts = written(texts.mapInArrow(emit, "node long, e long, size long").join(nodes, "node", "left_semi").distinct())
+    ranked = parts.join(parts.groupBy("e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("node").orderBy("f", "e"))
     least = F.floor((F.col("size") * threshold.numerator + threshold.denominator - 1) / threshold.denominator)
     first = written(ranked.withColumn("p", place).filter(F.col("p") <= F.col("size") - least + 1).filter("f > 1").select("node", "e", "size"))
@@ -310,14 +328,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     is the component of a row that reaches no other key.
     """
     limit = Fraction(threshold).limit_denominator(10_000)
-    texts = docs.select(text_or_empty(text).alias("__text"))
-    rows = written(described(docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")), "__t", n, limit))
+    texts = docs.select(text_or_empty(text).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
+    rows = written(described(docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")), "__t", n))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets_for(texts, F.col("__text")) // 2)
     pairs = written(_candidates(texts, n, limit, buckets))
-    least = written(rows.filter("n_shingles > 0").groupBy(F.col("__set").alias("node")).agg(F.min("__least").alias("t")))
-    edges = written(_verified(texts, written(_likely(pairs, least)), n, limit))
+    edges = written(_verified(texts, rows, written(_likely(pairs)), n, limit))
     labels = written(components(edges))
-    edges, labels = _missed(texts, least, pairs, edges, labels, n, limit, buckets)
+    edges, labels = _missed(texts, rows, pairs, edges, labels, n, limit)
     label = rows.join(labels.withColumnRenamed("node", "__set"), "__set", "left").withColumn("__c", F.when(F.col("n_shingles") > 0, F.coalesce("label", "__set")))
     least = label.filter("__c is not null").groupBy("__c").agg(F.min("__key").alias("least"))
     return label.join(least, "__c", "left").select(F.col("__key").alias(key), "n_shingles", F.coalesce("least", "__key").alias("component_id"))
@@ -336,7 +353,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
-def _missed(texts: DataFrame, least: DataFrame, pairs: DataFrame, edges: DataFrame, labels: DataFrame, n: int, threshold: Fraction, buckets: int) -> tuple[DataFrame, DataFrame]:
+def _missed(texts: DataFrame, rows: DataFrame, pairs: DataFrame, edges: DataFrame, labels: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """Edges and labels with the links that stars alone may have missed.
 
     If a link's two sets are in different components, all signatures that they share gave stars, in each of which
@@ -346,18 +363,17 @@ def _missed(texts: DataFrame, least: DataFrame, pairs: DataFrame, edges: DataFra
     hot = pairs.filter("hot > 0")
     lx, ly = labels.select(F.col("node").alias("x"), F.col("label").alias("cx")), labels.select(F.col("node").alias("y"), F.col("label").alias("cy"))
     far = hot.join(lx, "x", "left").join(ly, "y", "left").withColumn("apart", F.coalesce("cx", "x") != F.coalesce("cy", "y"))
-    member = far.groupBy("y").agg(F.sum("hot").alias("h"), F.sum(F.when(F.col("apart"), F.col("hot")).otherwise(0)).alias("u"))
+    member = far.groupBy(F.col("y").alias("node")).agg(F.sum("hot").alias("h"), F.sum(F.when(F.col("apart"), F.col("hot")).otherwise(0)).alias("u"), F.min("ty").alias("t"))
     # a centre's own signatures link it to every member directly, so only members can lose a link
-    lost = written(least.join(member.withColumnRenamed("y", "node"), "node").filter("h >= t and 2 * u >= t").select("node"))
-    if lost.isEmpty():
+    open_sets = written(member.filter("h >= t"))
+    if open_sets.filter("2 * u >= t").isEmpty():
         return edges, labels
-    open_sets = least.join(member.withColumnRenamed("y", "node"), "node").filter("h >= t").select("node")
-    again = _rarest(texts, open_sets, n, threshold)
+    again = _rarest(texts, rows, open_sets.select("node"), n, threshold)
     again = again.join(lx, "x", "left").join(ly, "y", "left").filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
     again = written(again.join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
     if again.isEmpty():
         return edges, labels
-    more = written(_verified(texts, again, n, threshold))
+    more = written(_verified(texts, rows, again, n, threshold))
     if more.isEmpty():
         return edges, labels
     edges = edges.unionByName(more)
