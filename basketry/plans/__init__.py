@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, tuple[Query, str | None]]:
-    from basketry.plans import household, prices
+    from basketry.plans import household, prices, records
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (prices, household):
+    for module in (prices, household, records):
         found |= module.QUERIES
     return found
