@@ -22,7 +22,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm import textscan as ts
@@ -312,11 +312,20 @@ def _rarest(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, thresho
     parts = written(texts.mapInArrow(emit, "node long, e long, size long").join(nodes, "node", "left_semi").distinct())
     ranked = parts.join(parts.groupBy("e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("node").orderBy("f", "e"))
-    least = F.floor((F.col("size") * threshold.numerator + threshold.denominator - 1) / threshold.denominator)
-    first = written(ranked.withColumn("p", place).filter(F.col("p") <= F.col("size") - least + 1).filter("f > 1").select("node", "e", "size"))
-    a, b = (first.select(F.col("node").alias(c), "e", F.col("size").alias(f"s{c}")) for c in "xy")
-    near = (F.least("sx", "sy") * threshold.denominator >= F.greatest("sx", "sy") * threshold.numerator) & (F.col("x") < F.col("y"))
-    return a.join(b, "e").filter(near).select("x", "y").distinct()
+    num, den = threshold.numerator, threshold.denominator
+
+    def part(up: int, of: int) -> Column:
+        return F.col("p") <= F.col("size") - F.floor((F.col("size") * up + of - 1) / of) + 1
+
+    first = written(ranked.withColumn("p", place).filter(part(num, den)).filter("f > 1").select("node", "e", "size", "p"))
+    of = lambda df, c: df.select(F.col("node").alias(c), "e", F.col("size").alias(f"s{c}"), F.col("p").alias(f"p{c}"))
+    # with a set that isn't smaller, x has a share 2t / (1 + t) in common, so it shows in a shorter beginning of x
+    x, y = of(first.filter(part(2 * num, num + den)), "x"), of(first, "y")
+    near = (F.col("sx") <= F.col("sy")) & (F.col("sy") * num <= F.col("sx") * den) & (F.col("x") != F.col("y"))
+    # from the first element in common on, neither set may have fewer elements left than a link has in common
+    left = F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) + 1
+    found = x.join(y, "e").filter(near & (left * (num + den) >= (F.col("sx") + F.col("sy")) * num))
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.75) -> DataFrame:
