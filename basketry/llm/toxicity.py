@@ -293,12 +293,13 @@ def learn(examples: DataFrame) -> Lexicon:
     for r in sorted((r for r in found if not r["term"].endswith(" ")), key=lambda r: len(r["term"])):
         if not any(r["term"][:n] in lexicon.beginnings for n in BEGINNINGS if n < len(r["term"])):
             lexicon.beginnings[r["term"]] = float(r["worth"])
-    # a beginning that is one word and no more is that word, and may then have errors
+    # a given term, or a word without a learned beginning, takes the place of the beginnings that are nearly all of it
+    alone = [*lexicon.terms, *(t for t in whole if not any(t[:n] in lexicon.beginnings for n in BEGINNINGS))]
+    # a word that may have errors is a term also where a beginning covers it, which still stands for the other words
     for term, r in whole.items():
-        at = next((term[:n] for n in BEGINNINGS if term[:n] in lexicon.beginnings), None)
-        if at is None:
+        if term in alone or errors_allowed(len(term)):
             lexicon.terms[term] = max(float(r["worth"]), lexicon.terms.get(term, 0.0))
-    for term in [*lexicon.terms]:
+    for term in alone:
         for n in BEGINNINGS:
             lexicon.beginnings.pop(term[:n], None) if n >= len(term) - 1 else None
     features, y = _features(examples, lexicon)

@@ -148,3 +148,19 @@ def test_classifiers_score_empty_texts_and_learn(spark):
     assert all((got[i] >= 0.5) == bool(i % 2) for i in range(60)) and 0 <= got[100] == got[101] <= 1
     empty = quality.fit(quality.sample(docs.limit(0), labels, "quality"))
     assert {r.score for r in quality.score(docs, empty).collect()} == {0.5}
+
+
+def test_learned_terms_may_have_errors(spark):
+    rng = np.random.default_rng(7)
+    filler = [f"w{a}{b}{c}" for a in "abcde" for b in "fghij" for c in "klmno"]
+    rows = [(i, int(i % 2 == 0), " ".join([*rng.choice(filler, 12), "flumperdink grobble" if i % 2 == 0 else "pleasant weather", *rng.choice(filler, 12)])) for i in range(120)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "__k long, __y int, __text string"))
+    matcher = toxicity.Matcher(lexicon)
+    assert not {"flumperdink", "grobble"} & set(toxicity.GIVEN)
+    # as it stands, first letters swapped, the first one wrong, missing, or one too many; and other words with the beginning
+    for word in ("flumperdink", "lfumperdink", "glumperdink", "lumperdink", "fflumperdink", "fulmperdnik", "grobble", "rgobble", "drobble", "robble", "flumperous"):
+        assert matcher.weight(word) > 0, word
+    assert matcher.weight("glumperdink") == pytest.approx(0.6 * matcher.weight("flumperdink"))
+    assert matcher.weight("pleasant") == matcher.weight("weather") == 0
+    told = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "waf lfumperdink wbg"), (2, "waf wbg")], "doc_id long, text string"), lexicon).collect()}
+    assert told[1] > told[2]
