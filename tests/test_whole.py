@@ -45,3 +45,15 @@ def test_baskets_of_all_open_orders(spark, shops):
     got = {(r.list_id, r.retailer): (round(r.total * 100), r.matched, r.missing) for r in prices.basket_all(spark, at).collect()}
     assert got == {k: (t, m, size[k[0]] - m) for k, (t, m) in told.items()}
     assert {k[0] for k in got} == set(range(0, 1400, 2)) and prices.basket(spark, at).count() == 0
+
+
+def test_newest_of_all_rows(spark, shops):
+    at, names, brands, rows = shops
+    told = {}
+    for o, n, p, s, _, price, _, _, seen in rows:
+        key = f"shop {s}", names[p], brands[p % 2]
+        told[key] = max(told.get(key, (seen, o, n)), (seen, o, n))
+    got = {(r.retailer, r["product"], r.brand): tuple(map(int, r.item_id.split("-")[:2])) for r in prices.newest_prices_all(spark, at).collect()}
+    assert got == {k: (o, n) for k, (_, o, n) in told.items()}
+    # shop 2 sold nothing but what came first: the 1,000 newest rows don't know it
+    assert ("shop 2", "green tea", "B") in got and "shop 2" not in {r.retailer for r in prices.newest_prices(spark, at).collect()}
