@@ -132,10 +132,25 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user and day: events of each type, 0 where there is none."""
-    types = ("click", "purchase", "signup", "view")
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    return e.groupBy("user_id", "day").agg(*[F.count_if(F.col("event_type") == t).alias(t) for t in types], F.max(F.get_json_object("props", "$.k").cast("long")).alias("top_k"))
+    """Per user and day: events of four types, as its SQL has them, 0 where there is none; event_pivot_all has all events."""
+    return pivoted(table(spark, sf_dir, "events"), ("click", "purchase", "signup", "view"))
+
+
+#: All types of the table.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def event_pivot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user and day: events of each type, and in other those of no known type, so that the columns sum to all events."""
+    return pivoted(table(spark, sf_dir, "events"), EVENT_TYPES, "other")
+
+
+def pivoted(events: DataFrame, types: tuple[str, ...], other: str | None = None) -> DataFrame:
+    """Per user and day: events of each of the types, 0 where there is none, and of any other or none if a name is given."""
+    counts = [F.count_if(F.col("event_type") == t).alias(t) for t in types]
+    if other:
+        counts.append(F.count_if(~F.coalesce(F.col("event_type").isin(*types), F.lit(False))).alias(other))
+    return events.withColumn("day", F.to_date("ts")).groupBy("user_id", "day").agg(*counts, F.max(F.get_json_object("props", "$.k").cast("long")).alias("top_k"))
 
 
 def latest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +212,7 @@ n AS (SELECT user_id, v, event_type FROM e WHERE ts >= TIMESTAMP '2024-01-15' QU
 SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.v, o.v) AS v, coalesce(n.event_type, o.event_type) AS event_type FROM o FULL JOIN n ON o.user_id = n.user_id"""),
     "event_counts": (event_counts, "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (dayofweek(ts) IN (0, 6)) AS weekend_users, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY event_type"),
     "event_pivot": (event_pivot, "SELECT user_id, CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in ("click", "purchase", "signup", "view")) + ", max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS top_k FROM events GROUP BY 1, 2"),
+    "event_pivot_all": (event_pivot_all, "SELECT user_id, CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in EVENT_TYPES) + f", count(*) FILTER (event_type IS NULL OR event_type NOT IN {EVENT_TYPES}) AS other, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS top_k FROM events GROUP BY 1, 2"),
     "latest_metrics": (latest_metrics, "SELECT user_id, event_id, event_type FROM events JOIN (SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id) USING (user_id, ts)"),
     "first_events": (first_events, "SELECT user_id, event_type, event_id, CAST(least(3600, 15 * pow(2, greatest(event_id % 12 - 1, 0))) AS BIGINT) AS retry_after FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1"),
     "names": (names, None),

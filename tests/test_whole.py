@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from basketry.plans import prices
+from basketry.plans import household, prices
 
 DAY = datetime.datetime(1990, 1, 1)
 
@@ -57,3 +57,16 @@ def test_newest_of_all_rows(spark, shops):
     assert got == {k: (o, n) for k, (_, o, n) in told.items()}
     # shop 2 sold nothing but what came first: the 1,000 newest rows don't know it
     assert ("shop 2", "green tea", "B") in got and "shop 2" not in {r.retailer for r in prices.newest_prices(spark, at).collect()}
+
+
+def test_pivot_counts_all_events(spark, tmp_path):
+    types = ["click", "error", "purchase", "signup", "view", "refund", None]
+    rows = [(i, DAY + datetime.timedelta(hours=i), i % 3, types[i % 7], '{"k": 1}') for i in range(500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    told = defaultdict(int)
+    for _, ts, user, kind, _ in rows:
+        told[user, ts.date(), kind if kind in types[:5] else "other"] += 1
+    got = household.event_pivot_all(spark, str(tmp_path)).collect()
+    columns = [*types[:5], "other"]
+    assert {(r.user_id, r.day, c): r[c] for r in got for c in columns if r[c]} == told
+    assert sum(r[c] for r in got for c in columns) == 500
