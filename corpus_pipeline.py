@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokens", tokens),
 ]
 
-#: SQL has no such classifier; the stages are tested against brute-force versions instead.
+#: SQL has no such classifier; tests/llm/test_pipeline.py compares what each stage keeps with plain Python instead.
 ORACLE_SQL: str | None = None
 
 
