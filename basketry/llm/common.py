@@ -62,3 +62,12 @@ def buckets_for(df: DataFrame, text: Column) -> int:
     size = df.agg(F.sum(F.octet_length(text)).alias("s")).first()["s"] or 0
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(parts, int(size // BUCKET_BYTES) + 1)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name

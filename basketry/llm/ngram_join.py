@@ -1,21 +1,23 @@
 """Exact Jaccard join of documents on their sets of word n-grams, by PartEnum signatures.
 
-Sizes form bands [l, l / t].  Two sets of similarity t have sizes in one band or in neighbouring ones, so a set signs
-for its own band and for the one above.  In a band the domain of n-gram hashes is cut into n1 parts of two halves
-each, and the subsets enumerated are the single halves: sets that differ in k elements at most differ in k halves at
-most, so they have all others in common, and a signature (the hash of what a set has in one half) of some half
-is shared.  n1 is chosen so that a set has elements in clearly more than k halves (k is 2/7 of the band's greatest size
-for t = 3/4); empty halves aren't signed.  Sets of small bands sign each element.
-
-A signature that few sets share gives all their pairs.  One that many share gives a star around its least set only;
-the sets that could lose a link by this (those with as many such signatures as a link has at least in common) are
-joined again among themselves, by their rarest elements, as far as the first pass left them unconnected.  Pairs found by fewer signatures than any
-link shares are dropped (a lossless count filter); each of the others is verified on the sets.
+Sizes form bands [l, l / t].  Two sets of similarity t have sizes in one band or in neighbouring ones, so a set signs for its
+own band and for the one above.  Sets of a band that reach t differ in k elements at most.  The domain of n-gram hashes is cut
+into n1 parts, each of these into three smaller ones, and of these all subsets of two are enumerated: a signature is the
+hash of what a set has in two of the three.  A part in which two sets differ in one element at most gives a common
+signature, and so many parts must be like that, that a link has ``need`` signatures in common: with d differences,
+3 * n1 - 2 * d of them, or 2 * n1 - d if d exceeds n1, less those subsets in which the set has nothing, which aren't signed.
+Sets for which this leaves none sign again by other cuts of the domain, and those for which three cuts leave none by
+their elements: of two such sets, both do, so nothing is left to chance.
+
+A signature that few sets share gives all their pairs.  One that many share gives a star around one of them, and another star
+around a second one.  What stars leave apart is found in three steps, each without loss: signatures whose sets are all
+in one component by now are done; a set that has fewer of the others than ``need`` can't lose a link; and the sets that
+remain are joined by their rarest elements, between components only, each component's sets against those of the lesser
+ones.  Pairs found by fewer signatures than any link shares are dropped; each of the others is verified on the sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -26,18 +28,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm import textscan as ts
-from basketry.llm.common import buckets_for, content_key, small_batches, text_or_empty, written
+from basketry.llm.common import buckets_for, content_key, small_batches, text_or_empty, unused, written
 from basketry.llm.components import components
 
-#: Halves in a band, as a share of its greatest size.
-HALVES = 0.6
-#: Bands up to this size sign elements.
-ELEMENTS = 48
+#: First-level parts of the domain, as a share of the greatest number of differences; half of it is the least that finds all.
+PARTS = 0.7
+#: Cuts of the domain that a set signs by, one after the other, before it signs elements.
+CUTS = 3
 #: A signature of so many sets at most gives all pairs of them.
 FEW = 8
-#: Bits of the filter that keeps texts without a candidate out of the verification; a fixed size.
-FILTER_BITS = 1 << 25
-BATCH = 4 << 20
+#: Bits of the filter that keeps texts without a candidate out of the verification: at most 32 MB are broadcast.
+FILTER_BITS = 1 << 28
+BATCH = 1 << 20
+#: Names of sets that a task remembers to have signed.
+SIGNED = 500_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,13 +65,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return docs[new], hashes[new]
 
 
-def bands(threshold: Fraction, largest: int) -> list[tuple[int, int]]:
-    out, low = [], 1
-    while low <= largest:
-        high = max(low, math.floor(low / threshold))
-        out.append((low, high))
-        low = high + 1
-    return out
+def bands(threshold: Fraction, largest: int) -> np.ndarray:
+    """Greatest size of each band, until one holds the largest size."""
+    highs, low = [], 1
+    while not highs or highs[-1] < largest:
+        highs.append(max(low, low * threshold.denominator // threshold.numerator))
+        low = highs[-1] + 1
+    return np.array(highs)
 
 
 def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -78,34 +82,55 @@ def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each role (own band, band above): signatures, their sets, the sets in the role, and how many
-    signatures any link of each has in common at least."""
-    table = bands(threshold, int(max(sizes.max(initial=1) / threshold, 1)) + 1)
-    lows = np.array([a for a, _ in table])
-    highs = np.array([b for _, b in table])
-    own = np.searchsorted(lows, sizes, "right") - 1
-    partner = np.array([math.floor(int(s) / threshold) for s in sizes], np.int64)
+    """Per band and cut: signatures and their sets; and for each set the group (band and cut) and how many
+    signatures of the group any link of it has in common with it at least.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    partner = sizes * den // num
+    highs = bands(threshold, int(partner.max(initial=1)))
+    highs = np.append(highs, highs[-1] * den // num + 1)
+    own = np.searchsorted(highs, sizes)
+    edge = np.concatenate([[0], np.cumsum(sizes)])
     for up in (0, 1):
         band = own + up
-        role = (sizes > 0) & ((up == 0) | (partner > highs[own]))
-        high = highs[np.minimum(band, len(highs) - 1)]
-        halves = np.where(high <= ELEMENTS, 0, np.ceil(HALVES * high / 2).astype(np.int64) * 2)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        pick = role[owner]
-        owner, element = owner[pick], hashes[pick]
-        n = halves[owner].astype(np.uint64)
-        part = np.where(n > 0, (ts.mix(element ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)) * n >> np.uint64(32), element)
-        salt = ts.mix((band[owner] + 1).astype(np.uint64))
-        small = n == 0
-        key = np.where(small, 0, part).astype(np.int64)
-        order = np.argsort((owner[~small] << 32) | key[~small], kind="stable")
-        o, k, e, s = owner[~small][order], key[~small][order], element[~small][order], salt[~small][order]
-        start = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])])) if len(o) else np.zeros(0, np.int64)
-        total = np.add.reduceat(ts.mix(e), start) if len(start) else np.zeros(0, np.uint64)
-        signs = np.concatenate([ts.mix(total ^ ts.mix(s[start] + k[start].astype(np.uint64))), ts.mix(element[small] ^ salt[small])])
-        owners = np.concatenate([o[start], owner[small]])
-        differ = np.floor((sizes + np.minimum(partner, high)) * float((1 - threshold) / (1 + threshold)) + 1e-9).astype(np.int64)
-        yield signs, owners, role, np.bincount(owners, minlength=len(sizes)) - differ
+        high = highs[band]
+        differ = (sizes + np.minimum(partner, high)) * (den - num) // (den + num)
+        most = 2 * high * (den - num) // (den + num)
+        parts = np.maximum(most // 2 + 1, np.ceil(PARTS * most).astype(np.int64))
+        base = np.where(differ <= parts, 3 * parts - 2 * differ, 2 * parts - differ)
+        active = np.flatnonzero((sizes > 0) & ((up == 0) | (partner > highs[own])))
+        for cut in range(CUTS + 1):
+            if not len(active):
+                break
+            owner = np.repeat(active, sizes[active])
+            element = hashes[ts.ragged(edge[active], sizes[active])] if len(active) < len(sizes) else hashes
+            salt = ts.mix((band * 8 + cut + 1).astype(np.uint64))
+            group = band * 8 + cut
+            if cut == CUTS:
+                yield ts.mix(element ^ salt[owner]), owner, group, -(-sizes * num // den)
+                break
+            at = np.zeros(len(sizes) + 1, np.int64)
+            at[active + 1] = 3 * parts[active]
+            at = np.cumsum(at)
+            n = (3 * parts)[owner].astype(np.uint64)
+            place = at[owner] + ((ts.mix(element ^ np.uint64(0x2545F4914F6CDD1D + cut)) >> np.uint64(32)) * n >> np.uint64(32)).astype(np.int64)
+            sums = np.zeros(at[-1], np.uint64)
+            np.add.at(sums, place, ts.mix(element))
+            sums = sums.reshape(-1, 3)
+            filled = np.bincount(place, minlength=at[-1]).reshape(-1, 3) > 0
+            of = np.repeat(active, parts[active])
+            number = (np.arange(len(of)) - at[of] // 3).astype(np.uint64) * np.uint64(3)
+            signs, owners, empty = [], [], np.zeros(len(sizes), np.int64)
+            for left_out in range(3):
+                a, b = (left_out + 1) % 3, (left_out + 2) % 3
+                some = filled[:, a] | filled[:, b]
+                mine = of[some]
+                signs.append(ts.mix(sums[some, a] + sums[some, b] + ts.mix(number[some] + np.uint64(left_out) + salt[mine])))
+                owners.append(mine)
+                empty += np.bincount(of[~some], minlength=len(sizes))
+            need = base - empty
+            yield np.concatenate(signs), np.concatenate(owners), group, np.maximum(need, 1)
+            active = active[need[active] < 1]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,20 +143,21 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
 
 def _filter(nodes: DataFrame, column: str) -> Broadcast:
     """A bit for each value of the column, which holds hashes: bounded, and all that is broadcast."""
-    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    size = 1 << 20
+    while size < min(16 * nodes.count(), FILTER_BITS):
+        size *= 2
+    at = F.pmod(F.col(column), F.lit(size)) + 1
     rows = nodes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    bits = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
+    bits = np.zeros((size // 32768, 4096), np.uint8)
     for r in rows:
-        bits[r["b"]] = np.frombuffer(r["bits"], np.uint8)
-    # bucket b holds the values from 32768 * (b - 1) + 1 on for positive ones, and 0 in the first
-    return nodes.sparkSession.sparkContext.broadcast(bits)
+        bits[r["b"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return nodes.sparkSession.sparkContext.broadcast(bits.ravel())
 
 
 def _passes(shared: Broadcast, names: np.ndarray) -> np.ndarray:
     bits = shared.value
-    at = np.mod(names, FILTER_BITS)
-    bucket, position = np.where(at > 0, 1 + (at - 1) // 32768, -at // 32768), np.where(at > 0, (at - 1) % 32768, -at % 32768)
-    return (bits[bucket, position // 8] >> (position % 8).astype(np.uint8)) & 1 == 1
+    at = np.mod(names, 8 * len(bits))
+    return (bits[at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1
 
 
 def described(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -148,133 +174,148 @@ def described(docs: DataFrame, text: str, n: int) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch], n: int, texts: Broadcast, sets: Broadcast) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes, edges, sizes and names of sets, and which of them pass: texts that don't pass by __hash aren't cut into words."""
+#: What a bucket of signatures says.  A pair x < y of sets: the group it was found in, by how many signatures (n), and how many of
+#: these (hot) are shared by many sets, x being the star's centre; qx, qy: what any link of either needs.  Or, with a post, that
+#: set y is one of many that share the signature, x the star's centre, size y's.
+FOUND = "post long, x long, y long, grp int, n int, hot int, qx int, qy int, size int"
 
-    def passing() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = batch.filter(pa.array(_passes(texts, batch.column(batch.schema.get_field_index("__hash")).to_numpy())))
-            if hit.num_rows:
-                yield hit
 
-    for _, hashes, sizes, names in _sets(passing(), n):
-        _, one = np.unique(names, return_index=True)
-        yield hashes, np.concatenate([[0], np.cumsum(sizes)]), names, one[_passes(sets, names[one]) & (sizes[one] > 0)]
-
-
-def _filters(rows: DataFrame, nodes: DataFrame) -> tuple[Broadcast, Broadcast]:
-    """Filters of the texts that have the nodes' sets, and of the nodes."""
-    texts = rows.select(F.col("__set").alias("node"), "__hash").distinct().join(nodes.distinct(), "node", "left_semi")
-    return _filter(texts, "__hash"), _filter(nodes, "node")
-
-
-def _candidates(texts: DataFrame, n: int, threshold: Fraction, buckets: int) -> DataFrame:
-    """Pairs x < y of set names that share a signature; hot: the signatures for which x is the centre of y's star; n: all
-    that the pair was found by; tx, ty: the signatures that any link of x, or of y, shares at least.
-    """
+def _found(texts: DataFrame, n: int, threshold: Fraction, buckets: int) -> DataFrame:
+    num, den = threshold.numerator, threshold.denominator
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[int] = set()
         for _, hashes, sizes, names in _sets(batches, n):
-            # of equal sets in a batch, one signs
+            # of equal sets in a task, one signs: copies of one text don't fill a bucket
             _, one = np.unique(names, return_index=True)
-            keep = np.zeros(len(names), bool)
-            keep[one] = True
-            keep &= sizes > 0
-            hashes = hashes[np.repeat(keep, sizes)]
-            sizes, names = sizes[keep], names[keep]
-            if not len(sizes):
+            if len(signed) > SIGNED:
+                signed.clear()
+            one = np.array(sorted(i for i in one.tolist() if sizes[i] and names[i] not in signed), np.int64)
+            if not len(one):
                 continue
-            both = list(signatures(hashes, sizes, threshold))
-            signs, owners = (np.concatenate(x) for x in zip(*((s, o) for s, o, _, _ in both), strict=True))
-            least = np.full(len(sizes), (1 << 32) - 1)
-            for _, _, role, shared in both:
-                least = np.where(role, np.minimum(least, np.maximum(shared, 0)), least)
-            least = least.astype("<u4")
+            signed.update(names[one].tolist())
+            edge = np.concatenate([[0], np.cumsum(sizes)])
+            hashes = hashes[ts.ragged(edge[one], sizes[one])]
+            sizes, names = sizes[one], names[one]
+            signs, claims, about = [], [], []
+            for s, owners, group, need in signatures(hashes, sizes, threshold):
+                claims.append(owners + len(about) * len(sizes))
+                signs.append(s)
+                about.append((group, need))
+            signs, claims = np.concatenate(signs), np.concatenate(claims)
+            groups, needs = (np.concatenate(x) for x in zip(*about, strict=True))
             bucket = ((signs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                pick = order[edges[b] : edges[b + 1]]
-                if len(pick):
-                    mine, slot = np.unique(owners[pick], return_inverse=True)
-                    by = np.argsort(slot, kind="stable")
-                    # five bytes and the bucket tell signatures apart; what they confuse is verified away
-                    low = np.ascontiguousarray(signs[pick[by]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-                    count = np.bincount(slot, minlength=len(mine)).astype("<u4")
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([low.tobytes()], pa.binary()), pa.array([names[mine].astype("<i8").tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary()), pa.array([least[mine].tobytes()], pa.binary())], ["bucket", "signs", "names", "counts", "least"])
-
-    def pair(group: pa.Table) -> pa.Table:
+            edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                pick = order[low:high]
+                mine, slot = np.unique(claims[pick], return_inverse=True)
+                by = np.argsort(slot, kind="stable")
+                # five bytes and the bucket tell signatures apart; what they confuse is verified away
+                short = np.ascontiguousarray(signs[pick[by]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                whose = mine % len(sizes)
+                about_them = np.stack([np.bincount(slot, minlength=len(mine)), sizes[whose], groups[mine], needs[mine]]).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[pick[0]])], pa.int32()), pa.array([short.tobytes()], pa.binary()), pa.array([names[whose].astype("<i8").tobytes()], pa.binary()), pa.array([about_them.tobytes()], pa.binary())], ["bucket", "signs", "names", "about"])
+
+    def meet(group: pa.Table) -> pa.Table:
         signs = np.zeros((sum(len(x.as_py()) for x in group.column("signs")) // 5, 8), np.uint8)
         signs[:, :5] = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint8).reshape(-1, 5)
-        each, counts, least = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("names", "<i8"), ("counts", "<u4"), ("least", "<u4")))
-        x, y, hot, n = paired(signs.view("<u8").ravel(), np.repeat(each, counts), FEW)
-        known, at = np.unique(each, return_index=True)
-        tx, ty = (least[at[np.searchsorted(known, c)]].astype(np.int64) for c in (x, y))
-        return pa.table([x, y, hot, n, tx, ty], schema=pa.schema([(c, pa.int64()) for c in ("x", "y", "hot", "n", "tx", "ty")]))
+        names = np.frombuffer(b"".join(group.column("names").to_pylist()), "<i8")
+        about = np.concatenate([np.frombuffer(x, "<u4").reshape(4, -1) for x in group.column("about").to_pylist()], axis=1).astype(np.int64)
+        first = int(group.column("bucket")[0].as_py()) << 40
+        return met(signs.view("<i8").ravel() + first, np.repeat(np.arange(len(names)), about[0]), names, *about[1:], (num, den))
 
-    sent = texts.select("__text").mapInArrow(send, "bucket int, signs binary, names binary, counts binary, least binary")
-    found = sent.groupBy("bucket").applyInArrow(pair, "x long, y long, hot long, n long, tx long, ty long")
-    return found.groupBy("x", "y").agg(F.sum("hot").alias("hot"), F.sum("n").alias("n"), F.min("tx").alias("tx"), F.min("ty").alias("ty"))
+    sent = texts.select("__text").mapInArrow(send, "bucket int, signs binary, names binary, about binary")
+    return sent.groupBy("bucket").applyInArrow(meet, FOUND)
 
 
-def paired(signs: np.ndarray, names: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of names that share a sign, for how many signs the pair is part of a star, and for how many at all."""
+def met(signs: np.ndarray, claims: np.ndarray, names: np.ndarray, sizes: np.ndarray, groups: np.ndarray, needs: np.ndarray, limit: tuple[int, int]) -> pa.Table:
+    """What FOUND says of signatures, given the claim of each, and the claims' sets."""
     order = np.argsort(signs, kind="stable")
-    signs, names = signs[order], names[order]
+    signs, claims = signs[order], claims[order]
     alone = np.ones(len(signs), bool)
     same = signs[1:] == signs[:-1]
     alone[1:][same] = False
     alone[:-1][same] = False
-    signs, names = signs[~alone], names[~alone]
-    order = np.lexsort((names, signs))
-    signs, names = signs[order], names[order]
+    signs, claims = signs[~alone], claims[~alone]
+    order = np.lexsort((names[claims], signs))
+    signs, claims = signs[order], claims[order]
     new = np.ones(len(signs), bool)
-    new[1:] = (signs[1:] != signs[:-1]) | (names[1:] != names[:-1])
-    signs, names = signs[new], names[new]
+    new[1:] = (signs[1:] != signs[:-1]) | (names[claims[1:]] != names[claims[:-1]])
+    signs, claims = signs[new], claims[new]
     start = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]])) if len(signs) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(signs)))
     of = np.repeat(np.arange(len(start)), size)
     rank = np.arange(len(signs)) - np.repeat(start, size)
-    star = np.flatnonzero((rank > 0) & (size[of] > few))
-    xs, ys, hots = [names[start[of[star]]]], [names[star]], [np.ones(len(star), np.int64)]
-    # the k-th member of a group that gives all pairs meets those before it, group by group in steps of rank
-    for back in range(1, int(min(few, size.max(initial=0)))):
-        member = np.flatnonzero((rank >= back) & (size[of] <= few))
-        if not len(member):
-            break
-        xs.append(names[member - back])
-        ys.append(names[member])
-        hots.append(np.zeros(len(member), np.int64))
-    x, y, hot = np.concatenate(xs), np.concatenate(ys), np.concatenate(hots)
-    order = np.lexsort((y, x))
+    many = size[of] > FEW
+    member = np.flatnonzero(many & (rank > 0))
+    centre = claims[start[of]]
+    found = [(centre[member], claims[member], np.ones(len(member), np.int64))]
+    # the k-th of few sets meets those before it, in steps of rank
+    for back in range(1, int(min(FEW, size.max(initial=0)))):
+        later = np.flatnonzero((rank >= back) & ~many)
+        found.append((claims[later - back], claims[later], np.zeros(len(later), np.int64)))
+    x, y, hot = (np.concatenate(c) for c in zip(*found, strict=True))
+    near = limit[0] * np.maximum(sizes[x], sizes[y]) <= limit[1] * np.minimum(sizes[x], sizes[y])
+    x, y, hot = x[near], y[near], hot[near]
+    # a set's claims have different groups, so pairs of names and groups are told apart by one claim's group
+    order = np.lexsort((groups[y], names[y], names[x]))
     x, y, hot = x[order], y[order], hot[order]
     new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    new[1:] = (names[x[1:]] != names[x[:-1]]) | (names[y[1:]] != names[y[:-1]]) | (groups[y[1:]] != groups[y[:-1]])
     first = np.flatnonzero(new)
-    return x[first], y[first], np.add.reduceat(hot, first) if len(first) else hot, np.diff(np.append(first, len(x)))
-
-
-def _likely(pairs: DataFrame) -> DataFrame:
-    """The pairs that may be links: found by as many signatures as any link of either set shares at least.
-
-    Signatures for which both sets are members of a third one's star don't show in the pair; they are no more than either
-    set's memberships, which are added.  So no link is lost.
+    x, y, n = x[first], y[first], np.diff(np.append(first, len(x)))
+    hot = np.add.reduceat(hot, first) if len(first) else hot
+    post = np.flatnonzero(many)
+    c, m, zero = centre[post], claims[post], np.zeros(len(post), np.int64)
+    columns = {
+        "post": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(signs[post], pa.int64())]),
+        "x": np.concatenate([names[x], names[c]]), "y": np.concatenate([names[y], names[m]]), "grp": np.concatenate([groups[y], groups[m]]),
+        "n": np.concatenate([n, zero]), "hot": np.concatenate([hot, zero]), "qx": np.concatenate([needs[x], needs[c]]), "qy": np.concatenate([needs[y], needs[m]]), "size": np.concatenate([sizes[y], sizes[m]]),
+    }
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 6
+    return pa.table([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns.values(), kinds, strict=True)], names=list(columns))
+
+
+def _likely(found: DataFrame) -> DataFrame:
+    """The pairs that may be links: found by as many signatures of a group as any link of either set has in common.
+
+    Signatures of many sets for which x isn't the centre of y's star don't show in the pair; they are no more than either set's
+    memberships, which are added.  So no link is lost.
     """
-    member = pairs.filter("hot > 0").groupBy("y").agg(F.sum("hot").alias("h"))
-    of = lambda c: member.select(F.col("y").alias(c), F.col("h").alias(f"h{c}"))
+    pairs = found.filter("post is null").groupBy("x", "y", "grp").agg(F.sum("n").alias("n"), F.sum("hot").alias("hot"), F.max("qx").alias("qx"), F.max("qy").alias("qy"))
+    member = found.filter("post is not null and x <> y").groupBy("y", "grp").agg(F.count(F.lit(1)).alias("h"))
+    of = lambda c: member.select(F.col("y").alias(c), "grp", F.col("h").alias(f"h{c}"))
     hidden = F.least(F.coalesce("hx", F.lit(0)), F.coalesce("hy", F.lit(0)) - F.col("hot"))
-    return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").filter(F.col("n") + hidden >= F.greatest("tx", "ty")).select("x", "y")
+    return pairs.join(of("x"), ["x", "grp"], "left").join(of("y"), ["y", "grp"], "left").filter(F.col("n") + hidden >= F.greatest("qx", "qy")).select("x", "y").distinct()
 
 
-def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """The pairs x, y whose sets reach the threshold."""
-    by_text, by_set = _filters(rows, pairs.select(F.explode(F.array("x", "y")).alias("node")))
+def _elements(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The nodes' sets: name, size, elements (64-bit hashes).  Texts that no node has, by a filter, aren't cut into words."""
+    by_text = _filter(rows.select(F.col("__set").alias("node"), "__hash").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("__hash").alias("h")), "h")
+    by_set = _filter(nodes, "node")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = batch.filter(pa.array(_passes(by_text, batch.column(batch.schema.get_field_index("__hash")).to_numpy())))
+            if hit.num_rows:
+                yield hit
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, edge, names, pick in _sets_of(batches, n, by_text, by_set):
-            for low in range(0, len(pick), 200):
-                part = pick[low : low + 200]
-                yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array([hashes[edge[i] : edge[i + 1]].tobytes() for i in part], pa.binary())], ["name", "elements"])
+        for _, hashes, sizes, names in _sets(passing(batches), n):
+            _, one = np.unique(names, return_index=True)
+            one = one[_passes(by_set, names[one]) & (sizes[one] > 0)]
+            edge = np.concatenate([[0], np.cumsum(sizes)])
+            for low in range(0, len(one), 200):
+                part = one[low : low + 200]
+                yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(sizes[part], pa.int32()), pa.array([hashes[edge[i] : edge[i + 1]].tobytes() for i in part], pa.binary())], ["name", "size", "elements"])
+
+    made = texts.mapInArrow(emit, "name long, size int, elements binary")
+    return made.join(nodes, made["name"] == nodes["node"], "left_semi").dropDuplicates(["name"])
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs x, y whose sets reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,45 +328,77 @@ def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, thres
                 good.append(common * threshold.denominator >= threshold.numerator * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    sets = texts.mapInArrow(emit, "name long, elements binary").dropDuplicates(["name"])
-    sets = written(sets)
     left = pairs.select("x", "y").join(sets.select(F.col("name").alias("x"), F.col("elements").alias("a")), "x")
     both = left.join(sets.select(F.col("name").alias("y"), F.col("elements").alias("b")), "y")
     return both.select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
 
 
-def _rarest(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """Pairs x < y of the nodes' sets that share one of the rarest elements of each: all links among them, and few other pairs.
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label) after these edges too: components of the labels that they join."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"c{c}"))
+    known = edges.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    ends = written(known.select("x", "y", F.coalesce("cx", "x").alias("cx"), F.coalesce("cy", "y").alias("cy")))
+    moved = components(ends.select(F.col("cx").alias("x"), F.col("cy").alias("y")))
+    nodes = labels.unionByName(ends.select(F.col("x").alias("node"), F.col("cx").alias("label"))).unionByName(ends.select(F.col("y").alias("node"), F.col("cy").alias("label"))).distinct()
+    return written(nodes.join(moved.select(F.col("node").alias("label"), F.col("label").alias("l")), "label", "left").select("node", F.coalesce("l", "label").alias("label")))
+
+
+def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Memberships (post, node, grp, need, size, label) of the signatures whose sets are in several components."""
+    mine = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = mine.groupBy("post").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("post")
+    return mine.join(apart, "post", "left_semi")
+
+
+def _second_star(open_: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of each open signature's second centre and the sets apart from it, if they come often enough to be likely."""
+    at = F.xxhash64("node", F.lit(1))
+    centre = open_.groupBy("post").agg(F.min(F.struct(at.alias("a"), F.col("node").alias("c"), F.col("label").alias("cl"), F.col("size").alias("cs"))).alias("s")).select("post", "s.c", "s.cl", "s.cs")
+    near = F.greatest("size", "cs") * threshold.numerator <= F.least("size", "cs") * threshold.denominator
+    pairs = open_.join(centre, "post").filter((F.col("label") != F.col("cl")) & near)
+    counted = pairs.groupBy(F.least("c", "node").alias("x"), F.greatest("c", "node").alias("y"), "grp").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("q"))
+    return counted.filter("4 * n >= q").select("x", "y").distinct()
+
+
+def _rarest(sets: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs x < y of the nodes' sets (node, label) in different components that share one of the rarest elements of each.
 
-    Of sets with similarity t, each has a share t of its elements in common with the other at least, so they meet in the first
-    size - ceil(t * size) + 1 elements of any one order.  With rare elements first, what a set has for itself fills its
-    beginning, and a passage that many sets hold comes last.
+    Of sets with similarity t, each has a share t of its elements in common with the other at least, and the smaller one a
+    share 2t / (1 + t), so they meet in the first size - ceil(share * size) + 1 elements of any one order.  With rare
+    elements first, what a set has for itself fills its beginning, and a passage that many sets hold comes last.  For each
+    element, the sets of the component that has most of them meet those of the other components only; a pair is made
+    at the first element that both have.
     """
-    by_text, by_set = _filters(rows, nodes)
+    num, den = threshold.numerator, threshold.denominator
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, edge, names, pick in _sets_of(batches, n, by_text, by_set):
-            for i in pick:
-                mine = hashes[edge[i] : edge[i + 1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[i], len(mine))), pa.array(mine), pa.array(np.full(len(mine), len(mine)), pa.int64())], ["node", "e", "size"])
+        for batch in batches:
+            for node, size, label, raw in zip(*batch.columns, strict=True):
+                mine = np.frombuffer(raw.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), x.as_py(), t)) for x, t in ((node, np.int64), (size, np.int32), (label, np.int64))] + [pa.array(mine)], ["node", "size", "label", "e"])
 
-    parts = written(texts.mapInArrow(emit, "node long, e long, size long").join(nodes, "node", "left_semi").distinct())
+    own = sets.join(nodes, sets["name"] == nodes["node"]).select("node", "size", "label", "elements")
+    parts = written(own.mapInArrow(emit, "node long, size int, label long, e long"))
     ranked = parts.join(parts.groupBy("e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("node").orderBy("f", "e"))
-    num, den = threshold.numerator, threshold.denominator
 
-    def part(up: int, of: int) -> Column:
-        return F.col("p") <= F.col("size") - F.floor((F.col("size") * up + of - 1) / of) + 1
-
-    first = written(ranked.withColumn("p", place).filter(part(num, den)).filter("f > 1").select("node", "e", "size", "p"))
-    of = lambda df, c: df.select(F.col("node").alias(c), "e", F.col("size").alias(f"s{c}"), F.col("p").alias(f"p{c}"))
-    # with a set that isn't smaller, x has a share 2t / (1 + t) in common, so it shows in a shorter beginning of x
-    x, y = of(first.filter(part(2 * num, num + den)), "x"), of(first, "y")
-    near = (F.col("sx") <= F.col("sy")) & (F.col("sy") * num <= F.col("sx") * den) & (F.col("x") != F.col("y"))
+    def part(size: Column, up: int, of: int) -> Column:
+        return size - F.floor((size * up + of - 1) / of) + 1
+
+    first = ranked.withColumn("p", place).filter(F.col("p") <= part(F.col("size"), num, den)).filter("f > 1")
+    first = written(first.withColumn("before", F.collect_list("e").over(Window.partitionBy("node").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))).select("node", "size", "label", "e", "p", "before"))
+    blocks = first.groupBy("e", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("e").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("e", "main")
+    tagged = first.join(blocks, "e")
+    of = lambda df, c: df.select(F.col("node").alias(c), "e", F.col("main").alias(f"m{c}"), F.col("label").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("p").alias(f"p{c}"), F.col("before").alias(f"b{c}"))
+    x, y = of(tagged.filter("label <> main"), "x"), of(tagged, "y")
+    near = F.greatest("sx", "sy") * num <= F.least("sx", "sy") * den
+    once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
+    early = F.when(F.col("sx") <= F.col("sy"), F.col("px") <= part(F.col("sx"), 2 * num, num + den)).otherwise(F.col("py") <= part(F.col("sy"), 2 * num, num + den))
     # from the first element in common on, neither set may have fewer elements left than a link has in common
     left = F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) + 1
-    found = x.join(y, "e").filter(near & (left * (num + den) >= (F.col("sx") + F.col("sy")) * num))
-    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    met_first = near & once & early & (left * (num + den) >= (F.col("sx") + F.col("sy")) * num) & ~F.arrays_overlap("bx", "by")
+    pairs = x.join(y, (x["e"] == y["e"]) & met_first)
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.75) -> DataFrame:
@@ -334,56 +407,50 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     Two rows link if their sets of distinct n-grams of words have a Jaccard similarity of threshold or more.  Words are
     runs of bytes other than 0x20, 0x09-0x0D, A-Z lower-cased; a text of fewer words has its whole sequence as its one
     n-gram; null and empty texts link with nothing.  Equal rows link like others.  A null key counts last, and
-    is the component of a row that reaches no other key.
+    is the component of a row that reaches no other key.  Keys may be of any type that has an order.
     """
     limit = Fraction(threshold).limit_denominator(10_000)
     texts = docs.select(text_or_empty(text).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
     rows = written(described(docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")), "__t", n))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets_for(texts, F.col("__text")) // 2)
-    pairs = written(_candidates(texts, n, limit, buckets))
-    edges = written(_verified(texts, rows, written(_likely(pairs)), n, limit))
-    labels = written(components(edges))
-    edges, labels = _missed(texts, rows, pairs, edges, labels, n, limit)
+    found = written(_found(texts, n, limit, buckets))
+    labels = _labels(texts, rows, found, n, limit)
     label = rows.join(labels.withColumnRenamed("node", "__set"), "__set", "left").withColumn("__c", F.when(F.col("n_shingles") > 0, F.coalesce("label", "__set")))
     least = label.filter("__c is not null").groupBy("__c").agg(F.min("__key").alias("least"))
     return label.join(least, "__c", "left").select(F.col("__key").alias(key), "n_shingles", F.coalesce("least", "__key").alias("component_id"))
 
 
+def _labels(texts: DataFrame, rows: DataFrame, found: DataFrame, n: int, limit: Fraction) -> DataFrame:
+    """Per set with a link: node and label, which all sets that it reaches have."""
+    likely = written(_likely(found))
+    posts = found.filter("post is not null").select("post", F.col("y").alias("node"), "grp", F.col("qy").alias("need"), "size")
+    enough = posts.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("q")).filter("n >= q")
+    nodes = written(likely.select(F.explode(F.array("x", "y")).alias("node")).unionByName(enough.select("node")).distinct())
+    sets = written(_elements(texts, rows, nodes, n))
+    labels = written(components(written(_verified(sets, likely, limit))))
+    # a set with fewer memberships than a link needs can't have lost one
+    posts = written(posts.join(enough.select("node", "grp"), ["node", "grp"], "left_semi"))
+    open_ = written(_open(posts, labels))
+    if open_.isEmpty():
+        return labels
+    again = written(_verified(sets, _second_star(open_, limit), limit))
+    if not again.isEmpty():
+        labels = _joined(labels, again)
+        open_ = written(_open(posts, labels))
+    apart = open_.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("q"), F.max("label").alias("label")).filter("n >= q").select("node", "label").distinct()
+    more = written(_verified(sets, written(_rarest(sets, apart, limit)), limit))
+    return labels if more.isEmpty() else _joined(labels, more)
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.75) -> DataFrame:
     """docs with one row of each group of linked rows: that with the smallest key.
 
     Rows that link with nothing stay, null and empty texts included; of rows that repeat both key and text one stays.  Rows and
     columns that stay are unchanged.
     """
+    k, number = unused(docs, "k"), unused(docs, "n")
     groups = join(docs, key, text, n, threshold)
-    stay = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k")).distinct()
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    stay = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(k)).distinct()
+    kept = docs.join(stay, F.col(key).eqNullSafe(F.col(k)), "left_semi")
     first = Window.partitionBy(key, content_key(F.coalesce(F.concat(F.lit("1"), F.col(text)), F.lit("")))).orderBy(F.lit(1))
-    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-
-
-def _missed(texts: DataFrame, rows: DataFrame, pairs: DataFrame, edges: DataFrame, labels: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Edges and labels with the links that stars alone may have missed.
-
-    If a link's two sets are in different components, all signatures that they share gave stars, in each of which
-    the centre is apart from one of the two.  So both have as many hot signatures as a link shares at least, and only such
-    sets are joined again, if one of them is apart from a centre at all.
-    """
-    hot = pairs.filter("hot > 0")
-    lx, ly = labels.select(F.col("node").alias("x"), F.col("label").alias("cx")), labels.select(F.col("node").alias("y"), F.col("label").alias("cy"))
-    far = hot.join(lx, "x", "left").join(ly, "y", "left").withColumn("apart", F.coalesce("cx", "x") != F.coalesce("cy", "y"))
-    member = far.groupBy(F.col("y").alias("node")).agg(F.sum("hot").alias("h"), F.sum(F.when(F.col("apart"), F.col("hot")).otherwise(0)).alias("u"), F.min("ty").alias("t"))
-    # a centre's own signatures link it to every member directly, so only members can lose a link
-    open_sets = written(member.filter("h >= t"))
-    if open_sets.filter("2 * u >= t").isEmpty():
-        return edges, labels
-    again = _rarest(texts, rows, open_sets.select("node"), n, threshold)
-    again = again.join(lx, "x", "left").join(ly, "y", "left").filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
-    again = written(again.join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
-    if again.isEmpty():
-        return edges, labels
-    more = written(_verified(texts, rows, again, n, threshold))
-    if more.isEmpty():
-        return edges, labels
-    edges = edges.unionByName(more)
-    return edges, written(components(edges))
+    return kept.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).drop(number)
