@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: texts may be long, so a batch must hold few of them.
 ARROW_ROWS = 400
+#: Bytes of an Arrow batch, but for a single row that is longer.
+ARROW_BYTES = 8 << 20
 #: Bytes of text that one hash bucket of an exchange is meant to hold.
 BUCKET_BYTES = 20_000_000
 
@@ -23,18 +25,21 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors see.
 
-    Where that setting is absent (local tests), a temporary folder of this machine becomes
-    the checkpoint folder.
+    Where that setting is absent and the master is local (tests), a temporary folder of this machine becomes
+    the checkpoint folder; on any other master that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="basketry-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/basketry-{uuid.uuid4().hex}"

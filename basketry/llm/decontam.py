@@ -1,18 +1,20 @@
 """Benchmark decontamination: every passage is a query to a BM25 index of the test items.
 
 Weights are divided by an item's own total, so that a score is the share of the item that a passage accounts for and
-one threshold serves items of all lengths.  Retrieval is block-max WAND: posting lists in item order, with the greatest
-weight of the list and of each block; a cursor moves over what can't reach the threshold.  Before it, whole batches of
-passages are held against the sums of greatest weights, over all items and over ranges of items: what can't
-reach the threshold in any range needs no cursor.  Every item retrieved is then verified: enough n-grams of
+one threshold serves items of all lengths.  Retrieval is block-max WAND over posting lists in item order, cut into
+blocks of items: a query's frequent terms, whose greatest weights together stay below a part of the threshold, count as a
+constant; the block maxima of its other terms are summed, and only blocks whose sum reaches the threshold are live.  WAND's
+cursors move over the lists from live block to live block.  Every item retrieved is then verified: enough n-grams of
 its question and of its answer must be in the passage.
 
-Passages are windows of words that overlap by half; half a window is as long as the longest item, so every whole item lies
-in one.  The index is broadcast in shards of bounded size, each with a scan of its own.
+Passages are windows of words that overlap by half; half a window is a power of two and as long as the item, so every whole
+item lies in one.  Items of one such length go to shards of bounded size, which executors build and which are
+broadcast one at a time.  Frequencies and the mean length are those of all items: a score doesn't depend on the shards.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,16 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import textscan as ts
-from basketry.llm.common import small_batches
+from basketry.llm.common import small_batches, unused, written
 
 K1, B = 1.2, 0.75
+#: Items in a block.
 BLOCK = 16
-#: Ranges of items that bounds are kept for.
-RANGES = 256
-#: Words of half a passage, if no item is longer.
+#: The part of the threshold that a query's frequent terms may reach together.
+FREQUENT = 0.4
+#: Words of half a passage, if its items aren't longer.
 HALF = 64
 NGRAM = 5
-#: Items and bytes of items in a shard of the index.
+#: Items and bytes of items in a shard of the index, on average.
 SHARD_ITEMS, SHARD_BYTES = 20_000, 16_000_000
 
 
@@ -64,51 +67,94 @@ def grams(words: np.ndarray) -> np.ndarray:
 class Index:
     ids: list
     vocabulary: np.ndarray  # sorted hashes
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each term: items, weights, greatest weights of blocks
+    edge: np.ndarray  # of each term's list in items and weights
+    items: np.ndarray
+    weights: np.ndarray
     top: np.ndarray  # greatest weight of each list
-    ranges: np.ndarray  # greatest weight of each list in each range of items
+    block_edge: np.ndarray  # of each term's blocks in blocks and maxima
+    blocks: np.ndarray
+    maxima: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
     shortest: list[tuple[int, int]]  # words of an n-gram of question and answer
     half: int
 
     @classmethod
-    def build(cls, ids: list, texts: list[str]) -> Index:
+    def build(cls, ids: list, texts: list[str], known: tuple[np.ndarray, np.ndarray, int, float] | None = None, half: int | None = None) -> Index:
+        """known: terms and their frequencies in all items, the number of items and their mean length; by default those of texts."""
         hashes, doc = terms(texts)
         vocabulary, term = np.unique(hashes, return_inverse=True)
         n, length = len(texts), np.bincount(doc, minlength=len(texts))
         pair, tf = np.unique(term.astype(np.int64) * n + doc, return_counts=True) if len(term) else (np.zeros(0, np.int64), np.zeros(0))
         t, d = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(t, minlength=len(vocabulary))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / max(length.mean(), 1e-9)))
+        df, total, mean = np.bincount(t, minlength=len(vocabulary)), n, float(length.mean()) if n else 0.0
+        if known is not None:
+            df, total, mean = known[1][np.searchsorted(known[0], vocabulary)], known[2], known[3]
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / max(mean, 1e-9)))
         weight = weight / np.bincount(d, weight, n)[d] if n else weight
         edge = np.searchsorted(t, np.arange(len(vocabulary) + 1))
-        lists = []
-        for i in range(len(vocabulary)):
-            w = weight[edge[i] : edge[i + 1]]
-            lists.append((d[edge[i] : edge[i + 1]], w, np.maximum.reduceat(w, np.arange(0, len(w), BLOCK))))
-        wide = np.zeros((len(vocabulary), RANGES), np.float32)
-        np.maximum.at(wide, (t, d * RANGES // max(n, 1)), weight.astype(np.float32))
+        new = np.flatnonzero(np.diff(t * (n // BLOCK + 1) + d // BLOCK, prepend=-1))
         parts = [split_item(x) for x in texts]
         sides = []
         for k in (0, 1):
             h, of = terms([p[k] for p in parts])
             at = np.searchsorted(of, np.arange(n + 1))
             sides.append([h[at[i] : at[i + 1]] for i in range(n)])
-        return cls(ids, vocabulary, lists, np.array([w.max() for _, w, _ in lists]), wide, [grams(x) for x in sides[0]], [grams(x) for x in sides[1]], [(min(NGRAM, len(a)), min(NGRAM, len(b))) for a, b in zip(*sides, strict=True)], max(HALF, int(length.max(initial=0))))
-
-    def retrieve(self, query: np.ndarray, threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
-        """Items from low to before high whose weights of the query's distinct terms sum to the threshold or
-        more, by block-max WAND."""
-        end = len(self.ids) if high is None else high
-        cursors = []
-        for t in query.tolist():
-            items = self.lists[t][0]
-            at = int(items.searchsorted(low)) if low else 0
-            if at < len(items) and items[at] < end:
-                cursors.append([int(items[at]), at, t])
-        found = []
+        return cls(
+            ids, vocabulary, edge, d, weight, np.maximum.reduceat(weight, edge[:-1]) if len(t) else weight, np.searchsorted(new, edge), d[new] // BLOCK, np.maximum.reduceat(weight, new) if len(new) else weight,
+            [grams(x) for x in sides[0]], [grams(x) for x in sides[1]], [(min(NGRAM, len(a)), min(NGRAM, len(b))) for a, b in zip(*sides, strict=True)], half or half_of(int(length.max(initial=0))),
+        )
+
+    def live(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Passages and their live blocks, in order, from the distinct terms of each passage (in order of passages)."""
+        order = np.lexsort((self.top[term], passage))
+        passage, term = passage[order], term[order]
+        top = self.top[term]
+        first = np.flatnonzero(np.diff(passage, prepend=-1))
+        running = np.cumsum(top)
+        running -= np.repeat(running[first] - top[first], np.diff(np.append(first, len(passage))))
+        frequent = running <= FREQUENT * threshold
+        constant = np.bincount(passage, np.where(frequent, top, 0.0), int(passage.max(initial=0)) + 1)
+        passage, term = passage[~frequent], term[~frequent]
+        count = self.block_edge[term + 1] - self.block_edge[term]
+        at = ts.ragged(self.block_edge[term], count)
+        key = np.repeat(passage, count) * (len(self.ids) // BLOCK + 1) + self.blocks[at]
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.diff(key[order], prepend=-1))
+        bound = np.add.reduceat(self.maxima[at][order], start) if len(start) else np.zeros(0)
+        key = key[order][start]
+        of = key // (len(self.ids) // BLOCK + 1)
+        some = bound + constant[of] >= threshold - 1e-9
+        return of[some], key[some] % (len(self.ids) // BLOCK + 1)
+
+    def retrieve(self, query: np.ndarray, threshold: float, live: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """Items whose weights of the query's distinct terms sum to the threshold or more, by block-max WAND.
+
+        live: the blocks that may hold such items, in order; found from the block maxima if not given.
+        """
+        if live is None:
+            live = self.live(np.zeros(len(query), np.int64), query, threshold)[1]
+        live = live.tolist()
+        cursors: list[list[int]] = []  # item, place in items, term
+
+        def moved(goal: int, part: list[list[int]]) -> list[list[int]]:
+            """The cursors at the first item from goal on."""
+            out = []
+            for item, at, t in part:
+                if item < goal:
+                    at += int(np.searchsorted(self.items[at : self.edge[t + 1]], goal))
+                    if at >= self.edge[t + 1]:
+                        continue
+                    item = int(self.items[at])
+                out.append([item, at, t])
+            return out
+
+        found: list[tuple[int, float]] = []
+        if not live:
+            return found
+        cursors = moved(live[0] * BLOCK, [[-1, int(self.edge[t]), t] for t in query.tolist()])
+        block = 0
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
@@ -120,36 +166,21 @@ class Index:
             if pivot < 0:
                 break
             item = cursors[pivot][0]
+            while block < len(live) and live[block] < item // BLOCK:
+                block += 1
+            if block == len(live):
+                break
+            if live[block] > item // BLOCK:  # no item of the pivot's block can reach the threshold
+                cursors = moved(live[block] * BLOCK, cursors)
+                continue
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            # blocks that hold the item, or would
-            block, until = 0.0, end
-            for _, at, t in cursors[: pivot + 1]:
-                items, _, most = self.lists[t]
-                b = (at + int(np.searchsorted(items[at:], item))) // BLOCK
-                if b < len(most):
-                    block += most[b]
-                    until = min(until, int(items[min(len(items), (b + 1) * BLOCK) - 1]) + 1)
-            if block >= threshold - 1e-9:
-                if cursors[0][0] == item:
-                    score = sum(float(self.lists[t][1][at]) for _, at, t in cursors[: pivot + 1])
-                    if score >= threshold - 1e-9:
-                        found.append((item, score))
-                goal = item + 1 if cursors[0][0] == item else item
-            else:
-                goal = max(until, item + 1)
-                if pivot + 1 < len(cursors):
-                    goal = max(min(goal, cursors[pivot + 1][0]), item + 1)
-            kept = []
-            for k, c in enumerate(cursors):
-                if k <= pivot and c[0] < goal:
-                    items = self.lists[c[2]][0]
-                    c[1] += int(np.searchsorted(items[c[1] :], goal))
-                    if c[1] >= len(items) or items[c[1]] >= end:
-                        continue
-                    c[0] = int(items[c[1]])
-                kept.append(c)
-            cursors = kept
+            if cursors[0][0] == item:
+                score = sum(float(self.weights[at]) for _, at, _ in cursors[: pivot + 1])
+                if score >= threshold - 1e-9:
+                    found.append((item, score))
+                item += 1
+            cursors = [*moved(item, cursors[: pivot + 1]), *cursors[pivot + 1 :]]
         return found
 
     def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float]:
@@ -160,6 +191,11 @@ class Index:
         return out[0], out[1]
 
 
+def half_of(words: int) -> int:
+    """Words of half a passage for an item of so many words."""
+    return max(HALF, 1 << max(words - 1, 0).bit_length())
+
+
 def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, least: tuple[float, float]) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(text, item): score and overlaps of the best passage, of items that are verified."""
     low = ts.folded(data)
@@ -187,52 +223,77 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
     if not len(passage):
         return found
     edge = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1], [True]]))
-    good = []
-    for a in range(0, len(edge) - 1, 512):
-        b = min(len(edge) - 1, a + 512)
-        bound = np.add.reduceat(index.ranges[term[edge[a] : edge[b]]], edge[a:b] - edge[a])
-        i, r = np.nonzero(bound >= threshold - 1e-4)
-        good.append(np.stack([i + a, r], 1))
-    n = len(index.ids)
-    for i, r in np.concatenate(good).tolist():
-        p = passage[edge[i]]
-        d = int(np.searchsorted(base, p, "right")) - 1
-        begin = first[d] + (p - base[d]) * index.half
-        mine = words[begin : min(begin + 2 * index.half, first[d + 1])]
-        for item, score in index.retrieve(term[edge[i] : edge[i + 1]], threshold, -(-r * n // RANGES), -(-(r + 1) * n // RANGES)):
-            q, a = index.overlaps(item, mine)
-            if q >= least[0] and a >= least[1] and (score, q, a) > found.get((d, item), (0.0, 0.0, 0.0)):
-                found[d, item] = (score, q, a)
+    for a in range(0, len(edge) - 1, 4096):
+        b = min(len(edge) - 1, a + 4096)
+        mine = slice(edge[a], edge[b])
+        whose, block = index.live(np.repeat(np.arange(b - a), np.diff(edge[a : b + 1])), term[mine], threshold)
+        cut = np.flatnonzero(np.diff(whose, prepend=-1, append=-1))
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            i = a + int(whose[x])
+            p = passage[edge[i]]
+            d = int(np.searchsorted(base, p, "right")) - 1
+            begin = first[d] + (p - base[d]) * index.half
+            near = words[begin : min(begin + 2 * index.half, first[d + 1])]
+            for item, score in index.retrieve(term[edge[i] : edge[i + 1]], threshold, block[x:y]):
+                q, r = index.overlaps(item, near)
+                if q >= least[0] and r >= least[1] and (score, q, r) > found.get((d, item), (0.0, 0.0, 0.0)):
+                    found[d, item] = (score, q, r)
     return found
 
 
-def shards(items: DataFrame, key: str, text: str) -> list[Index]:
-    """Indexes of all items, each of bounded size.  Items without words match nothing; equal items are all kept."""
+def indexes(items: DataFrame, key: str, text: str) -> DataFrame:
+    """Indexes of all items, pickled, one a row (half, index), each of bounded size and built by a task.
+
+    Items without words match nothing; equal items are all kept.
+    """
+    spark = items.sparkSession
+    small_batches(spark)
     known = items.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    out, ids, texts, size = [], [], [], 0
-    for r in known.orderBy("k", "t").toLocalIterator():
-        if ids and (len(ids) >= SHARD_ITEMS or size + len(r["t"]) > SHARD_BYTES):
-            out.append(Index.build(ids, texts))
-            ids, texts, size = [], [], 0
-        if r["t"].strip():
-            ids.append(r["k"])
-            texts.append(r["t"])
-            size += len(r["t"].encode())
-    return [*out, Index.build(ids, texts)] if ids else out
+    kind = known.schema["k"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, doc = terms(batch.column(1).to_pylist())
+            length = np.bincount(doc, minlength=batch.num_rows)
+            pairs = np.unique(np.stack([doc.astype(np.uint64), hashes], 1), axis=0)
+            at = np.searchsorted(pairs[:, 0], np.arange(batch.num_rows + 1))
+            own = [pairs[at[i] : at[i + 1], 1].view(np.int64) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64())), pa.array(length, pa.int64())], ["k", "t", "terms", "words"])
+
+    counted = written(known.mapInArrow(count, f"k {kind}, t string, terms array<long>, words long").filter("words > 0").withColumn("id", F.monotonically_increasing_id()))
+    n, mean, size = counted.agg(F.count(F.lit(1)), F.avg("words"), F.sum(F.octet_length("t"))).first()
+    shards = max(1, -(-n // SHARD_ITEMS), -(-(size or 0) // SHARD_BYTES))
+    frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    placed = counted.withColumns({"half": F.greatest(F.lit(HALF), F.expr("shiftleft(1, length(bin(words - 1)))")), "shard": F.pmod(F.xxhash64("id"), F.lit(shards))})
+    both = placed.select("half", "shard", "id", F.explode("terms").alias("term")).join(frequency, "term").groupBy("half", "shard", "id").agg(F.collect_list(F.struct("term", "df")).alias("df"))
+
+    def build(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        pairs = group.column("df").combine_chunks().flatten()
+        term, first = np.unique(pairs.field("term").to_numpy().view(np.uint64), return_index=True)
+        index = Index.build(group.column("k").to_pylist(), group.column("t").to_pylist(), (term, pairs.field("df").to_numpy()[first], n, mean), group.column("half")[0].as_py())
+        return pa.table({"half": group.column("half").slice(0, 1), "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    whole = placed.select("half", "shard", "id", "k", "t").join(both, ["half", "shard", "id"])
+    return written(whole.groupBy("half", "shard").applyInArrow(build, "half int, index binary"))
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.5, least: tuple[float, float] = (0.6, 0.6), out: str = "leaks") -> DataFrame:
     """docs with the test items that each text holds: an array of (item, score, question, answer), by item, empty if none.
 
     An item is found if some passage's share of its BM25 weight is threshold or more and the passage has at least these
-    shares of the n-grams of its question and its answer.  Null and empty texts hold none.  Narrow; whole texts.
+    shares of the n-grams of its question and its answer.  Null and empty texts hold none.  Narrow; whole texts.  A column
+    named as out is replaced.  With several indexes, docs are written after each but the last, so that a task holds one.
     """
     small_batches(docs.sparkSession)
     leak = f"array<struct<item:{items.schema[item_key].dataType.simpleString()},score:double,question:double,answer:double>>"
-    found = docs.drop(out).withColumn(out, F.array().cast(leak))
-    for index in shards(items, item_key, item_text):
-        found = _with(found, index, text, threshold, least, out)
-    return found
+    made = unused(docs, "leaks")
+    found = docs.drop(out).withColumn(made, F.array().cast(leak))
+    number = 0
+    for row in indexes(items, item_key, item_text).toLocalIterator():
+        found = _with(written(found) if number else found, pickle.loads(row["index"]), text, threshold, least, made)
+        number += 1
+    return found.withColumn(made, F.array_sort(made)).withColumnRenamed(made, out)
 
 
 def _with(docs: DataFrame, index: Index, text: str, threshold: float, least: tuple[float, float], out: str) -> DataFrame:
