@@ -1,13 +1,18 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order in which it sees a fixed set of pivots, nearest first.  The pivot inverted file
-holds, for each pivot, the position that it has in the order of every vector posted.  A query reads the lists of its own
-nearest pivots only; the sum of differences of positions in them (footrule distance) ranks the posted vectors, and the
-best share of these is ranked again by the true distance.
-
-Equal vectors are posted once, with their smallest ids: all that a list of k neighbours can hold of them.
-The index is written in pages of some vectors; a task lays pages together to segments, and answers a block of queries
-on each.  Blocks have a bounded number of queries, which is all that is broadcast besides the pivots.
+A vector is represented by its nearest pivots of a fixed set, in order.  The pivot inverted file holds, for each pivot, the
+vectors that have it among their nearest, by the position that it has there.  A query reads the lists of its own nearest
+pivots, and of these the part whose positions are near its own; what the positions differ by there, and the greatest
+difference for pivots that only one of the two has, is the footrule distance that ranks the vectors read.  The best are
+ranked again by the true distance.
+
+How far down to go is a bound on the footrule distance, which each query takes from a bounded sample of the vectors: the
+share of these that shall be ranked again.  The bound holds for all vectors alike, however they are spread over the
+index: there is no limit to how many are within it, and with a share of 1 the search is exact.
+
+Equal vectors are posted once, with their smallest ids: all that a list of k neighbours can hold of them.  The index is
+written in pages of some vectors with the pages' lists; tasks answer blocks of queries on them.  A block has a bounded
+number of queries, which is all that is broadcast besides the pivots.
 """
 
 from __future__ import annotations
@@ -21,13 +26,17 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import shared_dir, small_batches, written
 
-#: Pivots, whose positions fit in a byte, and distinct vectors (those with the smallest hashes) that they are chosen from.
-PIVOTS, SAMPLE = 256, 2048
-#: A query reads the lists of so many of its nearest pivots.
-LISTS = 128
-#: The share of each segment that is ranked again, and the least number.
-SHARE, LEAST = 0.05, 128
-PAGE, SEGMENT = 256, 4096
+#: Pivots: so many for each square root of the number of vectors, within these limits.
+PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 5, 128, 4096
+#: Distinct vectors (those with the smallest hashes) that pivots are chosen from, and that queries take their bounds from.
+SAMPLE = 4096
+#: Nearest pivots that a vector is posted under, and whose lists a query reads.
+NEAREST = 64
+#: Positions that a query reads on either side of its own.
+REACH = 40
+#: The share of vectors that is ranked again, and the least number.
+SHARE, LEAST = 0.1, 256
+PAGE = 512
 #: Distinct queries in a block.
 BLOCK = 8192
 
@@ -49,80 +58,116 @@ def matrix(array: pa.ListArray, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(array), -1).astype(dtype)
 
 
-def positions(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each vector, the position of every pivot in its order; ties go to the pivot that comes first."""
-    near = np.argsort((pivots**2).sum(1)[None] - 2 * vectors @ pivots.T, axis=1, kind="stable")
-    out = np.empty(near.shape, np.uint8)
-    np.put_along_axis(out, near, np.arange(len(pivots), dtype=np.uint8)[None], axis=1)
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """For each vector its nearest pivots, nearest first; ties go to the pivot that comes first."""
+    out = np.empty((len(vectors), min(NEAREST, len(pivots))), np.uint16)
+    for low in range(0, len(vectors), 256):
+        part = vectors[low : low + 256]
+        out[low : low + 256] = np.argsort((pivots**2).sum(1)[None] - 2 * part @ pivots.T, axis=1, kind="stable")[:, : out.shape[1]]
     return out
 
 
-def choose_pivots(rows: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
-    """count distinct vectors at most: of a bounded sample, each the farthest from those chosen before it.
+def spread(sample: np.ndarray, count: int) -> np.ndarray:
+    """count distinct vectors of the sample at most, each the farthest from those chosen before it.
 
-    So a dense group of near copies doesn't take many pivots.  They have the length that most of the sample has.
+    So a dense group of near copies doesn't take many pivots.
     """
-    found = [r["e"] for r in rows.groupBy("h", "g").agg(F.first("e").alias("e")).orderBy("h", "g").limit(sample).collect()]
-    if not found:
-        return np.zeros((0, 0))
-    usual = np.bincount([len(x) for x in found]).argmax()
-    known = np.array([x for x in found if len(x) == usual], np.float64)
+    if not len(sample):
+        return sample
     chosen = [0]
-    gap = ((known - known[0]) ** 2).sum(1)
+    gap = ((sample - sample[0]) ** 2).sum(1)
     while len(chosen) < count and gap.max() > 0:
         chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, ((known - known[chosen[-1]]) ** 2).sum(1))
-    return known[chosen]
+        gap = np.minimum(gap, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
+
+
+def sampled(rows: DataFrame) -> np.ndarray:
+    """SAMPLE distinct vectors at most, of the length that most of them have."""
+    found = [r["e"] for r in rows.groupBy("h", "g").agg(F.first("e").alias("e")).orderBy("h", "g").limit(SAMPLE).collect()]
+    if not found:
+        return np.zeros((0, 0))
+    usual = np.bincount([len(x) for x in found]).argmax()
+    return np.array([x for x in found if len(x) == usual], np.float64)
+
+
+class Lists:
+    """The pivot inverted file of some vectors: by pivot and position, the vectors (by number) posted there."""
+
+    def __init__(self, near: np.ndarray, pivots: int):
+        place = near.astype(np.int64) * near.shape[1] + np.arange(near.shape[1])
+        self.members = np.argsort(place.ravel(), kind="stable").astype(np.int64) // near.shape[1]
+        self.edge = np.searchsorted(np.sort(place.ravel()), np.arange(pivots * near.shape[1] + 1))
+        self.size, self.nearest = len(near), near.shape[1]
+
+    def footrule(self, query: np.ndarray, reach: int) -> np.ndarray:
+        """What each vector's footrule distance to the query (its nearest pivots) is less than the greatest one."""
+        total = np.zeros(self.size, np.int64)
+        m = self.nearest
+        at = np.arange(m)
+        low, high = np.maximum(at - reach, 0), np.minimum(at + reach, m - 1)
+        first = query.astype(np.int64) * m
+        # positions of the parts of lists that are read, laid end to end
+        place = np.repeat(first + low, high - low + 1) + _steps(high - low + 1)
+        gain = m - np.abs(place % m - np.repeat(at, high - low + 1))
+        count = self.edge[place + 1] - self.edge[place]
+        some = count > 0
+        start, count, gain = self.edge[place][some], count[some], gain[some]
+        hit = np.repeat(start, count) + _steps(count)
+        total += np.bincount(self.members[hit], np.repeat(gain, count), self.size).astype(np.int64)
+        return total
+
 
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0 .. counts[i] - 1 of all i, laid end to end."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
-def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> tuple[DataFrame, np.ndarray]:
-    """The index and its pivots.  Index rows are pages: ids (the k + 1 smallest of each vector), vectors (doubles) and
-    postings (a byte for each pivot and vector, pivot by pivot).
+
+def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
+    """The index, its pivots, a sample of the vectors and the number of distinct ones.  Index rows are pages: ids (the k + 1
+    smallest of each vector), vectors (doubles), and the page's pivot inverted file (members, edge).
 
     Every usable row is indexed; rows that repeat both key and vector count once, and vectors of another length than the
     pivots' take no part.
     """
     small_batches(vectors.sparkSession)
     rows = _rows(vectors, key, vector)
-    pivots = choose_pivots(rows)
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
-    rows = rows.filter(F.size("e") == pivots.shape[1]).dropDuplicates(["h", "g", "id"])
+    sample = sampled(rows)
+    rows = rows.filter(F.size("e") == sample.shape[1]).dropDuplicates(["h", "g", "id"])
     order = Window.partitionBy("h", "g").orderBy("id")
     kept = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
-    distinct = kept.groupBy("h", "g").agg(F.first("e").alias("e"), F.sort_array(F.collect_list("id")).alias("ids"))
+    distinct = written(kept.groupBy("h", "g").agg(F.first("e").alias("e"), F.sort_array(F.collect_list("id")).alias("ids")).select("e", "ids"))
+    size = distinct.count()
+    pivots = spread(sample, min(max(int(PIVOTS_PER_ROOT * size**0.5), LEAST_PIVOTS), MOST_PIVOTS))
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, PAGE):
                 page = batch.slice(low, PAGE)
                 body = matrix(page.column(0))
-                lists = np.ascontiguousarray(positions(body, shared.value).T)
-                ids = page.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.list_(pa.int64()))), pa.array([body.tobytes()], pa.binary()), pa.array([lists.tobytes()], pa.binary())], ["ids", "vectors", "postings"])
+                lists = Lists(nearest_pivots(body, shared.value), len(shared.value))
+                raw = [body.tobytes(), lists.members.astype("<u2").tobytes(), np.diff(lists.edge, prepend=0).astype("<u2").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([page.column(1).to_pylist()], pa.list_(pa.list_(pa.int64()))), *(pa.array([x], pa.binary()) for x in raw)], ["ids", "vectors", "members", "edge"])
 
-    return written(distinct.select("e", "ids").mapInArrow(run, "ids array<array<long>>, vectors binary, postings binary")), pivots
+    return written(distinct.mapInArrow(run, "ids array<array<long>>, vectors binary, members binary, edge binary")), pivots, sample, size
 
 
 class Answers:
     """The nearest rows found so far for each query of a block."""
 
-    def __init__(self, queries: np.ndarray, pivots: np.ndarray, k: int):
-        self.queries, self.k = queries, k
-        at = positions(queries, pivots)
-        self.near = np.argsort(at, axis=1, kind="stable")[:, :LISTS]
-        self.at = np.take_along_axis(at, self.near, axis=1)
+    def __init__(self, queries: np.ndarray, near: np.ndarray, bounds: np.ndarray, k: int):
+        self.queries, self.near, self.bounds, self.k = queries, near, bounds, k
         self.distance = np.full((len(queries), k), np.inf)
         self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
 
-    def see(self, ids: list[list[int]], body: np.ndarray, lists: np.ndarray) -> None:
-        """Rank a segment for each query: by footrule distance over its pivots' lists, the best by true distance."""
-        n = len(ids)
-        take = min(n, max(LEAST, int(n * SHARE)))
+    def see(self, ids: list[list[int]], body: np.ndarray, lists: Lists, reach: int) -> None:
+        """Rank a page for each query: by true distance those whose footrule distance is within the query's bound."""
         least = np.array([x[0] for x in ids])
         for q in range(len(self.queries)):
-            read, own = lists[self.near[q]], self.at[q][:, None]
-            rule = (np.maximum(read, own) - np.minimum(read, own)).sum(0, dtype=np.uint16)
-            best = np.argpartition(rule, take - 1)[:take] if take < n else np.arange(n)
+            best = np.flatnonzero(lists.footrule(self.near[q], reach) >= self.bounds[q])
+            if not len(best):
+                continue
             true = np.sqrt(((body[best] - self.queries[q]) ** 2).sum(1))
             first = np.lexsort((least[best], true))[: self.k]
             if true[first[0]] > self.distance[q, -1]:
@@ -134,55 +179,65 @@ class Answers:
             self.distance[q], self.ids[q] = d[keep], who[keep]
 
 
-def _block(index: DataFrame, pivots: np.ndarray, block: DataFrame, k: int) -> DataFrame:
-    """Per query of the block and task: h, g and the nearest rows found there (id, d)."""
-    rows = block.select("h", "g", "e").orderBy("h", "g").toArrow().combine_chunks()
-    names = np.stack([rows.column("h").to_numpy(), rows.column("g").to_numpy()], 1)
-    queries = matrix(rows.column("e").combine_chunks()) if rows.num_rows else np.zeros((0, pivots.shape[1]))
-    shared = index.sparkSession.sparkContext.broadcast((names, queries, pivots))
+def _bounded(queries: DataFrame, pivots: np.ndarray, sample: np.ndarray, size: int, share: float, reach: int) -> DataFrame:
+    """Distinct queries (h, g, e) with their nearest pivots and their bound: what the share of the sample reaches."""
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries, pivots = shared.value
-        answers = Answers(queries, pivots, k + 1)
-        ids: list[list[int]] = []
-        bodies: list[np.ndarray] = []
-        lists: list[np.ndarray] = []
+        pivots, sample = shared.value
+        lists = Lists(nearest_pivots(sample, pivots), len(pivots)) if len(sample) else None
+        take = min(len(sample), int(np.ceil(len(sample) * max(share, LEAST / max(size, 1)))))
+        for batch in batches:
+            near = nearest_pivots(matrix(batch.column(2)), pivots)
+            bound = [0 if take == len(sample) else int(np.partition(lists.footrule(n, reach), len(sample) - take)[len(sample) - take]) for n in near]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n.astype("<u2").tobytes() for n in near], pa.binary()), pa.array(bound, pa.int64())], ["h", "g", "e", "near", "bound"])
+
+    return queries.select("h", "g", "e").mapInArrow(run, "h long, g long, e array<double>, near binary, bound long")
+
 
-        def flush() -> None:
-            if ids:
-                answers.see(ids, np.concatenate(bodies), np.concatenate(lists, 1))
-                ids.clear(), bodies.clear(), lists.clear()
+def _block(index: DataFrame, block: DataFrame, k: int, reach: int) -> DataFrame:
+    """Per query of the block and task: h, g and the nearest rows found there (id, d)."""
+    rows = block.orderBy("h", "g").toArrow().combine_chunks()
+    names = np.stack([rows.column("h").to_numpy(), rows.column("g").to_numpy()], 1)
+    queries = matrix(rows.column("e").combine_chunks()) if rows.num_rows else np.zeros((0, 0))
+    near = [np.frombuffer(x, "<u2") for x in rows.column("near").to_pylist()]
+    shared = index.sparkSession.sparkContext.broadcast((names, queries, near, rows.column("bound").to_numpy()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries, near, bounds = shared.value
+        answers = Answers(queries, near, bounds, k + 1)
         for batch in batches:
-            for mine, body, posted in zip(*(batch.column(i) for i in range(3)), strict=True):
-                ids.extend(mine.as_py())
-                bodies.append(np.frombuffer(body.as_buffer(), np.float64).reshape(-1, queries.shape[1]))
-                lists.append(np.frombuffer(posted.as_buffer(), np.uint8).reshape(len(pivots), -1))
-                if len(ids) >= SEGMENT:
-                    flush()
-        flush()
+            for ids, body, members, edge in zip(*batch.columns, strict=True):
+                ids = ids.as_py()
+                lists = Lists.__new__(Lists)
+                lists.members = np.frombuffer(members.as_buffer(), "<u2").astype(np.int64)
+                lists.edge = np.cumsum(np.frombuffer(edge.as_buffer(), "<u2").astype(np.int64))
+                lists.size, lists.nearest = len(ids), len(lists.members) // len(ids)
+                answers.see(ids, np.frombuffer(body.as_buffer(), np.float64).reshape(len(ids), -1), lists, reach)
         q, slot = np.nonzero(np.isfinite(answers.distance))
         yield pa.RecordBatch.from_arrays([pa.array(names[q, 0]), pa.array(names[q, 1]), pa.array(answers.ids[q, slot]), pa.array(answers.distance[q, slot])], ["h", "g", "id", "d"])
 
     return index.mapInArrow(run, "h long, g long, id long, d double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = SHARE, reach: int = REACH) -> DataFrame:
     """Per query row and rank: query_id, rank (int, from 1), vec_id, score (Euclidean distance in double precision).
 
     The k rows of vectors nearest to each row of queries that the index finds, but for those with the query's own id; ties
     go to the smaller id.  Vectors that are null, zero, or hold null or non-finite components take no part on
-    either side, nor do null ids; an empty table gives no rows.  Repeated query rows count once.
+    either side, nor do null ids; an empty table gives no rows.  Repeated query rows count once.  share: of the vectors,
+    those that are ranked by true distance; 1 makes the search exact.
     """
     spark = vectors.sparkSession
-    index, pivots = build(vectors, key, vector, k)
-    asked = _rows(queries, key, vector).filter(F.size("e") == pivots.shape[1])
-    distinct = written(asked.groupBy("h", "g").agg(F.first("e").alias("e")))
+    index, pivots, sample, size = build(vectors, key, vector, k)
+    asked = _rows(queries, key, vector).filter(F.size("e") == sample.shape[1])
+    distinct = asked.groupBy("h", "g").agg(F.first("e").cast("array<double>").alias("e"))
+    distinct = written(_bounded(distinct, pivots, sample, size, share, reach))
     blocks = max(1, -(-distinct.count() // BLOCK))
     path = shared_dir(spark)
     for b in range(blocks):
         block = distinct.filter(F.pmod(F.col("h"), F.lit(blocks)) == b)
-        _block(index, pivots, block, k).write.mode("append").parquet(path)
+        _block(index, block, k, reach).write.mode("append").parquet(path)
     found = spark.read.schema("h long, g long, id long, d double").parquet(path)
     order = Window.partitionBy("h", "g").orderBy("d", "id")
     best = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
