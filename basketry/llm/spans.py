@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import textscan as ts
-from basketry.llm.common import content_key, small_batches, text_or_empty, written
+from basketry.llm.common import content_key, small_batches, text_or_empty, unused, written
 
 #: What a map task sends to a bucket: data of a batch, or (with what = 1) the batch's directory.
 SENT = "bucket int, batch long, what int, a binary, b binary, c binary"
@@ -33,9 +33,12 @@ Emit = Callable[[np.ndarray, np.ndarray, int], tuple[Iterator[tuple[int, bytes,
 Judge = Callable[[list[tuple[int, bytes, bytes, bytes]]], Iterator[tuple[int, np.ndarray, np.ndarray]]]
 
 
-def keyed(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __text (never null) and __key, its digest."""
-    return docs.withColumn("__text", text_or_empty(text)).withColumn("__key", content_key(F.col("__text")))
+def spanned(docs: DataFrame, text: str, emit: Emit, judge: Judge, buckets: int) -> tuple[DataFrame, str]:
+    """docs with a column of spans (null where a text has none), and its name, which docs didn't have."""
+    key, spans = unused(docs, "key"), unused(docs, "spans")
+    texts = docs.select(text_or_empty(text).alias("__text")).withColumn("__key", content_key(F.col("__text")))
+    found = found_spans(texts, emit, judge, buckets).select(F.col("__key").alias(key), F.col("__spans").alias(spans))
+    return docs.withColumn(key, content_key(text_or_empty(text))).join(found, key, "left").drop(key), spans
 
 
 def pack(planes: np.ndarray) -> bytes:
