@@ -12,8 +12,9 @@ of these 16 bytes.  A bucket merges its runs with a loser tree that carries comm
 suffixes whose known prefixes with the last winner differ in length are ordered by these alone, and
 otherwise comparison starts behind the known prefix.
 
-What comes out.  Neighbours with 16 bytes in common or more form a family; within it, the strings that
-its members answer for are compared, in place, and those that occur twice or more are repeats.
+What comes out.  Neighbours with 16 bytes in common or more form a family.  For each distance d that its members answer
+for, the merged common prefixes say which suffixes have the 200 - d bytes after the anchor in common, and a sort of what goes
+before the anchors says which have the d bytes before it in common; strings alike in both occur twice or more.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import textscan as ts
-from basketry.llm.common import buckets_for, small_batches
-from basketry.llm.spans import found_spans, keyed, pack, read_spans, unpack
+from basketry.llm.common import buckets_for, small_batches, text_or_empty
+from basketry.llm.spans import pack, read_spans, spanned, unpack
 
 #: Bytes that a suffix must share with another to be in its family.
 SEED = 16
@@ -96,13 +97,12 @@ def _emit(length: int):
             heads = windows[anchor[a : a + (1 << 16)], left_room : left_room + SEED].copy().view("<u8").reshape(-1, 2)
             bucket[a : a + (1 << 16)] = ((ts.mix(heads[:, 0] + ts.mix(heads[:, 1])) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
 
         def rows() -> Iterator[tuple[int, bytes, bytes, bytes]]:
-            for b in range(buckets):
-                pick = order[edges[b] : edges[b + 1]]
-                if len(pick):
-                    yield b, *sorted_run(windows[anchor[pick]], anchor[pick], low[pick], high[pick], length)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                pick = order[a:b]
+                yield int(bucket[pick[0]]), *sorted_run(windows[anchor[pick]], anchor[pick], low[pick], high[pick], length)
 
         return rows(), np.diff(offsets)
 
@@ -252,15 +252,13 @@ def _judge(length: int):
             while high < len(bounds) - 1 and bounds[high + 1] - bounds[low] <= 4096:
                 high += 1
             block = chosen[bounds[low] : bounds[high]]
-            width = left_room + length
-            context = np.zeros((len(block), width), np.uint8)
+            prior = np.zeros((len(block), left_room), np.uint8)
             for row, x in enumerate(block.tolist()):
-                r, i = int(won[x]), int(index[x])
-                n, text = int(before[x]), runs[r][0][i]
-                start = int(body_at[r][i])
-                context[row, left_room - n : left_room] = np.frombuffer(runs[r][5], np.uint8, n, start) if n else 0
-                context[row, left_room : left_room + len(text)] = np.frombuffer(text, np.uint8)
-            for row, a, b in repeated(context, family[block], before[block], after[block], many[block], length):
+                r, n = int(won[x]), int(before[x])
+                if n:
+                    prior[row, :n] = np.frombuffer(runs[r][5], np.uint8, n, int(body_at[r][index[x]]))[::-1]
+            # what is between two of a family in the merged order is in it too, so their common prefix is the least on the way
+            for row, a, b in repeated(shared[block], prior, before[block], after[block], many[block], length):
                 x = int(block[row])
                 found.setdefault(int(won[x]), []).append((int(index[x]), a, b))
             low = high
@@ -276,50 +274,56 @@ def _judge(length: int):
     return judge
 
 
-def repeated(context: np.ndarray, family: np.ndarray, before: np.ndarray, after: np.ndarray, many: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(row, a, b): the strings that start a to b (a >= b) bytes before the row's anchor occur twice or more."""
-    room = context.shape[1] - length
-    least = length - after  # of the distances that a row answers for
-    up, down = ts.powers(ts.BYTE_BASE, context.shape[1] + 1)
-    lengths = before - least + 1
-    row_of = np.repeat(np.arange(len(before)), lengths)
-    distance = ts.ragged(least, lengths)
-    running = np.zeros((len(context), context.shape[1] + 1), np.uint64)
-    np.cumsum((context.astype(np.uint64) + np.uint64(1)) * up[: context.shape[1]], axis=1, out=running[:, 1:])
-    start = room - distance
-    value = ts.mix((running[row_of, start + length] - running[row_of, start]) * down[start])
-    value = ts.mix(value + ts.mix(family[row_of].astype(np.uint64) * np.uint64(1024) + distance.astype(np.uint64)))
-    order = np.argsort(value)
-    same = value[order[1:]] == value[order[:-1]]
-    hit = many[row_of] > 1
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    edge = np.concatenate([[0], np.cumsum(lengths)])
-    cut = hit.copy()
-    first = np.zeros(len(hit), bool)
-    first[edge[:-1]] = True
-    start_run = cut & (first | ~np.concatenate([[False], cut[:-1]]))
-    end_run = cut & np.concatenate([first[1:] | ~cut[1:], [True]]) if len(cut) else cut
-    for s, e in zip(np.flatnonzero(start_run), np.flatnonzero(end_run), strict=True):
-        yield int(row_of[s]), int(distance[e]), int(distance[s])
-
-
-def repeats(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
-    """docs with __text, __key and __spans: pairs of int64, the intervals of bytes of the text's UTF-8 form that
-    repeated strings of length bytes cover.
+def repeated(shared: np.ndarray, prior: np.ndarray, before: np.ndarray, after: np.ndarray, many: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+    """(row, a, b): the strings that start a to b (a >= b) bytes before the row's anchor occur twice or more.
+
+    shared: of each suffix, its common prefix with the one before in the merged order; prior: the bytes before the anchor,
+    nearest first.  A string that starts d bytes before its anchor is that of another row if their suffixes have length - d
+    bytes in common, which the merged common prefixes say, and the d bytes before them are equal, which a sort
+    of these, with common prefixes in its turn, says.
+    """
+    n, room = prior.shape
+    order = np.argsort(np.ascontiguousarray(prior).view(f"S{room}").ravel(), kind="stable")
+    differs = np.ones((n, room + 1), bool)
+    differs[1:, :room] = prior[order[1:]] != prior[order[:-1]]
+    alike = differs.argmax(1)
+    alike[0] = 0
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    hit = np.zeros((n, room + 2), bool)
+    for d in range(int((length - after).min()), int(before.max()) + 1):
+        mine = np.flatnonzero((before >= d) & (length - after <= d))
+        if not len(mine):
+            continue
+        one, two = np.cumsum(shared < length - d), np.cumsum(alike < d) if d else np.zeros(n, np.int64)
+        value = one[mine] * (n + 1) + two[place[mine]]
+        by = np.argsort(value, kind="stable")
+        same = value[by[1:]] == value[by[:-1]]
+        twice = many[mine] > 1
+        twice[by[1:][same]] = True
+        twice[by[:-1][same]] = True
+        hit[mine[twice], d] = True
+    change = np.diff(hit[:, : room + 1].astype(np.int8), axis=1, prepend=0, append=0)
+    rows, starts = np.nonzero(change == 1)
+    _, ends = np.nonzero(change == -1)
+    for row, low, high in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        yield row, high - 1, low
+
+
+def repeats(docs: DataFrame, text: str = "text", length: int = 200) -> tuple[DataFrame, str]:
+    """docs with a column of spans (pairs of int64: the intervals of bytes of the text's UTF-8 form that repeated
+    strings of length bytes cover; null for none), and its name.
 
     A string is repeated if it also starts anywhere else, same text included.  Strings never cross
     texts; null, empty and shorter texts have none.  Every row stays, once; equal rows count as different texts.
     """
-    known = keyed(docs, text)
-    spans = found_spans(known, _emit(length), _judge(length), 2 * buckets_for(known, F.col("__text")))
-    return known.join(spans, "__key", "left")
+    return spanned(docs, text, _emit(length), _judge(length), 2 * buckets_for(docs, text_or_empty(text)))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that remain)."""
     small_batches(docs.sparkSession)
-    marked = repeats(docs.select(key, F.col(text).alias("__t")), "__t", length)
+    marked, spans = repeats(docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")), "t", length)
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,4 +343,4 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.select(key, "__text", "__spans").mapInArrow(run, f"`{key}` {key_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select("k", "t", spans).mapInArrow(run, f"`{key}` {key_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
