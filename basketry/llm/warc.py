@@ -2,14 +2,13 @@
 
 Reading plans one partition a file (members of a gzip archive can't be found without reading
 it), takes filters on the record type and on headers, parses a record's header block first,
-and decompresses and decodes the payload only of records that pass, and only if the payload is
-asked for.  Writing makes one archive a task and names the complete ones in a manifest when the
+and keeps and decodes the payload only of records that pass, and only if the payload is
+asked for.  Files may be compressed by record or plain; names of headers may have any case.  Writing makes one archive a task and names the complete ones in a manifest when the
 job commits, so that what failed or repeated attempts leave behind is never read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
 import zlib
@@ -17,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
@@ -44,8 +43,12 @@ HEADERS = {
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To",
     "payload_length": "X-Payload-Length",
+    "date": "WARC-Date",
+    "profile": "WARC-Profile",
 }
-SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, payload_length string, payload binary"
+#: Of a revisit record whose payload is that of another (fixed value).
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, payload_length string, date string, profile string, payload binary"
 CHUNK = 1 << 16
 
 
@@ -61,44 +64,73 @@ def record(headers: dict[str, str], payload: bytes, level: int = 4) -> bytes:
     return squeeze.compress(head + payload + b"\r\n\r\n") + squeeze.flush()
 
 
-def records(stream, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers and payload of the records that wanted(headers) lets pass.
+class Bytes:
+    """The bytes of an archive file, inflated if it is compressed, read piece by piece."""
 
-    A record's member is inflated as far as its header block; the rest of a record that isn't
-    wanted is passed over without being kept.
-    """
-    fed = b""
-    while True:
-        if not fed:
-            fed = stream.read(CHUNK)
-            if not fed:
-                return
-        inflate = zlib.decompressobj(31)
-        got = b""
-        headers: dict[str, str] | None = None
-        keep = True
-        body: list[bytes] = []
-        while not inflate.eof:
-            if not fed:
-                fed = stream.read(CHUNK)
-                if not fed:
+    def __init__(self, stream):
+        self.stream = stream
+        self.held = b""
+        self.raw = stream.read(CHUNK)
+        self.inflate = zlib.decompressobj(31) if self.raw[:2] == b"\x1f\x8b" else None
+
+    def more(self) -> bool:
+        """Hold another piece; False at the end of the file."""
+        while True:
+            if not self.raw:
+                self.raw = self.stream.read(CHUNK)
+            if not self.raw:
+                if self.inflate is not None and not self.inflate.eof:
                     raise ValueError("a record is cut short")
-            part = inflate.decompress(fed)
-            fed = inflate.unused_data
-            if headers is None:
-                got += part
-                end = got.find(b"\r\n\r\n")
-                if end < 0:
-                    continue
-                headers = {k: v for k, _, v in (x.partition(": ") for x in got[:end].decode("utf-8", "replace").split("\r\n")[1:])}
-                keep = with_payload and wanted(headers)
-                part, got = got[end + 4 :], b""
+                return False
+            if self.inflate is None:
+                part, self.raw = self.raw, b""
+            else:
+                if self.inflate.eof:
+                    self.inflate = zlib.decompressobj(31)
+                part = self.inflate.decompress(self.raw)
+                self.raw = self.inflate.unused_data
+            if part:
+                self.held += part
+                return True
+
+    def block(self) -> bytes | None:
+        """The header block that comes next, without the blank line behind it; None at the end of the file."""
+        while (end := self.held.find(b"\r\n\r\n")) < 0:
+            if not self.more():
+                if self.held.strip():
+                    raise ValueError("a record has no header block")
+                return None
+        head, self.held = self.held[:end], self.held[end + 4 :]
+        return head
+
+    def take(self, n: int, keep: bool) -> bytes | None:
+        """The next n bytes, if they are to be kept; else they are passed over piece by piece."""
+        kept = []
+        while n:
+            if not self.held and not self.more():
+                raise ValueError("a record is cut short")
+            part, self.held = self.held[:n], self.held[n:]
+            n -= len(part)
             if keep:
-                body.append(part)
-        if headers is None:
-            raise ValueError("a record has no header block")
-        if keep or wanted(headers):
-            yield headers, b"".join(body)[: int(headers["Content-Length"])] if keep else None
+                kept.append(part)
+        return b"".join(kept) if keep else None
+
+
+def records(stream, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers (by lower-case name) and payload of the records that wanted(headers) lets pass.
+
+    A record is inflated as far as its header block; the payload of a record that isn't wanted, or if payloads
+    aren't, is passed over without being kept.
+    """
+    source = Bytes(stream)
+    while (head := source.block()) is not None:
+        lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")[1:]
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        passes = wanted(headers)
+        payload = source.take(int(headers["content-length"]), passes and with_payload)
+        source.take(4, False)
+        if passes:
+            yield headers, payload
 
 
 @dataclass
@@ -139,12 +171,12 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: Archive) -> Iterator[tuple]:
         def wanted(h: dict[str, str]) -> bool:
-            return all(k in h and (not values or h[k] in values) for k, values in self.equal)
+            return all(k.lower() in h and (not values or h[k.lower()] in values) for k, values in self.equal)
 
         fs, path = _at(partition.path)
         with fs.open_input_stream(path, compression=None) as stream:
             for headers, payload in records(stream, wanted, self.with_payload):
-                yield (*(headers.get(h) for h in HEADERS.values()), payload)
+                yield (*(headers.get(h.lower()) for h in HEADERS.values()), payload)
 
 
 @dataclass
@@ -205,13 +237,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html") -> None:
+def record_uri(key: Column) -> Column:
+    """The record's id for a key, which may be of any type; that of a null key stands for null."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(key.cast("string")), F.lit("")), F.lit(">"))
+
+
+def key_of(uri: Column, kind: str) -> Column:
+    return F.nullif(F.url_decode(F.regexp_extract(uri, "^<urn:page:(.*)>$", 1)), F.lit("")).cast(kind)
+
+
+def archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
     """Write a record per row to archives below path.
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, that with the smallest key is the
     response and the others are revisits of it, without payload; shorter payloads are all responses.
     Null bodies are empty payloads; rows of equal key and payload are each written (if the key is
-    that of the response, all of them as responses); null keys come last and are written as empty ids.
+    that of the response, all of them as responses); null keys come last.  Every record has the date given.
     Only digests go through the aggregation that finds the smallest key; payloads are exchanged once,
     in a join that Spark can split where one digest is frequent.
     """
@@ -223,11 +264,13 @@ def archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url",
     again = F.col("first").isNotNull() & ~F.col("k").eqNullSafe(F.col("first"))
     out = joined.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.coalesce(F.col("k").cast("string"), F.lit("")).alias("record_id"),
+        record_uri(F.col("k")).alias("record_id"),
         F.regexp_replace("u", r"[\r\n]", " ").alias("target_uri"),
         F.concat(F.lit("sha256:"), "d").alias("payload_digest"),
-        F.when(again, F.col("first").cast("string")).alias("refers_to"),
+        F.when(again, record_uri(F.col("first"))).alias("refers_to"),
         F.col("n").cast("string").alias("payload_length"),
+        F.lit(date).alias("date"),
+        F.when(again, SAME_PAYLOAD).alias("profile"),
         F.when(~again, F.col("b").cast("binary")).alias("payload"),
     )
     out.write.format("warc").mode("append").save(path)
@@ -243,13 +286,9 @@ def read_pages(spark: SparkSession, path: str, key_type: str = "long") -> DataFr
     found = spark.read.format("warc").load(path)
     held = F.col("record_type") == "response"
     return found.select(
-        F.expr(f"try_cast(record_id AS {key_type})").alias("page_id"),
+        key_of(F.col("record_id"), key_type).alias("page_id"),
         F.when(held, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length").cast("long")).alias("payload_bytes"),
         F.when(held, F.sha2("payload", 256)).otherwise(F.substring("payload_digest", 8, 64)).alias("payload_digest"),
         "record_type",
-        F.col("refers_to").cast(key_type).alias("refers_to"),
+        key_of(F.col("refers_to"), key_type).alias("refers_to"),
     )
-
-
-def digest(payload: bytes) -> str:
-    return hashlib.sha256(payload).hexdigest()
