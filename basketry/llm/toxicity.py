@@ -197,7 +197,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, matcher: Matcher) -> np.ndarr
     if not len(starts):
         return out
     hashes = ts.span_hashes(low, starts, ends)
-    weight = matcher.weights(hashes, lambda i: bytes(low[starts[i] : min(ends[i], starts[i] + 60)]).decode("utf-8", "replace"))
+    weight = matcher.weights(hashes, lambda i: bytes(low[starts[i] : ends[i]]).decode("utf-8", "replace"))
     hits = np.flatnonzero(weight > 0)
     if not len(hits):
         return out
@@ -219,14 +219,18 @@ def windows(data: np.ndarray, offsets: np.ndarray, matcher: Matcher) -> np.ndarr
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = SAMPLE, fold: tuple[int, int] | None = None) -> DataFrame:
-    """At most rows labelled texts of either class (__y, __text); fold (m, r): none whose crc32(key) mod m is r."""
-    known = labels.select(F.col(key).alias("__k"), (F.col(label) == 1).cast("int").alias("__y")).dropna()
+    """At most rows labelled texts of either class (__k: hash of the key, __y, __text); fold (m, r): none whose crc32(key) mod m is r.
+
+    Keys may be of any type; labels other than 0 and 1 are left out; of a key that repeats, the least label and the least text count.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).dropna()
     if fold:
         known = known.filter(F.crc32(F.col("__k").cast("string").cast("binary")) % fold[0] != fold[1])
-    known = known.dropDuplicates(["__k"])
+    known = known.groupBy("__k").agg(F.min("__y").alias("__y"))
     pick = lambda y: known.filter(F.col("__y") == y).orderBy(F.xxhash64("__k"), "__k").limit(rows)
     chosen = pick(1).unionByName(pick(0))
-    return docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__k").dropDuplicates(["__k"])
+    found = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__k")
+    return found.groupBy(F.xxhash64("__k").alias("__k"), "__y").agg(F.min("__text").alias("__text"))
 
 
 def distinct(examples: DataFrame) -> DataFrame:
@@ -264,9 +268,9 @@ def _counted(examples: DataFrame) -> DataFrame:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in re.findall(r"[^\W\d_]+", text.lower()) if 3 < len(w) < 40}
+                words = {w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) > 3}
                 seen[y].update({w[:n] for w in words for n in BEGINNINGS if len(w) > n} | {w + " " for w in words})
-        terms = [t for t in seen[1] | seen[0] if seen[1][t] or seen[0][t] > 1]
+        terms = list(seen[1] | seen[0])
         for at in range(0, len(terms), 50_000):
             part = terms[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][t] for t in part], pa.int64()), pa.array([seen[0][t] for t in part], pa.int64())], ["term", "toxic", "clean"])
