@@ -92,16 +92,18 @@ def _counted(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = SAMPLE, fold: tuple[int, int] | None = None) -> DataFrame:
-    """At most rows labelled texts (__y, __text), those with the smallest hash of the key.
+    """At most rows labelled texts (__k: hash of the key, __y, __text), those with the smallest hash of the key.
 
     fold (m, r): without rows whose crc32(key as text) mod m is r.  Only keys and labels are sorted; texts are
-    fetched by a join with the chosen keys, whose number is bounded.
+    fetched by a join with the chosen keys, whose number is bounded.  Keys may be of any type; labels other than 0 and 1 are
+    left out; of a key that repeats, the least label and the least text count.
     """
-    known = labels.select(F.col(key).alias("__k"), F.col(label).alias("__y")).dropna()
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).dropna()
     if fold:
         known = known.filter(F.crc32(F.col("__k").cast("string").cast("binary")) % fold[0] != fold[1])
-    chosen = known.dropDuplicates(["__k"]).orderBy(F.xxhash64("__k"), "__k").limit(rows)
-    return docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__k").select("__k", "__y", "__text")
+    chosen = known.groupBy("__k").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__k"), "__k").limit(rows)
+    found = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__k")
+    return found.groupBy(F.xxhash64("__k").alias("__k"), "__y").agg(F.min("__text").alias("__text"))
 
 
 def fit(examples: DataFrame, rows: int = SAMPLE, seed: int = 7) -> Model:
