@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from basketry.functions.text import normalise
+from basketry.functions.vocabulary import FRACTIONS
 
 EPSILON = 2.220446049250313e-16
 # Dimension and factor of each unit.
@@ -44,20 +45,17 @@ def comparable_price(price: Column, quantity: Column, unit: Column) -> Column:
     return F.struct(value.alias("price"), label.alias("label"))
 
 
-def _unit_case(unit: Column, which: int) -> Column:
-    u = normalise(unit)
-    out = F.lit(None).cast("string" if which == 0 else "double")
-    for name, value in UNITS.items():
-        out = F.when(u == name, F.lit(value[which])).otherwise(out)
-    return out
+def _of_unit(unit: Column, which: int) -> Column:
+    """From a literal map of the units: one look-up, and the unit is normalised once."""
+    return F.create_map(*[F.lit(x) for name, value in UNITS.items() for x in (name, value[which])])[normalise(unit)]
 
 
 def dimension(unit: Column) -> Column:
-    return _unit_case(unit, 0)
+    return _of_unit(unit, 0)
 
 
 def factor(unit: Column) -> Column:
-    return _unit_case(unit, 1)
+    return _of_unit(unit, 1)
 
 
 def item_multiplier(quantity: Column, unit: Column) -> Column:
@@ -82,9 +80,10 @@ def parse_price(c: Column) -> Column:
 
 
 def parse_fraction(c: Column) -> Column:
-    """"1 1/2", "3/4" or "2.5" as a number; null for anything else."""
+    """"1 1/2", "3/4", "½" or "2.5" as a number; null for anything else."""
     whole, top, bottom = (F.regexp_extract(c, r"^\s*(?:([0-9]+)\s+)?([0-9]+)/([0-9]+)\s*$", i).try_cast("double") for i in (1, 2, 3))
-    return F.coalesce(F.when(bottom > 0, F.coalesce(whole, F.lit(0.0)) + top / bottom), F.trim(c).try_cast("double"))
+    signs = F.create_map(*[F.lit(x) for pair in FRACTIONS.items() for x in pair])
+    return F.coalesce(signs[c], F.when(bottom > 0, F.coalesce(whole, F.lit(0.0)) + top / bottom), F.trim(c).try_cast("double"))
 
 
 def gtin_valid(c: Column) -> Column:

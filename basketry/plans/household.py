@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.functions import names as M
 from basketry.functions import numbers as N
 from basketry.functions import text as T
 from basketry.operators import relational as R
@@ -29,7 +30,7 @@ def pantry_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).filter("is_food").withColumn("expires", F.date_add("seen", F.col("shelf_days")))
     by_unit = rows.groupBy("product", "unit").agg(F.sum("quantity").alias("q"), F.count(F.lit(1)).alias("n"), F.min("expires").alias("e"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", F.coalesce(F.col("q"), F.lit(0.0)).cast("long").alias("q")))), lambda x: F.concat_ws("=", x["unit"], x["q"])), ";")
-    return by_unit.groupBy("product").agg(F.sum("n").alias("records"), listed.alias("quantities"), F.min("e").alias("earliest"), F.bool_or(F.col("e") < F.lit(AS_OF).cast("date")).alias("expired")).withColumn("department", T.department(F.col("product")))
+    return by_unit.groupBy("product").agg(F.sum("n").alias("records"), listed.alias("quantities"), F.min("e").alias("earliest"), F.bool_or(F.col("e") < F.lit(AS_OF).cast("date")).alias("expired")).withColumn("department", M.department(F.col("product")))
 
 
 def shopping_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +170,7 @@ def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product names normalised, as slug and with initial capitals."""
     c = F.col("name")
-    return catalogue(spark, sf_dir).select(c).distinct().select("name", T.normalise(c).alias("normalised"), T.slug(c).alias("slug"), F.array_join(T.name_tokens(c), " ").alias("tokens"), T.department(c).alias("department"))
+    return catalogue(spark, sf_dir).select(c).distinct().select("name", T.normalise(c).alias("normalised"), T.slug(c).alias("slug"), F.array_join(T.name_tokens(c), " ").alias("tokens"), M.department(c).alias("department"))
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

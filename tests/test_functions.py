@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from basketry.functions import names as M
 from basketry.functions import numbers as N
 from basketry.functions import text as T
 from basketry.operators import relational as R
@@ -27,8 +28,8 @@ def test_gtin(spark):
 
 
 def test_names(spark):
-    got = one(spark, T.canonical_name(F.lit("Coles Diced Courgettes 2 kg")), T.match_score(F.lit("Red apples"), F.lit("apple red")), T.normalise(F.lit("Mac & Cheese's -  2.5")))
-    assert tuple(got) == ("zucchini", 80, "mac and cheeses 2.5")
+    got = one(spark, M.corrected(F.lit("Coles Diced Courgettes 2 kg")), T.match_score(F.lit("Red apples"), F.lit("apple red")), T.normalise(F.lit("Mac & Cheese's -  2.5")))
+    assert tuple(got) == ("Coles Diced zucchini 2 kg", 80, "mac and cheeses 2.5")
 
 
 def test_dates_and_quantities(spark):
