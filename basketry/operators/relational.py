@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,10 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, ra
     return out if rank else out.drop(name)
 
 
+def ordered(keys: list[str], order: list[Column]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*order)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of both; where both have a key, each column is the new value unless that is null, or an empty list."""
 
