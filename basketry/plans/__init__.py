@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, tuple[Query, str | None]]:
-    from basketry.plans import grocery, household, prices, records
+    from basketry.plans import grocery, household, prices, records, stock
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (prices, household, records, grocery):
+    for module in (prices, household, records, grocery, stock):
         found |= module.QUERIES
     return found
