@@ -29,9 +29,9 @@ from basketry.llm.common import small_batches, unused, written
 
 K1, B = 1.2, 0.75
 #: Items in a block.
-BLOCK = 16
+BLOCK = 4
 #: The part of the threshold that a query's frequent terms may reach together.
-FREQUENT = 0.4
+FREQUENT = 0.1
 #: Words of half a passage, if its items aren't longer.
 HALF = 64
 NGRAM = 5
@@ -260,7 +260,7 @@ def indexes(items: DataFrame, key: str, text: str) -> DataFrame:
             own = [pairs[at[i] : at[i + 1], 1].view(np.int64) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64())), pa.array(length, pa.int64())], ["k", "t", "terms", "words"])
 
-    counted = written(known.mapInArrow(count, f"k {kind}, t string, terms array<long>, words long").filter("words > 0").withColumn("id", F.monotonically_increasing_id()))
+    counted = written(known.mapInArrow(ts.thrifty(count), f"k {kind}, t string, terms array<long>, words long").filter("words > 0").withColumn("id", F.monotonically_increasing_id()))
     n, mean, size = counted.agg(F.count(F.lit(1)), F.avg("words"), F.sum(F.octet_length("t"))).first()
     shards = max(1, -(-n // SHARD_ITEMS), -(-(size or 0) // SHARD_BYTES))
     frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -310,4 +310,4 @@ def _with(docs: DataFrame, index: Index, text: str, threshold: float, least: tup
                     leaks[d] = [*leaks[d], {"item": known.ids[item], "score": score, "question": q, "answer": a}]
                 yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(leaks, batch.schema.field(at).type)], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(ts.thrifty(run), docs.schema)
