@@ -69,15 +69,16 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return _loaded[key]
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with a column of token ids.
+def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids", exact: str | None = None) -> DataFrame:
+    """df with a column of token ids; with a name for exact, also whether the ids decode to the text's bytes.
 
-    Null texts count as empty and have no ids.  All rows and columns stay; a column named
-    like out is replaced.  Narrow: no exchange.  The rank file's path must exist on every executor.
+    Null texts count as empty and have no ids.  All rows and columns stay; columns named
+    like out or exact are replaced.  Narrow: no exchange.  The rank file's path must exist on every executor.
     """
     small_batches(df.sparkSession)
-    kept = df.drop(out)
-    schema = kept.withColumn(out, F.array().cast("array<int>")).schema
+    kept = df.drop(out, *([exact] if exact else []))
+    schema = kept.withColumn(out, F.array().cast("array<int>"))
+    schema = (schema.withColumn(exact, F.lit(True)) if exact else schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)
@@ -85,8 +86,12 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
                 at = part.schema.get_field_index(text)
-                ids = pa.array([c.encode(t or "") for t in part.column(at).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out])
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                ids = [c.encode(t) for t in texts]
+                more = [pa.array(ids, pa.list_(pa.int32()))]
+                if exact:
+                    more.append(pa.array([c.decode(i) == t.encode() for i, t in zip(ids, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], schema.names)
 
     return kept.mapInArrow(run, schema)
 

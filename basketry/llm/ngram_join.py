@@ -171,7 +171,7 @@ def described(docs: DataFrame, text: str, n: int) -> DataFrame:
         for batch, _, sizes, names in _sets(batches, n):
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sizes, pa.int64()), pa.array(names)], [*columns, "n_shingles", "__set"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(ts.thrifty(run), schema)
 
 
 #: What a bucket of signatures says.  A pair x < y of sets: the group it was found in, by how many signatures (n), and how many of
@@ -225,7 +225,7 @@ def _found(texts: DataFrame, n: int, threshold: Fraction, buckets: int) -> DataF
         first = int(group.column("bucket")[0].as_py()) << 40
         return met(signs.view("<i8").ravel() + first, np.repeat(np.arange(len(names)), about[0]), names, *about[1:], (num, den))
 
-    sent = texts.select("__text").mapInArrow(send, "bucket int, signs binary, names binary, about binary")
+    sent = texts.select("__text").mapInArrow(ts.thrifty(send), "bucket int, signs binary, names binary, about binary")
     return sent.groupBy("bucket").applyInArrow(meet, FOUND)
 
 
@@ -310,7 +310,7 @@ def _elements(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int) -> Da
                 part = one[low : low + 200]
                 yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(sizes[part], pa.int32()), pa.array([hashes[edge[i] : edge[i + 1]].tobytes() for i in part], pa.binary())], ["name", "size", "elements"])
 
-    made = texts.mapInArrow(emit, "name long, size int, elements binary")
+    made = texts.mapInArrow(ts.thrifty(emit), "name long, size int, elements binary")
     return made.join(nodes, made["name"] == nodes["node"], "left_semi").dropDuplicates(["name"])
 
 
@@ -330,7 +330,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFra
 
     left = pairs.select("x", "y").join(sets.select(F.col("name").alias("x"), F.col("elements").alias("a")), "x")
     both = left.join(sets.select(F.col("name").alias("y"), F.col("elements").alias("b")), "y")
-    return both.select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
+    return both.select("x", "y", "a", "b").mapInArrow(ts.thrifty(check), "x long, y long")
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def _rarest(sets: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), x.as_py(), t)) for x, t in ((node, np.int64), (size, np.int32), (label, np.int64))] + [pa.array(mine)], ["node", "size", "label", "e"])
 
     own = sets.join(nodes, sets["name"] == nodes["node"]).select("node", "size", "label", "elements")
-    parts = written(own.mapInArrow(emit, "node long, size int, label long, e long"))
+    parts = written(own.mapInArrow(ts.thrifty(emit), "node long, size int, label long, e long"))
     ranked = parts.join(parts.groupBy("e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("node").orderBy("f", "e"))
 

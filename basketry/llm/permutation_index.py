@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.llm import textscan as ts
 from basketry.llm.common import shared_dir, small_batches, written
 
 #: Pivots: so many for each square root of the number of vectors, within these limits.
@@ -150,7 +151,7 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
                 raw = [body.tobytes(), lists.members.astype("<u2").tobytes(), np.diff(lists.edge, prepend=0).astype("<u2").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([page.column(1).to_pylist()], pa.list_(pa.list_(pa.int64()))), *(pa.array([x], pa.binary()) for x in raw)], ["ids", "vectors", "members", "edge"])
 
-    return written(distinct.mapInArrow(run, "ids array<array<long>>, vectors binary, members binary, edge binary")), pivots, sample, size
+    return written(distinct.mapInArrow(ts.thrifty(run), "ids array<array<long>>, vectors binary, members binary, edge binary")), pivots, sample, size
 
 
 class Answers:
@@ -192,7 +193,7 @@ def _bounded(queries: DataFrame, pivots: np.ndarray, sample: np.ndarray, size: i
             bound = [0 if take == len(sample) else int(np.partition(lists.footrule(n, reach), len(sample) - take)[len(sample) - take]) for n in near]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n.astype("<u2").tobytes() for n in near], pa.binary()), pa.array(bound, pa.int64())], ["h", "g", "e", "near", "bound"])
 
-    return queries.select("h", "g", "e").mapInArrow(run, "h long, g long, e array<double>, near binary, bound long")
+    return queries.select("h", "g", "e").mapInArrow(ts.thrifty(run), "h long, g long, e array<double>, near binary, bound long")
 
 
 def _block(index: DataFrame, block: DataFrame, k: int, reach: int) -> DataFrame:
@@ -217,7 +218,7 @@ def _block(index: DataFrame, block: DataFrame, k: int, reach: int) -> DataFrame:
         q, slot = np.nonzero(np.isfinite(answers.distance))
         yield pa.RecordBatch.from_arrays([pa.array(names[q, 0]), pa.array(names[q, 1]), pa.array(answers.ids[q, slot]), pa.array(answers.distance[q, slot])], ["h", "g", "id", "d"])
 
-    return index.mapInArrow(run, "h long, g long, id long, d double")
+    return index.mapInArrow(ts.thrifty(run), "h long, g long, id long, d double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = SHARE, reach: int = REACH) -> DataFrame:

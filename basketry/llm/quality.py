@@ -119,7 +119,7 @@ def fit(examples: DataFrame, rows: int = SAMPLE, seed: int = 7) -> Model:
             got = _counted(*ts.column_bytes(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([b.tobytes() for _, b in got], pa.binary())], ["k", "y", "ids", "shares"])
 
-    found = examples.mapInArrow(run, "k long, y int, ids binary, shares binary").dropDuplicates(["k"]).toArrow()
+    found = examples.mapInArrow(ts.thrifty(run), "k long, y int, ids binary, shares binary").dropDuplicates(["k"]).toArrow()
     order = np.argsort(found.column("k").to_numpy(), kind="stable")[:rows]
     y = found.column("y").to_numpy()[order]
     if not len(y) or y.min() == y.max():
@@ -187,4 +187,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                 z = logits(known, *ts.column_bytes(batch.column(batch.schema.get_field_index(text))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], [*batch.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(ts.thrifty(run), schema)

@@ -25,7 +25,7 @@ from basketry.llm.common import content_key, small_batches, text_or_empty, unuse
 SENT = "bucket int, batch long, what int, a binary, b binary, c binary"
 ANSWER = "batch long, what int, a binary, b binary"
 #: Bytes of text in a batch.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 #: From a batch's bytes, offsets and number of buckets: (bucket, a, b, c) rows and the size in units of each text.
 Emit = Callable[[np.ndarray, np.ndarray, int], tuple[Iterator[tuple[int, bytes, bytes, bytes]], np.ndarray]]
@@ -82,6 +82,8 @@ def found_spans(keyed_docs: DataFrame, emit: Emit, judge: Judge, buckets: int) -
         for batch, starts, ends in judge(data):
             for k, v in zip(rows, (batch, 0, pack(starts), pack(ends)), strict=True):
                 rows[k].append(v)
+        del data
+        ts.released()
         return pa.table(rows, schema=pa.schema([("batch", pa.int64()), ("what", pa.int32()), ("a", pa.binary()), ("b", pa.binary())]))
 
     def gather(group: pa.Table) -> pa.Table:
@@ -105,7 +107,7 @@ def found_spans(keyed_docs: DataFrame, emit: Emit, judge: Judge, buckets: int) -
                 out_spans.append(np.stack([low, high], 1).astype("<i8").tobytes())
         return pa.table({"__key": out_keys, "__spans": out_spans}, schema=pa.schema([("__key", pa.binary()), ("__spans", pa.binary())]))
 
-    sent = keyed_docs.select("__text", "__key").mapInArrow(send, SENT)
+    sent = keyed_docs.select("__text", "__key").mapInArrow(ts.thrifty(send), SENT)
     answers = sent.groupBy("bucket").applyInArrow(answer, ANSWER)
     spans = answers.groupBy("batch").applyInArrow(gather, "__key binary, __spans binary")
     # written, so that Spark can split the later join where one text has many copies

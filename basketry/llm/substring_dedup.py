@@ -135,7 +135,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
                     digest.append(hashlib.sha256(kept[low:high]).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
 
-    return marked.mapInArrow(run, f"`{key}` {key_type}, n_words long, n_removed long, kept_sha256 string")
+    return marked.mapInArrow(ts.thrifty(run), f"`{key}` {key_type}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, text: str = "text", width: int = 35) -> DataFrame:
@@ -164,4 +164,4 @@ def remove(docs: DataFrame, text: str = "text", width: int = 35) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if c == text else batch.column(names.index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays(cols, columns)
 
-    return marked.select(*columns, spans).mapInArrow(run, docs.select(*[F.col(c) for c in columns]).schema)
+    return marked.select(*columns, spans).mapInArrow(ts.thrifty(run), docs.select(*[F.col(c) for c in columns]).schema)

@@ -343,4 +343,4 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.select("k", "t", spans).mapInArrow(run, f"`{key}` {key_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select("k", "t", spans).mapInArrow(ts.thrifty(run), f"`{key}` {key_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

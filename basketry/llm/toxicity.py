@@ -254,7 +254,7 @@ def distinct(examples: DataFrame) -> DataFrame:
                 least[:, k] = np.where(smallest < np.iinfo(np.int64).max, smallest, least[:, k])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(least[:, k]) for k in range(3))], [*batch.schema.names, "m0", "m1", "m2"])
 
-    out = examples.select(F.col("__k").cast("long"), "__y", "__text").mapInArrow(run, "__k long, __y int, __text string, m0 long, m1 long, m2 long")
+    out = examples.select(F.col("__k").cast("long"), "__y", "__text").mapInArrow(ts.thrifty(run), "__k long, __y int, __text string, m0 long, m1 long, m2 long")
     for k in range(3):
         order = Window.partitionBy("__y", f"m{k}").orderBy("__k")
         out = out.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
@@ -275,7 +275,7 @@ def _counted(examples: DataFrame) -> DataFrame:
             part = terms[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][t] for t in part], pa.int64()), pa.array([seen[0][t] for t in part], pa.int64())], ["term", "toxic", "clean"])
 
-    return examples.select("__y", "__text").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return examples.select("__y", "__text").mapInArrow(ts.thrifty(run), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn(examples: DataFrame) -> Lexicon:
@@ -318,7 +318,7 @@ def _features(examples: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.nda
             x = windows(*ts.column_bytes(batch.column(1)), matcher)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(1, 4))], ["y", "a", "b", "c"])
 
-    t = examples.select("__y", "__text").mapInArrow(run, "y int, a double, b double, c double").toArrow().sort_by([(c, "ascending") for c in "abcy"])
+    t = examples.select("__y", "__text").mapInArrow(ts.thrifty(run), "y int, a double, b double, c double").toArrow().sort_by([(c, "ascending") for c in "abcy"])
     return np.stack([np.ones(t.num_rows), *(t.column(c).to_numpy() for c in "abc")], 1), t.column("y").to_numpy()
 
 
@@ -350,4 +350,4 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "sco
                 x = windows(*ts.column_bytes(batch.column(batch.schema.get_field_index(text))), matcher)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(x @ known.layer, -30, 30))))], [*batch.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(ts.thrifty(run), schema)

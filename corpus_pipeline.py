@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import bpe, decontam, ngram_join, quality, substring_dedup
-from basketry.llm.common import table, written
+from basketry.llm.common import table, unused, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,7 +20,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more; the classifier learns from labelled rows that op7 doesn't hold out."""
     model = quality.fit(quality.sample(docs, table(spark, sf_dir, "labels"), "quality", fold=(3, 1)))
-    return quality.score(docs, model, out="__quality").filter("__quality >= 0.5").drop("__quality")
+    score = unused(docs, "quality")
+    return quality.score(docs, model, out=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.matches(docs, table(spark, sf_dir, "benchmark"), out="__leaks").filter(F.size("__leaks") == 0).drop("__leaks")
+    leaks = unused(docs, "leaks")
+    return decontam.matches(docs, table(spark, sf_dir, "benchmark"), out=leaks).filter(F.size(leaks) == 0).drop(leaks)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +45,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
-    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, exact="exact")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES: list[tuple[str, Stage]] = [
