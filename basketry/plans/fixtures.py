@@ -15,31 +15,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipt items: a line of an order with its receipt, product and retailer."""
-    line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    part, shop = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    joined = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(shop, F.col("l_suppkey") == F.col("s_suppkey"))
+def items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Receipt items: a line of an order with its receipt, product and retailer; the columns named, or all.
+
+    Only tables that a column comes from are joined: an inner join can't be left out by the optimiser.
+    """
+    joined = table(spark, sf_dir, "lineitem")
     units = F.array(*[F.lit(u) for u in ("kg", "g", "l", "ml", "item")])
-    return joined.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") * 100 + 0.5)).alias("item_id"),
-        F.col("l_orderkey").alias("receipt_id"),
-        F.col("l_linenumber").cast("int").alias("line"),
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product"),
-        F.col("p_brand").alias("brand"),
-        F.col("s_name").alias("retailer"),
-        F.to_date("o_orderdate").alias("bought"),
-        F.to_date("l_shipdate").alias("seen"),
-        F.col("l_extendedprice").alias("price"),
-        F.nullif(F.col("l_quantity"), F.lit(50.0)).alias("quantity"),
-        F.get(units, F.col("l_linenumber").cast("int") % 5).alias("unit"),
-        F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False).alias("is_food"),
-        F.when(F.col("o_orderstatus") == "F", "IMPORTED").when(F.col("o_orderstatus") == "O", "DRAFT").otherwise("CANCELLED").alias("status"),
-        (F.col("l_discount") >= 0.05).alias("is_special"),
-        F.col("p_size").cast("int").alias("shelf_days"),
-        F.col("o_totalprice").alias("printed_total"),
-    )
+    known = {
+        "item_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") * 100 + 0.5)),
+        "receipt_id": F.col("l_orderkey"),
+        "line": F.col("l_linenumber").cast("int"),
+        "product_id": F.col("l_partkey"),
+        "product": F.col("p_name"),
+        "brand": F.col("p_brand"),
+        "retailer": F.col("s_name"),
+        "bought": F.to_date("o_orderdate"),
+        "seen": F.to_date("l_shipdate"),
+        "price": F.col("l_extendedprice"),
+        "quantity": F.nullif(F.col("l_quantity"), F.lit(50.0)),
+        "unit": F.get(units, F.col("l_linenumber").cast("int") % 5),
+        "is_food": F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False),
+        "status": F.when(F.col("o_orderstatus") == "F", "IMPORTED").when(F.col("o_orderstatus") == "O", "DRAFT").otherwise("CANCELLED"),
+        "is_special": F.col("l_discount") >= 0.05,
+        "shelf_days": F.col("p_size").cast("int"),
+        "printed_total": F.col("o_totalprice"),
+    }
+    wanted = columns or tuple(known)
+    for name, key, other, own in (("orders", "l_orderkey", "o_orderkey", ("bought", "status", "printed_total")), ("part", "l_partkey", "p_partkey", ("product", "brand", "shelf_days")), ("supplier", "l_suppkey", "s_suppkey", ("retailer",))):
+        if set(own) & set(wanted):
+            joined = joined.join(table(spark, sf_dir, name), F.col(key) == F.col(other))
+    return joined.select(*[known[c].alias(c) for c in wanted])
 
 
 ITEMS = """items AS (

@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from basketry.functions import names as M
 from basketry.functions import numbers as N
 from basketry.functions import text as T
+from basketry.functions import vocabulary as V
 from basketry.operators import relational as R
 from basketry.plans.fixtures import AS_OF, ITEMS, items, table
 
 
 def pantry_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate stock of a product and unit: one row with the sum, the earliest expiry and the latest purchase."""
-    rows = items(spark, sf_dir).filter("is_food").withColumn("expires", F.date_add("seen", F.col("shelf_days")))
+    rows = items(spark, sf_dir, "product_id", "unit", "item_id", "quantity", "seen", "shelf_days", "bought", "is_food").filter("is_food").withColumn("expires", F.date_add("seen", F.col("shelf_days")))
     grouped = rows.groupBy("product_id", "unit").agg(F.min("item_id").alias("keeper"), F.sum("quantity").alias("quantity"), F.min("expires").alias("expires"), F.max("bought").alias("bought"), F.count(F.lit(1)).alias("merged"))
     return grouped.filter("merged >= 2")
 
 
 def expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock records by expiry status as of a fixed moment."""
-    rows = items(spark, sf_dir).filter("is_food").withColumn("expires", F.date_add("seen", F.col("shelf_days")).cast("timestamp"))
+    rows = items(spark, sf_dir, "seen", "shelf_days", "is_food").filter("is_food").withColumn("expires", F.date_add("seen", F.col("shelf_days")).cast("timestamp"))
     return rows.groupBy(N.expiry_status(F.col("expires"), AS_OF).alias("status")).agg(F.count(F.lit(1)).alias("records"))
 
 
 def pantry_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per product name: records, departments, units with their sums, earliest expiry, whether anything has expired."""
-    rows = items(spark, sf_dir).filter("is_food").withColumn("expires", F.date_add("seen", F.col("shelf_days")))
+    rows = items(spark, sf_dir, "product", "unit", "quantity", "seen", "shelf_days", "is_food").filter("is_food").withColumn("expires", F.date_add("seen", F.col("shelf_days")))
     by_unit = rows.groupBy("product", "unit").agg(F.sum("quantity").alias("q"), F.count(F.lit(1)).alias("n"), F.min("expires").alias("e"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", F.coalesce(F.col("q"), F.lit(0.0)).cast("long").alias("q")))), lambda x: F.concat_ws("=", x["unit"], x["q"])), ";")
     return by_unit.groupBy("product").agg(F.sum("n").alias("records"), listed.alias("quantities"), F.min("e").alias("earliest"), F.bool_or(F.col("e") < F.lit(AS_OF).cast("date")).alias("expired")).withColumn("department", M.department(F.col("product")))
@@ -35,14 +36,14 @@ def pantry_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shopping_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate items of a list: the sum if every quantity is known, else that of the first; special only if all are."""
-    rows = items(spark, sf_dir).filter("status = 'DRAFT'")
+    rows = items(spark, sf_dir, "receipt_id", "brand", "unit", "item_id", "quantity", "is_special", "status").filter("status = 'DRAFT'")
     total = F.when(F.count("quantity") == F.count(F.lit(1)), F.sum("quantity")).otherwise(F.min_by("quantity", "item_id"))
     return rows.groupBy("receipt_id", "brand", "unit").agg(F.min("item_id").alias("keeper"), total.alias("quantity"), F.bool_and("is_special").alias("special"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required per product and dimension in the unit of its first row, stock of it, what is short, and the status."""
-    rows = items(spark, sf_dir).withColumns({"dim": N.dimension(F.col("unit")), "base": F.col("quantity") * N.factor(F.col("unit")), "factor": N.factor(F.col("unit"))})
+    rows = items(spark, sf_dir, "product_id", "unit", "quantity", "item_id", "status", "is_food").withColumns({"dim": N.dimension(F.col("unit")), "base": F.col("quantity") * N.factor(F.col("unit")), "factor": N.factor(F.col("unit"))})
     need = rows.filter("status = 'DRAFT'").groupBy("product_id", "dim").agg(F.sum("base").alias("need"), F.min_by(F.struct("unit", "factor"), "item_id").alias("f"))
     have = rows.filter("status = 'IMPORTED' AND is_food AND quantity > 0").groupBy("product_id", "dim").agg(F.sum("base").alias("have"))
     joined = need.join(have, ["product_id", "dim"], "left").withColumn("have", F.coalesce("have", F.lit(0.0)))
@@ -54,27 +55,32 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with derived gaps, so that checks have something to find."""
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
-        k.alias("id"), F.col("p_name").alias("name"), F.when(k % 5 != 0, F.col("p_brand")).alias("brand"), F.when(k % 7 != 0, F.col("p_type")).alias("category"),
-        F.when(k % 3 != 0, F.lpad(k.cast("string"), 12, "0")).alias("gtin_body"), F.when(k % 4 != 0, F.col("p_size").cast("double")).alias("servings"), F.when(k % 11 != 0, F.col("p_retailprice")).alias("energy"), (k % 13 == 0).alias("produce"),
+        k.alias("id"), F.when(k % 29 == 0, F.concat("p_name", F.lit(" .css{x}"))).when(k % 31 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.col("p_name")).alias("name"), F.when(k % 5 != 0, F.col("p_brand")).alias("brand"), F.when(k % 7 != 0, F.col("p_type")).alias("category"),
+        F.when(k % 3 != 0, F.lpad(k.cast("string"), 12, "0")).alias("gtin_body"), F.when(k % 4 != 0, F.when(k % 37 == 0, 600.0).otherwise(F.col("p_size").cast("double"))).alias("servings"), F.when(k % 11 != 0, F.when(k % 41 == 0, -1.0).otherwise(F.col("p_retailprice"))).alias("energy"), (k % 13 == 0).alias("produce"), F.when(k % 8 != 0, F.when(k % 15 == 0, "N/A").otherwise("milk, salt")).alias("ingredients"),
     )
 
 
-CATALOGUE = """cat AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS category,
-  CASE WHEN p_partkey % 3 <> 0 THEN lpad(CAST(p_partkey AS VARCHAR), 12, '0') END AS gtin_body, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS servings,
-  CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS energy, p_partkey % 13 = 0 AS produce FROM part)"""
-WEIGHTS = {"category-missing": 7, "brand-missing": 7, "barcode-missing": 3, "servings-missing": 7, "servings-invalid": 15, "nutrition-missing": 15}
+CATALOGUE = """cat AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 29 = 0 THEN p_name || ' .css{x}' WHEN p_partkey % 31 = 0 THEN ' ' || p_name ELSE p_name END AS name, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS category,
+  CASE WHEN p_partkey % 3 <> 0 THEN lpad(CAST(p_partkey AS VARCHAR), 12, '0') END AS gtin_body, CASE WHEN p_partkey % 4 <> 0 THEN CASE WHEN p_partkey % 37 = 0 THEN 600.0 ELSE CAST(p_size AS DOUBLE) END END AS servings, CASE WHEN p_partkey % 8 <> 0 THEN CASE WHEN p_partkey % 15 = 0 THEN 'N/A' ELSE 'milk, salt' END END AS ingredients,
+  CASE WHEN p_partkey % 11 <> 0 THEN CASE WHEN p_partkey % 41 = 0 THEN -1.0 ELSE p_retailprice END END AS energy, p_partkey % 13 = 0 AS produce FROM part)"""
+WEIGHTS = {
+    "name-invalid": 15, "name-needs-repair": 7, "category-missing": 7, "brand-missing": 7, "barcode-missing": 3, "image-missing": 7, "serving-size-missing": 15, "servings-missing": 7, "servings-invalid": 15, "nutrition-missing": 15,
+    "nutrition-invalid": 15, "ingredients-missing": 15, "ingredients-placeholder": 15, "allergens-missing": 7, "retailer-link-missing": 7,
+}
 
 
 def inspected(rows: DataFrame) -> DataFrame:
     """rows with issues, score and state; produce needs neither brand, barcode nor label."""
-    packed = ~F.col("produce")
+    c, packed = F.col, ~F.col("produce")
+    energy = c("energy")
     found = R.issues(
-        ("category-missing", F.col("category").isNull()), ("brand-missing", packed & F.col("brand").isNull()), ("barcode-missing", packed & F.col("gtin_body").isNull()),
-        ("servings-missing", packed & F.col("servings").isNull()), ("servings-invalid", packed & ((F.col("servings") <= 0) | (F.col("servings") > 45))), ("nutrition-missing", packed & F.col("energy").isNull()),
+        ("name-invalid", c("name").rlike("[{};]")), ("name-needs-repair", ~c("name").rlike("[{};]") & (T.squeeze(c("name")) != c("name"))), ("category-missing", c("category").isNull()), ("brand-missing", packed & c("brand").isNull()), ("barcode-missing", packed & c("gtin_body").isNull()),
+        ("image-missing", c("id") % 12 == 0), ("serving-size-missing", packed & (c("id") % 10 == 0)), ("servings-missing", packed & c("servings").isNull()), ("servings-invalid", packed & ((c("servings") <= 0) | (c("servings") > 500))), ("nutrition-missing", packed & energy.isNull()), ("nutrition-invalid", packed & (energy < 0)),
+        ("ingredients-missing", packed & (F.trim(F.coalesce("ingredients", F.lit(""))) == "")), ("ingredients-placeholder", packed & F.trim("ingredients").rlike("(?i)^(?:n/?a|not available|coming soon|unknown)$")), ("allergens-missing", packed & (c("id") % 6 == 0)), ("retailer-link-missing", c("id") % 4 == 1),
     )
-    out = rows.withColumn("issues", found).withColumn("score", R.penalty_score(F.col("issues"), WEIGHTS))
+    out = rows.withColumn("issues", found).withColumn("score", R.penalty_score(c("issues"), WEIGHTS))
     severe = F.arrays_overlap("issues", F.array(*[F.lit(k) for k, v in WEIGHTS.items() if v == 15]))
-    return out.withColumn("state", F.when(severe, "review").when(F.size("issues") > 0, "incomplete").otherwise("verified"))
+    return out.withColumn("state", F.when(F.array_contains("issues", "name-invalid"), "broken").when(severe, "review").when(F.size("issues") > 0, "incomplete").when(c("id") % 2 == 0, "verified").otherwise("enriched"))
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +117,12 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products resolved against the first of each brand and name, then of each name, else created."""
-    rows = catalogue(spark, sf_dir).withColumns({"by_brand": F.concat_ws("|", "brand", "name"), "by_name": T.slug(F.col("name"))}).withColumn("by_brand", F.when(F.col("brand").isNotNull(), F.col("by_brand")))
-    known = rows.filter("id % 2 = 0").withColumnRenamed("id", "match")
-    steps = [("brand", "by_brand", known.select("by_brand", "match")), ("name", "by_name", known.filter("match % 4 = 0").select("by_name", "match"))]
-    return R.cascade(rows.filter("id % 2 = 1").select("id", "by_brand", "by_name"), steps, "match").select("id", "match", "matched_by")
+    """Every product resolved: against the first of its brand and name, else of its name, with the confidence of the step."""
+    rows = catalogue(spark, sf_dir).select("id", F.when(F.col("brand").isNotNull(), F.concat_ws("|", "brand", "name")).alias("by_brand"), F.when(F.col("id") % 9 != 0, F.col("name")).alias("by_name"))
+    known = rows.withColumnRenamed("id", "match")
+    steps = [("brand", "by_brand", known.select("by_brand", "match")), ("name", "by_name", known.select("by_name", "match"))]
+    found = R.cascade(rows, steps, "match")
+    return found.select("id", "match", "matched_by", F.when(F.col("matched_by") == "brand", 0.98).when(F.col("matched_by") == "name", 0.95).otherwise(0.5).alias("confidence"))
 
 
 def event_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +140,8 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user and day: events of four types, as its SQL has them, 0 where there is none; event_pivot_all has all events."""
-    return pivoted(table(spark, sf_dir, "events"), ("click", "purchase", "signup", "view"))
+    """Per user and day: events of each type, 0 where there is none; event_pivot_all has a column for others besides."""
+    return pivoted(table(spark, sf_dir, "events"), EVENT_TYPES)
 
 
 #: All types of the table.
@@ -187,16 +194,24 @@ def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts: the sum of their items against the printed total, and counts of reviewed and of food items."""
-    rows = items(spark, sf_dir)
+    rows = items(spark, sf_dir, "receipt_id", "price", "printed_total", "is_food")
     total = F.sum(N.cents(F.col("price")))
     return rows.groupBy("receipt_id").agg((total / 100).alias("total"), F.max("printed_total").alias("printed"), F.count(F.lit(1)).alias("n"), F.count("is_food").alias("reviewed"), F.count_if("is_food").alias("food")).withColumn("differs", F.abs(F.col("total") - F.col("printed")) > 0.05)
 
 
+
+
+def _department_sql(normal: str) -> str:
+    """The department of a normalised name, in SQL."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({normal}, '\\b(?:{words})\\b') THEN '{name}'" for name, words in V.DEPARTMENT_RULES) + " ELSE 'Other' END"
+
+
 QUERIES = {
     "pantry_consolidation": (pantry_consolidation, f"WITH {ITEMS} SELECT product_id, unit, min(item_id) AS keeper, sum(quantity) AS quantity, min(seen + shelf_days) AS expires, max(bought) AS bought, count(*) AS merged FROM items WHERE is_food GROUP BY product_id, unit HAVING count(*) >= 2"),
     "expiry": (expiry, f"""WITH {ITEMS}, e AS (SELECT epoch(CAST(seen + shelf_days AS TIMESTAMP)) + 86399 - epoch(TIMESTAMP '{AS_OF}') AS s FROM items WHERE is_food)
 SELECT CASE WHEN s < 0 THEN 'expired' WHEN s <= 259200 THEN 'soon' ELSE 'ok' END AS status, count(*) AS records FROM e GROUP BY 1"""),
-    "pantry_groups": (pantry_groups, None),
+    "pantry_groups": (pantry_groups, f"""WITH {ITEMS}, u AS (SELECT product, unit, coalesce(sum(quantity), 0) AS q, count(*) AS n, min(seen + shelf_days) AS e FROM items WHERE is_food GROUP BY 1, 2)
+SELECT product, CAST(sum(n) AS BIGINT) AS records, string_agg(unit || '=' || CAST(q AS BIGINT), ';' ORDER BY unit) AS quantities, min(e) AS earliest, bool_or(e < CAST(TIMESTAMP '{AS_OF}' AS DATE)) AS expired, {_department_sql("product")} AS department FROM u GROUP BY product"""),
     "shopping_merge": (shopping_merge, f"""WITH {ITEMS} SELECT receipt_id, brand, unit, min(item_id) AS keeper, CASE WHEN count(quantity) = count(*) THEN sum(quantity) ELSE arg_min_null(quantity, item_id) END AS quantity,
   bool_and(is_special) AS special, count(*) AS n FROM items WHERE status = 'DRAFT' GROUP BY receipt_id, brand, unit HAVING count(*) >= 2"""),
     "requirements": (requirements, f"""WITH {ITEMS}, r AS (SELECT *, CASE WHEN unit IN ('kg', 'g') THEN 'mass' WHEN unit IN ('l', 'ml') THEN 'volume' ELSE 'count' END AS dim, CASE WHEN unit IN ('kg', 'l') THEN 1000.0 ELSE 1.0 END::DOUBLE AS factor FROM items),
@@ -204,29 +219,39 @@ n AS (SELECT product_id, dim, sum(quantity * factor) AS need, arg_min(unit, item
 h AS (SELECT product_id, dim, sum(quantity * factor) AS have FROM r WHERE status = 'IMPORTED' AND is_food AND quantity > 0 GROUP BY ALL)
 SELECT product_id, dim, unit, need / factor AS required, CASE WHEN need IS NULL THEN 0.0 ELSE greatest(need - coalesce(have, 0), 0) END / factor AS short,
   CASE WHEN coalesce(have, 0) = 0 THEN 'missing' WHEN have >= coalesce(need, 0) THEN 'in-pantry' ELSE 'partial' END AS status FROM n LEFT JOIN h USING (product_id, dim)"""),
-    "gtins": (gtins, None),
+    "gtins": (gtins, f"""WITH {CATALOGUE}, d AS (SELECT id, gtin_body, CAST((10 - (SELECT sum(CAST(gtin_body[13 - i] AS INT) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END) FROM range(1, 13) t(i)) % 10) % 10 AS VARCHAR) AS digit FROM cat WHERE gtin_body IS NOT NULL)
+SELECT id, gtin_body || digit AS gtin, true AS valid, false AS spoilt_valid FROM d"""),
     "duplicates": (duplicates, r"SELECT keeper, n FROM (SELECT sha256(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B]+', ' ', 'g')))) AS k, min(doc_id) AS keeper, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1)"),
-    "resolved": (resolved, None),
+    "resolved": (resolved, f"""WITH {CATALOGUE}, r AS (SELECT id, brand, name, CASE WHEN brand IS NOT NULL THEN min(id) OVER (PARTITION BY brand, name) END AS b, id % 9 <> 0 AS named FROM cat), n AS (SELECT name, min(id) AS n FROM cat WHERE id % 9 <> 0 GROUP BY name)
+SELECT id, coalesce(b, CASE WHEN named THEN n END) AS match, CASE WHEN b IS NOT NULL THEN 'brand' WHEN named THEN 'name' ELSE 'create' END AS matched_by, CAST(CASE WHEN b IS NOT NULL THEN 0.98 WHEN named THEN 0.95 ELSE 0.5 END AS DOUBLE) AS confidence FROM r LEFT JOIN n USING (name)"""),
     "event_upsert": (event_upsert, """WITH e AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN event_id END AS v FROM events),
 o AS (SELECT user_id, v, event_type FROM e WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
 n AS (SELECT user_id, v, event_type FROM e WHERE ts >= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.v, o.v) AS v, coalesce(n.event_type, o.event_type) AS event_type FROM o FULL JOIN n ON o.user_id = n.user_id"""),
     "event_counts": (event_counts, "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (dayofweek(ts) IN (0, 6)) AS weekend_users, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY event_type"),
-    "event_pivot": (event_pivot, "SELECT user_id, CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in ("click", "purchase", "signup", "view")) + ", max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS top_k FROM events GROUP BY 1, 2"),
+    "event_pivot": (event_pivot, "SELECT user_id, CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in EVENT_TYPES) + ", max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS top_k FROM events GROUP BY 1, 2"),
     "event_pivot_all": (event_pivot_all, "SELECT user_id, CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in EVENT_TYPES) + f", count(*) FILTER (event_type IS NULL OR event_type NOT IN {EVENT_TYPES}) AS other, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS top_k FROM events GROUP BY 1, 2"),
     "latest_metrics": (latest_metrics, "SELECT user_id, event_id, event_type FROM events JOIN (SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id) USING (user_id, ts)"),
     "first_events": (first_events, "SELECT user_id, event_type, event_id, CAST(least(3600, 15 * pow(2, greatest(event_id % 12 - 1, 0))) AS BIGINT) AS retry_after FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1"),
-    "names": (names, None),
-    "page_texts": (page_texts, None),
+    "names": (names, f"""WITH {CATALOGUE}, n AS (SELECT DISTINCT name, trim(regexp_replace(lower(name), '[^a-z0-9. ]+', ' ', 'g')) AS normalised, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS plain FROM cat)
+SELECT name, normalised, replace(normalised, ' ', '-') AS slug, array_to_string(list_transform(list_filter(string_split(plain, ' '), lambda w: length(w) > 1), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END), ' ') AS tokens, {_department_sql("normalised")} AS department FROM n"""),
+    "page_texts": (page_texts, r"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+e AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
+SELECT page_id, md5(trim(regexp_replace(t, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS text_md5, sha256(coalesce(html, '')) AS page_sha256 FROM e"""),
     "weeks": (weeks, """SELECT CAST(date_trunc('week', t) AS DATE) AS week, CASE WHEN hour(t) < 12 THEN 'morning' WHEN hour(t) < 17 THEN 'afternoon' ELSE 'evening' END AS part, count(*) AS n FROM (SELECT ts + INTERVAL 10 HOUR AS t FROM events) GROUP BY 1, 2"""),
     "reconciled": (reconciled, f"""WITH {ITEMS}, r AS (SELECT receipt_id, CAST(sum(floor((price + 2.220446049250313e-16) * 100 + 0.5)) AS BIGINT) / 100 AS total, max(printed_total) AS printed, count(*) AS n, count(is_food) AS reviewed, count(*) FILTER (is_food) AS food FROM items GROUP BY receipt_id)
 SELECT *, abs(total - printed) > 0.05 AS differs FROM r"""),
 }
 
-_ISSUES = f"""{CATALOGUE}, iss AS (SELECT id, brand, list_filter([CASE WHEN category IS NULL THEN 'category-missing' END, CASE WHEN NOT produce AND brand IS NULL THEN 'brand-missing' END, CASE WHEN NOT produce AND gtin_body IS NULL THEN 'barcode-missing' END,
-  CASE WHEN NOT produce AND servings IS NULL THEN 'servings-missing' END, CASE WHEN NOT produce AND (servings <= 0 OR servings > 45) THEN 'servings-invalid' END, CASE WHEN NOT produce AND energy IS NULL THEN 'nutrition-missing' END], lambda x: x IS NOT NULL) AS issues FROM cat),
-q AS (SELECT *, CAST(greatest(0, 100 - coalesce(list_sum(list_transform(issues, lambda x: CASE WHEN x IN ('servings-invalid', 'nutrition-missing') THEN 15 WHEN x = 'barcode-missing' THEN 3 ELSE 7 END)), 0)) AS INT) AS score,
-  CASE WHEN list_has_any(issues, ['servings-invalid', 'nutrition-missing']) THEN 'review' WHEN len(issues) > 0 THEN 'incomplete' ELSE 'verified' END AS state FROM iss)"""
+_RULES = {
+    "name-invalid": "name LIKE '%{%'", "name-needs-repair": "name NOT LIKE '%{%' AND trim(name) <> name", "category-missing": "category IS NULL", "brand-missing": "NOT produce AND brand IS NULL", "barcode-missing": "NOT produce AND gtin_body IS NULL",
+    "image-missing": "id % 12 = 0", "serving-size-missing": "NOT produce AND id % 10 = 0", "servings-missing": "NOT produce AND servings IS NULL", "servings-invalid": "NOT produce AND (servings <= 0 OR servings > 500)", "nutrition-missing": "NOT produce AND energy IS NULL", "nutrition-invalid": "NOT produce AND energy < 0",
+    "ingredients-missing": "NOT produce AND ingredients IS NULL", "ingredients-placeholder": "NOT produce AND ingredients = 'N/A'", "allergens-missing": "NOT produce AND id % 6 = 0", "retailer-link-missing": "id % 4 = 1",
+}
+_SEVERE = [k for k, v in WEIGHTS.items() if v == 15]
+_ISSUES = f"""{CATALOGUE}, iss AS (SELECT id, brand, list_filter([{", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in _RULES.items())}], lambda x: x IS NOT NULL) AS issues FROM cat),
+q AS (SELECT *, CAST(greatest(0, 100 - coalesce(list_sum(list_transform(issues, lambda x: CASE WHEN x IN {tuple(_SEVERE)} THEN 15 WHEN x = 'barcode-missing' THEN 3 ELSE 7 END)), 0)) AS INT) AS score,
+  CASE WHEN list_contains(issues, 'name-invalid') THEN 'broken' WHEN list_has_any(issues, {_SEVERE}) THEN 'review' WHEN len(issues) > 0 THEN 'incomplete' WHEN id % 2 = 0 THEN 'verified' ELSE 'enriched' END AS state FROM iss)"""
 QUERIES |= {
     "quality": (quality, f"WITH {_ISSUES} SELECT id, array_to_string(issues, ',') AS issues, score, state FROM q"),
     "quality_issues": (quality_issues, f"WITH {_ISSUES} SELECT issue, count(*) AS products FROM (SELECT unnest(issues) AS issue FROM q) GROUP BY issue"),

@@ -12,16 +12,30 @@ from pyspark.sql.types import StructType
 
 
 def strict_csv(spark: SparkSession, path: str, schema: str, key: str | None = None, least: int = 1) -> DataFrame:
-    """Rows of a CSV file whose header must equal the schema's names; a malformed row, too few rows or a repeated key fail.
+    """Rows of CSV files whose headers must equal the schema's names, in order, in every file; a malformed row (too few or too many
+    fields, a value of another type, a quote that isn't closed), too few rows or a repeated key fail.
 
-    The checks on all rows are one aggregation; only its counts come to the driver.
+    The checks on all rows are two aggregations; only their counts come to the driver.
     """
     wanted = StructType.fromDDL(schema)
-    found = spark.read.option("header", True).csv(path).columns
-    if found != wanted.names:
-        raise ValueError(f"header is {found}, not {wanted.names}")
-    rows = spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST").schema(wanted).csv(path)
-    n = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if not lines.filter(quotes % 2 == 1).isEmpty():
+        raise ValueError("a quote isn't closed")
+    raw = spark.read.option("header", False).option("escape", '"').schema(", ".join(f"`{c}` string" for c in [*wanted.names, "__more"])).csv(path)
+    heading = F.lit(True)
+    for c in wanted.names:
+        heading = heading & F.coalesce(F.col(f"`{c}`") == c, F.lit(False))
+    of_file = raw.groupBy(F.input_file_name().alias("file")).agg(F.count_if(heading).alias("n"))
+    wrong = of_file.filter("n <> 1").select("file").first()
+    if wrong or not any(of_file.take(1)):
+        raise ValueError(f"header isn't {wanted.names}" + (f" in {wrong['file']}" if wrong else ""))
+    rows = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"').option("mode", "FAILFAST").schema(wanted).csv(path)
+    # a hash of all columns: a count alone would read none, and so see no malformed row
+    try:
+        n = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in wanted.names])).alias("h")).first()["n"]
+    except Exception as e:
+        raise ValueError(f"a row is malformed: {str(e)[:300]}") from e
     if n < least:
         raise ValueError(f"{n} rows, at least {least} are needed")
     if key and not rows.groupBy(key).count().filter("count > 1").isEmpty():

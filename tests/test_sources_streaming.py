@@ -49,6 +49,16 @@ def test_strict_csv(spark, tmp_path):
         S.strict_csv(spark, str(tmp_path / "b.csv"), "id long, name string", "id")
 
 
+@pytest.mark.parametrize("body", ["id,name\n1,a,b\n", "id,name\n1\n", "id,name\nx,a\n", 'id,name\n1,"a\n2,b\n', "n,id\n1,a\n"])
+def test_strict_csv_refuses(spark, tmp_path, body):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id,name\n7,z\n")
+    assert S.strict_csv(spark, str(tmp_path / "in"), "id long, name string").count() == 1
+    (tmp_path / "in" / "b.csv").write_text(body)
+    with pytest.raises(ValueError):
+        S.strict_csv(spark, str(tmp_path / "in"), "id long, name string")
+
+
 def test_annotated_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("#group,false\nt,v\n1,2\nt,v\n3,4\n5\n6,7,8\n")
     assert sorted(map(tuple, S.annotated_csv(spark, str(tmp_path / "a.csv"), ["t", "v"]).collect())) == [("1", "2"), ("3", "4")]
