@@ -6,6 +6,7 @@ that holds many rows is cut down where they are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -111,3 +112,42 @@ def best_match(left: DataFrame, right: DataFrame, name: str, other: str, score)
     shared = rare(a, "a", "s").join(rare(b, "b", "t"), "w").select("a", "b")
     pairs = held(a, "x", b, "y").unionByName(held(b, "y", a, "x")).unionByName(shared).distinct()
     return pairs.withColumn("score", score(F.col("a"), F.col("b"))).filter("score > 0").select(F.col("a").alias(name), F.col("b").alias(other), "score")
+
+
+def stored_observations(df: DataFrame, key: str, at: str, values: list[str], gap_seconds: int = 6 * 3600) -> DataFrame:
+    """The observations of each key that are stored: those whose values differ from the last stored one's, or that come gap_seconds or more after it.
+
+    An observation that isn't stored doesn't move the last stored one.  As a run of equal values always begins with a stored one, each run is
+    judged by itself: by one pass over its times.
+    """
+    w = Window.partitionBy(key).orderBy(at, *values)
+    seconds = F.unix_seconds(F.col(at).cast("timestamp"))
+    same = F.coalesce(reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.lag(v).over(w)) for v in values]), F.lit(False)) & F.lag(at).over(w).isNotNull()
+    runs = df.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
+    times = F.sort_array(F.collect_list(F.struct(seconds.alias("s"), F.col(at).alias("at"))))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{df.schema[at].dataType.simpleString()}>").alias("kept"))
+    taken = F.aggregate(F.col("t"), start, lambda a, x: F.when(a["last"].isNull() | (x["s"] - a["last"] >= gap_seconds), F.struct(x["s"].alias("last"), F.array_append(a["kept"], x["at"]).alias("kept"))).otherwise(a))
+    grouped = runs.groupBy(key, "__run").agg(times.alias("t"), *[F.first(v).alias(v) for v in values])
+    return grouped.select(key, F.explode(taken["kept"]).alias(at), *values)
+
+
+def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], DataFrame], most: int = 5) -> DataFrame:
+    """step applied again and again, most times at most, until it changes nothing.  write cuts the lineage after each (a checkpoint or a table);
+    only a count and a checksum come to the driver."""
+    mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)"))).first())
+    now = mark(df)
+    for _ in range(most):
+        df = write(step(df))
+        before, now = now, mark(df)
+        if now == before:
+            break
+    return df
+
+
+def contained_phrases(df: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str = "phrase", rank: str = "rank", longest: int = 6) -> DataFrame:
+    """Per row of df whose normalised text has one of the phrases (of up to longest words) as whole words: key and the longest phrase; of equal lengths
+    that of the least rank.  All runs of words of a text meet the phrases in an equality join."""
+    w = F.filter(F.split(text, " "), lambda x: x != "")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(w, i, n), " "))))
+    found = df.select(key, F.explode(F.array_distinct(runs)).alias(phrase)).join(phrases, phrase)
+    return top_rows(found, [key], [F.length(phrase).desc(), F.col(rank)]).select(key, phrase)
