@@ -32,8 +32,9 @@ SEGMENT = 1 << 18
 
 try:
     _libc = ctypes.CDLL(None)
-    # arrays from 256 kB on go back to the system when they are freed, however many have been made before
-    _libc.mallopt(-3, 1 << 18)
+    # arrays from 4 MB on go back to the system when they are freed, however many have been made before; smaller ones are used again
+    _libc.mallopt(-3, 4 << 20)
+    _libc.mallopt(-1, 32 << 20)
 except (OSError, AttributeError):
     _libc = None
 
