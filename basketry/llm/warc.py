@@ -169,7 +169,10 @@ class WarcReader(DataSourceReader):
             names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith((".warc.gz", ".warc")))
         return [Archive(f"{self.path.rstrip('/')}/{n}") for n in names]
 
-    def read(self, partition: Archive) -> Iterator[tuple]:
+    def read(self, partition: Archive | None) -> Iterator[tuple]:
+        if partition is None:  # no archive at all
+            return
+
         def wanted(h: dict[str, str]) -> bool:
             return all(k.lower() in h and (not values or h[k.lower()] in values) for k, values in self.equal)
 
