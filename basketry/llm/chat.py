@@ -4,7 +4,7 @@ A turn becomes ``### role: text</turn>\\n``.  Inside roles and texts a backslash
 every backslash and before every control string (``### `` and ``</turn>``; in a role also
 before ``:``), so that no content can pass for a mark and every text can be read back exactly.
 Segment lengths, offsets and scatter indices are computed in numpy for a whole batch, whose
-bytes are then copied into one preallocated buffer that becomes an Arrow column.
+bytes are then copied into one preallocated buffer; that buffer is the Arrow column's.
 """
 
 from __future__ import annotations
@@ -70,58 +70,41 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np
 
 
 def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Per conversation: conv, n_turns, formatted (bytes) and loss_spans (start and end of each
+    """Conversations in pieces: conv, piece (from 0), n_turns, formatted (bytes) and loss_spans (start and end of each
     assistant text in formatted, in bytes).
 
-    One exchange by conversation; each task streams its turns in order and never holds more
-    than a batch and the conversation at hand.  Turns of a conversation go by turn number (null
-    first), equal numbers by role and text.  Null roles and texts count as empty; rows with a
-    null conversation form one conversation; repeated rows are repeated turns.
+    One exchange by conversation; each task streams its turns in order, and a piece holds the turns that a conversation has in one batch, so
+    that none is ever held whole.  A partition has the pieces of a conversation one after the other.  Turns of a conversation go by turn
+    number (null first), equal numbers by role and text.  Null roles and texts count as empty; rows with a null conversation form
+    one conversation, and so do those of NaN; repeated rows are repeated turns.
     """
     small_batches(df.sparkSession)
-    rows = df.select(F.col(conv).alias("__c"), F.col(turn).alias("__t"), F.col(role).alias("__r"), F.col(text).alias("__x"))
-    rows = rows.repartition("__c").sortWithinPartitions("__c", "__t", "__r", "__x")
+    name = F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit(""))
+    rows = df.select(F.col(conv).alias("__c"), F.col(turn).alias("__t"), F.col(role).alias("__r"), F.col(text).alias("__x"), name.alias("__g"))
+    rows = rows.repartition("__g").sortWithinPartitions("__g", "__t", "__r", "__x")
     conv_type = df.schema[conv].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
-        held: list | None = None  # of the last conversation: key, turns, pieces, spans, bytes
-
-        def out(done: list[list]) -> pa.RecordBatch:
-            bodies = pa.array([b"".join(x[2]) for x in done], pa.binary())
-            spans = pa.array([[{"start": a, "end": b} for a, b in x[3]] for x in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], schema), pa.array([x[1] for x in done], pa.int64()), bodies, spans], [conv, "n_turns", "formatted", "loss_spans"])
-
+        last, piece = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            schema = batch.column(0).type
             body, offsets, low, high = assemble(batch.column(2), batch.column(3))
-            keys = batch.column(0).to_pylist()
-            learn = [x == "assistant" for x in batch.column(2).to_pylist()]
-            view = memoryview(body)
-            done = []
-            first = 0
-            while first < len(keys):
-                last = first
-                while last < len(keys) and keys[last] == keys[first]:
-                    last += 1
-                if held is None or held[0] != keys[first]:
-                    if held is not None:
-                        done.append(held)
-                    held = [keys[first], 0, [], [], 0]
-                shift = held[4] - int(offsets[first])
-                held[1] += last - first
-                held[2].append(bytes(view[offsets[first] : offsets[last]]))
-                held[3] += [(int(low[i]) + shift, int(high[i]) + shift) for i in range(first, last) if learn[i]]
-                held[4] += int(offsets[last] - offsets[first])
-                first = last
-            if done:
-                yield out(done)
-        if held is not None:
-            yield out([held])
-
-    return rows.mapInArrow(run, f"`{conv}` {conv_type}, n_turns long, formatted binary, loss_spans array<struct<start:long,end:long>>")
+            names = batch.column(4).to_pylist()
+            first = np.array([0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])])
+            pieces = np.zeros(len(first), np.int32)
+            pieces[0] = piece + 1 if names[0] == last else 0
+            last, piece = names[-1], int(pieces[-1])
+            edges = offsets[np.append(first, len(names))]
+            learn = np.array([x == "assistant" for x in batch.column(2).to_pylist()])
+            shift = np.repeat(edges[:-1], np.diff(np.append(first, len(names))))
+            spans = pa.StructArray.from_arrays([pa.array((low - shift)[learn]), pa.array((high - shift)[learn])], ["start", "end"])
+            of = np.concatenate([[0], np.cumsum(learn)])[np.append(first, len(names))].astype(np.int32)
+            # the buffer that the turns were copied into is the column's; a piece is a pair of offsets in it
+            formatted = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(body)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), pa.array(pieces), pa.array(np.diff(np.append(first, len(names)))), formatted, pa.ListArray.from_arrays(pa.array(of), spans)], [conv, "piece", "n_turns", "formatted", "loss_spans"])
+
+    return rows.mapInArrow(run, f"`{conv}` {conv_type}, piece int, n_turns long, formatted binary, loss_spans array<struct<start:long,end:long>>")
 
 
 def read_turns(formatted: bytes) -> list[tuple[bytes, bytes]]:
@@ -139,24 +122,42 @@ def read_turns(formatted: bytes) -> list[tuple[bytes, bytes]]:
 
 def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Read conversations back from format_turns' output and digest them: conv, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars."""
+    loss_chars, loss_sha256, formatted_chars.
+
+    Pieces of a conversation must follow each other in a partition, as format_turns gives them; digests run over them.
+    """
     conv_type = formatted.schema[conv].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+        held: list | None = None  # key, turns, digest of all, characters and digest under the mask, characters formatted
+
+        def out(done: list[list]) -> pa.RecordBatch:
+            rows = [(x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5]) for x in done]
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], kind), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True))], [conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
         for batch in batches:
-            rows = []
-            for body, spans in zip(batch.column(1), batch.column(2), strict=True):
+            kind = batch.column(0).type
+            done = []
+            for key, piece, body, spans in zip(*batch.columns, strict=True):
+                if piece.as_py() == 0:
+                    if held is not None:
+                        done.append(held)
+                    held = [key.as_py(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 body = body.as_py()
                 turns = read_turns(body)
-                whole, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
                 for role, text in turns:
-                    whole.update(b"%s\n%s\n" % (role, text))
+                    held[2].update(b"%s\n%s\n" % (role, text))
                 for span in spans.as_py():
                     plain = ESCAPED.sub(rb"\1", body[span["start"] : span["end"]])
-                    loss.update(plain)
-                    chars += len(plain.decode())
-                rows.append((len(turns), whole.hexdigest(), chars, loss.hexdigest(), len(body.decode())))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True))], [conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                    held[4].update(plain)
+                    held[3] += len(plain.decode())
+                held[1] += len(turns)
+                held[5] += len(body.decode())
+            if done:
+                yield out(done)
+        if held is not None:
+            yield out([held])
 
-    return formatted.select(conv, "formatted", "loss_spans").mapInArrow(run, f"`{conv}` {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select(conv, "piece", "formatted", "loss_spans").mapInArrow(run, f"`{conv}` {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -298,3 +298,17 @@ def test_archives_of_others(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(b"response", b"u", b"12345")[:-8])
     with pytest.raises(Exception, match="cut short"):
         read().collect()
+
+
+def test_a_conversation_of_many_batches(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", f"### {i} </turn> " + "é" * (i % 50)) for i in range(1500)] + [(2, 0, "user", "x" * (1 << 20))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    pieces = chat.format_turns(df)
+    assert pieces.filter("conv_id = 1").count() > 1
+    whole = hashlib.sha256("".join(f"{r}\n{t}\n" for c, _, r, t in turns if c == 1).encode()).hexdigest()
+    loss = "".join(t for c, _, r, t in turns if c == 1 and r == "assistant")
+    got = {r.conv_id: r for r in chat.digests(pieces).collect()}
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == (1500, whole, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert (got[2].n_turns, got[2].loss_chars) == (1, 0)
+    nan = spark.createDataFrame([(float("nan"), 0, "user", "a"), (float("nan"), 1, "assistant", "b"), (None, 0, "user", "c")], "conv_id double, turn long, role string, text string")
+    assert sorted(r.n_turns for r in chat.digests(chat.format_turns(nan)).collect()) == [1, 2]
