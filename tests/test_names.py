@@ -85,3 +85,12 @@ def test_food_identity_shape_and_meal(spark):
     assert {r["name"]: (r.food, r["shape"]) for r in df.collect()} == {"Large Tomatoes": ("tomato", "COUNT_VARIABLE"), "Lean beef mince": ("beef mince", "WEIGHT_VARIABLE"), "{color: red}": ("", "UNKNOWN"), "Coriander bunch": ("coriander", "BUNCH"), "Milk 2 L": ("milk", "PACKAGED_FIXED")}
     got = spark.range(1).select(M.meal_type(F.array(F.lit("Dip"), F.lit("Snack"))), M.meal_type(F.array().cast("array<string>")), M.unit_name(F.lit("Litres")), M.unit_name(F.lit(None).cast("string"))).first()
     assert tuple(got) == ("Snacks", "Lunch & dinner", "L", "each")
+
+
+def test_sanitised_and_plain_names(spark):
+    rows = [("Css-17zggtj Font Style Inherit Apple Pie",), (". Milk",), ("Oat Milk Oat Milk",), ("x1 junk Full Cream Milk more Full Cream Milk",), ("{a}",), ("123",), ("Tom &amp; Jerry <b>Ice</b>",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(M.sanitised(F.col("t"))).collect()] == ["Apple Pie", "Milk", "Oat Milk", "Full Cream Milk", None, None, "Tom & Jerry Ice", None]
+    rows = [("Ingredients: Crème fraîche",), ("Emulsifier (Soy Lecithin)",), ("Colour (INS 150d)",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(M.food_ingredient(F.col("t"))).collect()] == ["cre me frai che", "soy lecithin", "ins 150d", None]
+    got = spark.range(1).select(M.litres(F.lit(1250.0)), M.hours(F.lit(125.4)), M.hours(F.lit(59.0)), M.distance(F.lit(1500.0)), M.distance(F.lit(999.4))).first()
+    assert tuple(got) == ("1.25 L", "2 h 5 m", "59 min", "1.50 km", "999 m")

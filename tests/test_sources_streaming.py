@@ -30,12 +30,13 @@ def test_import_is_idempotent(spark, tmp_path):
     assert got.count() == 3
 
 
-def test_latest_row_stays_though_rows_come_late(spark, tmp_path):
-    merge = flows.keep_latest(spark, str(tmp_path), ["k"], "at")
-    for i, rows in enumerate([[("a", 5, 1.0), ("b", 1, 1.0)], [("a", 4, 2.0), ("b", 1, 3.0), ("c", 1, 4.0)]]):
+@pytest.mark.parametrize("compact", [1, 2, 20])
+def test_latest_row_stays_though_rows_come_late(spark, tmp_path, compact):
+    merge = flows.keep_latest(spark, str(tmp_path), ["k"], "at", compact)
+    for i, rows in enumerate([[("a", 5, 1.0), ("b", 1, 1.0)], [("a", 4, 2.0), ("b", 1, 3.0), ("c", 1, 4.0)], [("c", 0, 9.0)]]):
         merge(spark.createDataFrame(rows, "k string, at long, v double"), i)
         merge(spark.createDataFrame(rows, "k string, at long, v double"), i)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "version=1")).collect())) == [("a", 5, 1.0), ("b", 1, 3.0), ("c", 1, 4.0)]
+    assert sorted(map(tuple, flows.latest(spark, str(tmp_path), ["k"], "at").collect())) == [("a", 5, 1.0), ("b", 1, 3.0), ("c", 1, 4.0)]
 
 
 def test_strict_csv(spark, tmp_path):
