@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, tuple[Query, str | None]]:
-    from basketry.plans import grocery, household, lines, prices, records, stock
+    from basketry.plans import grocery, household, lines, prices, records, stock, texts
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (prices, household, records, grocery, stock, lines):
+    for module in (prices, household, records, grocery, stock, lines, texts):
         found |= module.QUERIES
     return found
