@@ -83,7 +83,7 @@ def best_match(left: DataFrame, right: DataFrame, name: str, other: str, score)
     """Pairs of distinct names (name of left, other of right) whose score is above 0, without comparing all pairs.
 
     Names are equal, or one holds the other, or half of the longer's words are common.  A name that another holds
-    begins with three letters that the other has somewhere; names with half of their words in common share one of
+    has its rarest run of three letters in common with it; names with half of their words in common share one of
     the rarest words of each (prefix filter).  Either way gives equality joins; every pair found is scored.
     """
     from basketry.functions import text as T
@@ -91,16 +91,23 @@ def best_match(left: DataFrame, right: DataFrame, name: str, other: str, score)
     a = left.select(F.col(name).alias("a")).distinct().withColumns({"x": T.normalise(F.col("a"), False, False), "s": T.name_tokens(F.col("a"))}).filter("x <> ''")
     b = right.select(F.col(other).alias("b")).distinct().withColumns({"y": T.normalise(F.col("b"), False, False), "t": T.name_tokens(F.col("b"))}).filter("y <> ''")
 
-    def grams(c: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: c.substr(i, F.lit(3))))
+    def pieces(c: Column) -> Column:
+        """The runs of three letters of a name, or the name, if it is shorter."""
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: c.substr(i, F.lit(3)))
+        return F.array_distinct(runs)
 
-    def first(c: Column) -> Column:
-        return c.substr(F.lit(1), F.lit(3))
+    def every(c: Column) -> Column:
+        """All runs of one to three letters."""
+        at = F.sequence(F.lit(1), F.length(c))
+        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[c.substr(i, F.lit(n)) for n in (1, 2, 3)]))))
 
-    def held(short: DataFrame, c: str, long: DataFrame, d: str) -> DataFrame:
-        # names of less than three letters also meet what begins with them at any place
-        whole = long.withColumn("g", F.explode(F.array_distinct(F.concat(grams(F.col(d)), F.transform(grams(F.col(d)), lambda g: F.left(g, F.lit(2))), F.transform(grams(F.col(d)), lambda g: F.left(g, F.lit(1)))))))
-        return short.withColumn("g", first(F.col(c))).join(whole, "g").filter(F.col(d).contains(F.col(c))).select("a", "b")
+    def held(short: DataFrame, key: str, c: str, long: DataFrame, d: str) -> DataFrame:
+        whole = long.withColumn("g", F.explode(every(F.col(d))))
+        known = whole.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        own = short.withColumn("g", F.explode(pieces(F.col(c)))).join(known, "g", "left")
+        # the rarest piece of a name; where a piece is nowhere, no name holds it
+        rarest = own.groupBy(key, c).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).filter("m.n > 0").select(key, c, F.col("m.g").alias("g"))
+        return rarest.join(whole, "g").filter(F.col(d).contains(F.col(c))).select("a", "b")
 
     counts = a.select(F.explode("s").alias("w")).unionByName(b.select(F.explode("t").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
@@ -110,7 +117,7 @@ def best_match(left: DataFrame, right: DataFrame, name: str, other: str, score)
         return each.withColumn("p", place).filter(F.col("p") <= F.col("m") - F.ceil(F.col("m") / 2) + 1).select(key, "w")
 
     shared = rare(a, "a", "s").join(rare(b, "b", "t"), "w").select("a", "b")
-    pairs = held(a, "x", b, "y").unionByName(held(b, "y", a, "x")).unionByName(shared).distinct()
+    pairs = held(a, "a", "x", b, "y").unionByName(held(b, "b", "y", a, "x")).unionByName(shared).distinct()
     return pairs.withColumn("score", score(F.col("a"), F.col("b"))).filter("score > 0").select(F.col("a").alias(name), F.col("b").alias(other), "score")
 
 
