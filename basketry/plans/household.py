@@ -10,7 +10,7 @@ from basketry.functions import numbers as N
 from basketry.functions import text as T
 from basketry.functions import vocabulary as V
 from basketry.operators import relational as R
-from basketry.plans.fixtures import AS_OF, ITEMS, items, table
+from basketry.plans.fixtures import AS_OF, ITEMS, MONEY, items, table
 
 
 def pantry_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +206,15 @@ def _department_sql(normal: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({normal}, '\\b(?:{words})\\b') THEN '{name}'" for name, words in V.DEPARTMENT_RULES) + " ELSE 'Other' END"
 
 
+def reconciled_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts: items and adjustments (discounts, in whole cents) together against the printed total, and units against the printed number."""
+    c = F.col
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(N.cents(c("l_extendedprice"))).alias("items"), F.sum(-F.floor(c("l_extendedprice") * c("l_discount") * 100 + 0.5)).alias("adjustments"), F.sum(F.ceil("l_quantity")).alias("units"))
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), N.cents(c("o_totalprice")).alias("printed"), (c("o_orderkey") % 120).alias("printed_units"))
+    both = line.join(o, "l_orderkey")
+    return both.select("l_orderkey", ((c("items") + c("adjustments")) / 100).alias("total"), (F.abs(c("items") + c("adjustments") - c("printed")) > 5).alias("differs"), "units", (c("units") != c("printed_units")).alias("units_differ"))
+
+
 QUERIES = {
     "pantry_consolidation": (pantry_consolidation, f"WITH {ITEMS} SELECT product_id, unit, min(item_id) AS keeper, sum(quantity) AS quantity, min(seen + shelf_days) AS expires, max(bought) AS bought, count(*) AS merged FROM items WHERE is_food GROUP BY product_id, unit HAVING count(*) >= 2"),
     "expiry": (expiry, f"""WITH {ITEMS}, e AS (SELECT epoch(CAST(seen + shelf_days AS TIMESTAMP)) + 86399 - epoch(TIMESTAMP '{AS_OF}') AS s FROM items WHERE is_food)
@@ -239,6 +248,8 @@ SELECT name, normalised, replace(normalised, ' ', '-') AS slug, array_to_string(
 e AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
 SELECT page_id, md5(trim(regexp_replace(t, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS text_md5, sha256(coalesce(html, '')) AS page_sha256 FROM e"""),
     "weeks": (weeks, """SELECT CAST(date_trunc('week', t) AS DATE) AS week, CASE WHEN hour(t) < 12 THEN 'morning' WHEN hour(t) < 17 THEN 'afternoon' ELSE 'evening' END AS part, count(*) AS n FROM (SELECT ts + INTERVAL 10 HOUR AS t FROM events) GROUP BY 1, 2"""),
+    "reconciled_units": (reconciled_units, f"""WITH l AS (SELECT l_orderkey, sum(CAST({MONEY.format("l_extendedprice")} AS BIGINT)) - sum(CAST(floor(l_extendedprice * l_discount * 100 + 0.5) AS BIGINT)) AS cents, CAST(sum(ceil(l_quantity)) AS BIGINT) AS units FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CAST(cents AS BIGINT) / 100 AS total, abs(cents - {MONEY.format("o_totalprice")}) > 5 AS differs, units, units <> o_orderkey % 120 AS units_differ FROM l JOIN orders ON l_orderkey = o_orderkey"""),
     "reconciled": (reconciled, f"""WITH {ITEMS}, r AS (SELECT receipt_id, CAST(sum(floor((price + 2.220446049250313e-16) * 100 + 0.5)) AS BIGINT) / 100 AS total, max(printed_total) AS printed, count(*) AS n, count(is_food) AS reviewed, count(*) FILTER (is_food) AS food FROM items GROUP BY receipt_id)
 SELECT *, abs(total - printed) > 0.05 AS differs FROM r"""),
 }

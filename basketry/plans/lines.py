@@ -96,5 +96,8 @@ QUERIES = {
 SELECT id, phrase FROM goods JOIN q ON contains(' ' || lower(concat_ws(' ', brand, name, pack)) || ' ', ' ' || phrase || ' ') QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(phrase) DESC, rank) = 1"""),
     "identities": (identities, None),
     "recognised_products": (recognised_products, None),
-    "stored_prices": (stored_prices, None),
+    "stored_prices": (stored_prices, """WITH RECURSIVE e AS (SELECT user_id, ts, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS i FROM events),
+r AS (SELECT user_id, i, ts, event_type, true AS stored, s AS last, event_type AS kind FROM e WHERE i = 1 UNION ALL
+  SELECT user_id, i, ts, event_type, stored, CASE WHEN stored THEN s ELSE last END, CASE WHEN stored THEN event_type ELSE kind END FROM (SELECT e.*, r.last, r.kind, e.event_type <> r.kind OR e.s - r.last >= 21600 AS stored FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, ts, event_type FROM r WHERE stored"""),
 }

@@ -102,10 +102,28 @@ def priority_queue(spark: SparkSession, sf_dir: str, take: int = 800) -> DataFra
 
 
 def ranked_search(spark: SparkSession, sf_dir: str, term: str = "12") -> DataFrame:
-    """Customers found by a term: exact key, then key that begins with it, then name that ends with it, then name that holds it; ten."""
-    key, name = F.col("c_custkey").cast("string"), F.lower("c_name")
-    rank = F.when(key == term, 0).when(key.startswith(term), 1).when(name.endswith(term), 2).when(name.contains(term), 3)
-    return table(spark, sf_dir, "customer").withColumn("rank", rank).filter("rank is not null").orderBy("rank", "c_custkey").limit(10).select("c_custkey", "rank")
+    """Customers found by a term: key, region and name that are it, name that begins with it, name that holds it, segment that holds it; a hundred."""
+    key, name = F.col("c_custkey").cast("string"), F.regexp_replace(F.lower("c_name"), "^customer#0*", "")
+    rank = F.when(key == term, 0).when(F.col("c_nationkey").cast("string") == term, 1).when(name == term, 2).when(name.startswith(term), 3).when(name.contains(term), 4).when(F.lower("c_mktsegment").contains(term), 5)
+    return table(spark, sf_dir, "customer").withColumn("rank", rank).filter("rank is not null").orderBy("rank", "c_custkey").limit(100).select("c_custkey", "rank")
+
+
+def next_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per queue (type of event): the job to hand out next, by priority, then the oldest."""
+    e = table(spark, sf_dir, "events").withColumn("priority", (F.col("value") % 7).cast("int"))
+    return R.top_rows(e, ["event_type"], [F.col("priority"), F.col("ts"), F.col("event_id")]).select("event_type", "event_id", "priority")
+
+
+def piped_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files (by brand and size) of lines of six fields: name, price, pack, unit price, brand, special; a file with any error is refused as a whole."""
+    k, c = F.col("p_partkey"), F.col
+    line = F.concat_ws("|", F.when(k % 211 != 0, c("p_name")).otherwise(" "), F.when(k % 97 != 0, k.cast("string")).otherwise("-1"), F.concat(c("p_size").cast("string"), F.lit(" g")), F.lit("1.5"), c("p_brand"), F.when(k % 3 == 0, "special").otherwise(""))
+    f = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.split(line, "[|]", -1).alias("f"))
+    at = lambda i: F.trim(F.get("f", F.lit(i)))
+    price = at(1).try_cast("double")
+    error = F.when(F.size("f") != 6, "fields").when(at(0) == "", "name").when(price.isNull() | (price <= 0), "price")
+    read = f.select("p_brand", "p_size", at(0).alias("name"), price.alias("price"), (at(5) == "special").alias("special"), error.alias("error"))
+    return read.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("lines"), F.count("error").alias("errors"), F.count_if("special").alias("specials"), F.sum("price").alias("total")).withColumn("accepted", F.when(F.col("errors") == 0, F.col("lines")).otherwise(0))
 
 
 def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +251,11 @@ SELECT p.p_partkey, coalesce(panel, CASE WHEN p.p_partkey % 3 <> 0 THEN p_size E
     "best_record": (best_record, f"WITH {E}, l AS (SELECT * FROM e {_ROW.format('user_id, event_type', 'ts DESC, event_id DESC')}), s AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE 2 END + CASE WHEN b IS NULL THEN 0 ELSE 1 END AS score FROM l) SELECT user_id, event_type, event_id, score FROM s {_ROW.format('user_id', 'score DESC, event_id')}"),
     "voted_day": (voted_day, f"WITH v AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS votes, max(value) AS top FROM events GROUP BY 1, 2) SELECT * FROM v {_ROW.format('user_id', 'votes DESC, top DESC, day DESC')}"),
     "priority_queue": (priority_queue, "SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 3 WHEN '5' THEN 5 ELSE 9 END AS urgency FROM orders WHERE o_orderstatus = 'O' ORDER BY urgency, o_orderdate, o_orderkey LIMIT 500"),
-    "ranked_search": (ranked_search, "SELECT c_custkey, CASE WHEN c_custkey = 12 THEN 0 WHEN starts_with(CAST(c_custkey AS VARCHAR), '12') THEN 1 WHEN ends_with(c_name, '12') THEN 2 ELSE 3 END AS rank FROM customer WHERE starts_with(CAST(c_custkey AS VARCHAR), '12') OR contains(c_name, '12') ORDER BY rank, c_custkey LIMIT 10"),
+    "ranked_search": (ranked_search, """WITH c AS (SELECT c_custkey, regexp_replace(lower(c_name), '^customer#0*', '') AS n, c_nationkey, lower(c_mktsegment) AS m FROM customer),
+r AS (SELECT c_custkey, CASE WHEN c_custkey = 12 THEN 0 WHEN c_nationkey = 12 THEN 1 WHEN n = '12' THEN 2 WHEN starts_with(n, '12') THEN 3 WHEN contains(n, '12') THEN 4 WHEN contains(m, '12') THEN 5 END AS rank FROM c) SELECT * FROM r WHERE rank IS NOT NULL ORDER BY rank, c_custkey LIMIT 100"""),
+    "next_jobs": (next_jobs, f"WITH e AS (SELECT *, CAST(trunc(value % 7) AS INT) AS priority FROM events) SELECT event_type, event_id, priority FROM e {_ROW.format('event_type', 'priority, ts, event_id')}"),
+    "piped_imports": (piped_imports, """WITH l AS (SELECT p_brand, p_size, p_partkey % 211 = 0 OR p_partkey % 97 = 0 AS bad, CASE WHEN p_partkey % 97 <> 0 THEN p_partkey::DOUBLE ELSE -1.0 END AS price, p_partkey % 3 = 0 AS special FROM part),
+g AS (SELECT p_brand, p_size, count(*) AS lines, count(*) FILTER (bad) AS errors, count(*) FILTER (special) AS specials, sum(price) AS total FROM l GROUP BY 1, 2) SELECT *, CASE WHEN errors = 0 THEN lines ELSE 0 END AS accepted FROM g"""),
     "unresolved": (unresolved, "SELECT 'event' AS source, event_id AS id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_acctbal < 0"),
     "active_users": (active_users, f"SELECT user_id FROM events WHERE event_type = 'purchase' UNION SELECT user_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '{SPLIT}'"),
     "last_per_key": (last_per_key, f"WITH d AS (SELECT user_id, event_id AS dearest FROM events {_ROW.format('user_id', 'value DESC, event_id')}) SELECT user_id, event_type, event_id, dearest FROM (SELECT * FROM events {_ROW.format('user_id, event_type', 'ts DESC, event_id DESC')}) JOIN d USING (user_id)"),
