@@ -195,9 +195,13 @@ def merged_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enqueued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs asked for: of each user and type the least priority asked for, and whether an open job was there before."""
+    """Jobs after new requests: one active job for each user and type; a request for one that is there lowers its priority at most, another one makes it.
+
+    Jobs that are done (purchases) aren't active, so a request makes a new one."""
     e = _events(spark, sf_dir).withColumn("p", (F.col("event_id") % 9).cast("int"))
-    return e.groupBy("user_id", "event_type").agg(F.min("p").alias("priority"), F.bool_and("fresh").alias("created"))
+    least = lambda cond, out: e.filter(cond).groupBy("user_id", "event_type").agg(F.min("p").alias(out))
+    both = least("not fresh and event_type <> 'purchase'", "old").join(least("fresh", "new"), ["user_id", "event_type"], "full_outer")
+    return both.select("user_id", "event_type", F.least("old", "new").alias("priority"), F.col("old").isNull().alias("created"))
 
 
 def deactivated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +272,8 @@ SELECT user_id, array_to_string(list_sort(u), ',') AS types, array_to_string(lis
 SELECT * FROM o UNION ALL (SELECT user_id, event_type, min(event_id) FROM e WHERE fresh AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM o) GROUP BY ALL)"""),
     "replaced": (replaced, "WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events), n AS (SELECT * FROM e WHERE event_id % 2 = 1) SELECT * FROM e WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM n WHERE n.user_id = e.user_id AND n.day = e.day) UNION ALL SELECT * FROM n"),
     "merged_products": (merged_products, "SELECT k AS l_partkey, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem JOIN (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS k FROM part) ON l_partkey = p_partkey GROUP BY k"),
-    "enqueued": (enqueued, f"WITH {E} SELECT user_id, event_type, CAST(min(event_id % 9) AS INT) AS priority, bool_and(fresh) AS created FROM e GROUP BY ALL"),
+    "enqueued": (enqueued, f"""WITH {E}, o AS (SELECT user_id, event_type, CAST(min(event_id % 9) AS INT) AS p FROM e WHERE NOT fresh AND event_type <> 'purchase' GROUP BY 1, 2), n AS (SELECT user_id, event_type, CAST(min(event_id % 9) AS INT) AS p FROM e WHERE fresh GROUP BY 1, 2)
+SELECT user_id, event_type, least(o.p, n.p) AS priority, o.p IS NULL AS created FROM o FULL JOIN n USING (user_id, event_type)"""),
     "deactivated": (deactivated, "SELECT s_suppkey, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'A' AND l_quantity >= 49 AND l_discount < 0.02) AS active FROM supplier"),
     "scan_outcomes": (scan_outcomes, "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'missing' WHEN count(o_orderkey) = 0 THEN 'created' WHEN count(*) FILTER (o_orderstatus = 'O') > 0 THEN 'duplicate' ELSE 'restored' END AS outcome FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal"),
     "clear_winner": (clear_winner, f"""WITH s AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice / 5000) AS BIGINT) AS score FROM orders), l AS (SELECT *, lead(score) OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS next FROM s {_ROW.format('o_custkey', 'score DESC, o_orderkey')})
