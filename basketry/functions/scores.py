@@ -132,3 +132,24 @@ def percentage(*present: Column) -> Column:
     """The share of what is present, in whole per cent."""
     n = sum((F.coalesce(p, F.lit(False)).cast("int") for p in present), F.lit(0))
     return F.floor(n * 100 / len(present) + 0.5).cast("int")
+
+
+def produce_image_score(wanted: Column, found: Column, retailer: Column) -> Column:
+    """How surely an image's name is that of produce, by distinct words: 0 unless it has three quarters of them."""
+    both = F.size(F.array_intersect(wanted, found))
+    coverage, precision = both / F.greatest(F.size(wanted), F.lit(1)), both / F.greatest(F.size(found), F.lit(1))
+    return F.when(coverage >= 0.75, F.floor(60 * coverage + 25 * precision + F.when(retailer, 12).otherwise(5) + 0.5)).otherwise(0).cast("int")
+
+
+def packaged_image_score(wanted: Column, found: Column, retailer: Column, text: Column, other: Column) -> Column:
+    """How surely an image's name is that of a packaged product: 0 unless it has 0.72 of its words, and where packs or sizes that both say differ; at most 99."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    count = lambda c: some(F.regexp_extract(F.lower(c), r"\b(\d{1,3})\s*(?:pack|pk|cans?|bottles?)\b", 1)).cast("int")
+    size = lambda c: F.regexp_extract(F.lower(c), r"\b(\d+(?:\.\d+)?)\s*(ml|l|g|kg)\b", 1).try_cast("double")
+    unit = lambda c: some(F.regexp_extract(F.lower(c), r"\b(\d+(?:\.\d+)?)\s*(ml|l|g|kg)\b", 2))
+    base = lambda c: size(c) * F.when(unit(c).isin("l", "kg"), 1000).otherwise(1)
+    kind = lambda c: F.when(unit(c).isin("l", "ml"), "ml").when(unit(c).isin("kg", "g"), "g")
+    coverage = F.size(F.array_intersect(wanted, found)) / F.greatest(F.size(wanted), F.lit(1))
+    other_pack = F.coalesce(count(text) != count(other), F.lit(False)) | F.coalesce((kind(text) != kind(other)) | (F.abs(base(text) - base(other)) > 0.5), F.lit(False))
+    score = F.floor(68 * coverage + 0.5) + F.when(count(text) == count(other), 14).otherwise(0) + F.when((base(text) == base(other)) & (kind(text) == kind(other)), 12).otherwise(0) + F.when(retailer, 8).otherwise(0)
+    return F.when((coverage >= 0.72) & ~other_pack, F.least(F.lit(99), score)).otherwise(0).cast("int")

@@ -58,6 +58,7 @@ LISTINGS_SQL = f"""{GOODS_SQL}, listings AS (SELECT *, CASE j WHEN 0 THEN concat
 _PLAIN = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9.]+', ' ', 'g'))"
 _LONG = "list_filter(string_split({0}, ' '), lambda w: length(w) > 1)"
 _SHARE = "CASE WHEN len({0}) > 0 THEN len(list_filter({0}, lambda w: list_contains({1}, w))) / len({0}) ELSE 0.0 END"
+_TOKENS = "list_distinct(list_transform(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END))"
 _UNITS = {"kg": ("1000", "g"), "g": ("1", "g"), "l": ("1000", "ml"), "ml": ("1", "ml"), "pack": ("1", "pack"), "pk": ("1", "pack")}
 
 
@@ -135,6 +136,14 @@ def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), S.image_score(k % 10 != 0, kind, size, w, h).alias("score"), S.sourced_image_score(_pick(("retailer", "manufacturer", "open-food-facts", "current", "web"), k), size, w, h).alias("sourced"))
 
 
+def image_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings' names against a product's full name: as an image of produce, and as one of a packaged product."""
+    c = F.col
+    rows = listings(spark, sf_dir).withColumn("full", F.concat_ws(" ", "brand", "name", "pack"))
+    a, b, own = T.name_tokens(c("full")), T.name_tokens(c("other")), c("retailer") == "Coles"
+    return rows.select("id", "j", S.produce_image_score(a, b, own).alias("produce"), S.packaged_image_score(a, b, own, c("full"), c("other")).alias("packaged"))
+
+
 def _sub_scores(g: DataFrame) -> DataFrame:
     c = F.col
     known = lambda x: c(x).isNotNull()
@@ -381,6 +390,12 @@ SELECT id, CASE WHEN id % 10 = 0 THEN 0 ELSE CAST(greatest(0, least(100, 45 + CA
   - 12 * (CASE WHEN image THEN 0 ELSE 1 END + CASE WHEN size < 12000 THEN 1 ELSE 0 END + CASE WHEN known THEN CASE WHEN short < 320 THEN 1 ELSE 0 END + CASE WHEN long / greatest(1, short) > 3.2 THEN 1 ELSE 0 END ELSE 1 END))) AS INT) END AS score,
   CAST([32, 26, 15, 3, 5][CAST(id % 5 AS INT) + 1] + CASE WHEN known THEN CASE WHEN short >= 800 THEN 35 WHEN short >= 500 THEN 28 WHEN short >= 300 THEN 18 WHEN short >= 160 THEN 5 ELSE -25 END + CASE WHEN long / short <= 1.8 THEN 15 WHEN long / short <= 2.8 THEN 7 ELSE -12 END ELSE -8 END
   + CASE WHEN size >= 80000 THEN 12 WHEN size >= 25000 THEN 6 ELSE 0 END AS INT) AS sourced FROM d"""),
+    "image_matches": (image_matches, f"""WITH {LISTINGS_SQL}, t AS (SELECT id, j, retailer = 'Coles' AS own, concat_ws(' ', brand, name, pack) AS a, other AS b FROM listings), w AS (SELECT *, {_TOKENS.format("a")} AS x, {_TOKENS.format("b")} AS y,
+  regexp_extract(lower(a), '\\b(\\d{{1,3}})\\s*(?:pack|pk)\\b', 1) AS ca, regexp_extract(lower(b), '\\b(\\d{{1,3}})\\s*(?:pack|pk)\\b', 1) AS cb, regexp_extract(lower(a), '\\b(\\d+)\\s*(ml|l|g|kg)\\b', 1) AS na, regexp_extract(lower(a), '\\b(\\d+)\\s*(ml|l|g|kg)\\b', 2) AS ua,
+  regexp_extract(lower(b), '\\b(\\d+)\\s*(ml|l|g|kg)\\b', 1) AS nb, regexp_extract(lower(b), '\\b(\\d+)\\s*(ml|l|g|kg)\\b', 2) AS ub FROM t),
+v AS (SELECT *, len(list_intersect(x, y)) / len(x) AS cov, len(list_intersect(x, y)) / len(y) AS pre, try_cast(na AS INT) * CASE WHEN ua IN ('l', 'kg') THEN 1000 ELSE 1 END AS sa, try_cast(nb AS INT) * CASE WHEN ub IN ('l', 'kg') THEN 1000 ELSE 1 END AS sb, ua IN ('l', 'ml') AS va, ub IN ('l', 'ml') AS vb FROM w)
+SELECT id, CAST(j AS INT) AS j, CAST(CASE WHEN cov >= 0.75 THEN floor(60 * cov + 25 * pre + CASE WHEN own THEN 12 ELSE 5 END + 0.5) ELSE 0 END AS INT) AS produce,
+  CAST(CASE WHEN cov < 0.72 OR (ca <> '' AND cb <> '' AND ca <> cb) OR (na <> '' AND nb <> '' AND (va <> vb OR sa <> sb)) THEN 0 ELSE least(99, floor(68 * cov + 0.5) + CASE WHEN ca <> '' AND ca = cb THEN 14 ELSE 0 END + CASE WHEN na <> '' AND nb <> '' AND sa = sb AND va = vb THEN 12 ELSE 0 END + CASE WHEN own THEN 8 ELSE 0 END) END AS INT) AS packaged FROM v"""),
     "sub_scores": (sub_scores, f"WITH {_SUB} SELECT id, identity, nutrition, label, retail, photo, overall, array_to_string(missing, ',') AS missing FROM sub"),
     "repair_queue": (repair_queue, f"WITH {_SUB}, m AS (SELECT id, unnest(missing) AS f, 100 - least(80, overall) AS priority FROM sub) SELECT id, 'MISSING_' || upper(regexp_replace(f, '([a-z])([A-Z])', '\\1_\\2', 'g')) AS reason, priority FROM m ORDER BY priority DESC, id, reason LIMIT 100"),
     "review_filters": (review_filters, f"WITH {_SUB} SELECT 'identity' AS filter, count(*) AS products FROM sub WHERE identity < 100 UNION ALL SELECT 'nutrition', count(*) FROM sub WHERE nutrition < 100 UNION ALL SELECT 'label', count(*) FROM sub WHERE label < 100 UNION ALL SELECT 'retail', count(*) FROM sub WHERE retail < 100 UNION ALL SELECT 'image', count(*) FROM sub WHERE photo < 100 UNION ALL SELECT 'review', count(*) FROM sub WHERE len(missing) > 0"),
