@@ -36,7 +36,7 @@ NEAREST = 64
 #: Positions that a query reads on either side of its own.
 REACH = 40
 #: The share of vectors that is ranked again, and the least number.
-SHARE, LEAST = 0.1, 256
+SHARE, LEAST = 0.1, 400
 PAGE = 512
 #: Distinct queries in a block.
 BLOCK = 8192
