@@ -1,11 +1,12 @@
 """Queries over all rows, on small tables that the narrower ones would lose rows of."""
 
 import datetime
+import json
 from collections import defaultdict
 
 import pytest
 
-from basketry.plans import household, prices
+from basketry.plans import household, prices, stock
 
 DAY = datetime.datetime(1990, 1, 1)
 
@@ -70,3 +71,10 @@ def test_pivot_counts_all_events(spark, tmp_path):
     columns = [*types[:5], "other"]
     assert {(r.user_id, r.day, c): r[c] for r in got for c in columns if r[c]} == told
     assert sum(r[c] for r in got for c in columns) == 500
+
+
+def test_document_sink(spark, tmp_path):
+    stock.write_catalogue(spark, "/root/testdata/sf0.001", str(tmp_path / "out"))
+    documents = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(documents) == 200 and sum(s["lines"] for d in documents for s in d["suppliers"]) == 6000
+    assert all(d["suppliers"] == sorted(d["suppliers"], key=lambda s: s["supplier"]) for d in documents)
