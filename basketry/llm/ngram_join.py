@@ -388,7 +388,8 @@ def _rarest(sets: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame
     first = ranked.withColumn("p", place).filter(F.col("p") <= part(F.col("size"), num, den)).filter("f > 1")
     first = written(first.withColumn("before", F.collect_list("e").over(Window.partitionBy("node").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))).select("node", "size", "label", "e", "p", "before"))
     blocks = first.groupBy("e", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("e").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("e", "main")
-    tagged = first.join(blocks, "e")
+    # written, so that Spark can split the join below where many sets have an element
+    tagged = written(first.join(blocks, "e"))
     of = lambda df, c: df.select(F.col("node").alias(c), "e", F.col("main").alias(f"m{c}"), F.col("label").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("p").alias(f"p{c}"), F.col("before").alias(f"b{c}"))
     x, y = of(tagged.filter("label <> main"), "x"), of(tagged, "y")
     near = F.greatest("sx", "sy") * num <= F.least("sx", "sy") * den
