@@ -54,13 +54,13 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     data = ts.folded(np.frombuffer(b"".join(raw), np.uint8))
     starts, ends, doc = ts.words(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), ts.NOT_ALNUM)
-    return ts.span_hashes(data, starts, ends), doc
+    return ts.word_hashes(data, starts, ends), doc
 
 
 def grams(words: np.ndarray) -> np.ndarray:
     """Hashes of the distinct n-grams of NGRAM words, or of all words if these are fewer."""
     n = min(NGRAM, len(words))
-    return np.unique(ts.window_hashes(words, n)) if n else np.zeros(0, np.uint64)
+    return np.unique(ts.sequence_hashes(words, n)) if n else np.zeros(0, np.uint64)
 
 
 @dataclass
@@ -187,7 +187,7 @@ class Index:
         """Shares of the question's and the answer's n-grams among those of the words."""
         out = []
         for side, n in zip((self.question[item], self.answer[item]), self.shortest[item], strict=True):
-            out.append(float(np.isin(side, ts.window_hashes(words, n)).mean()) if n else 1.0)
+            out.append(float(np.isin(side, ts.sequence_hashes(words, n)).mean()) if n else 1.0)
         return out[0], out[1]
 
 
@@ -202,7 +202,7 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
     starts, ends, doc = ts.words(low, offsets, ts.NOT_ALNUM)
     if not len(starts) or not len(index.vocabulary):
         return {}
-    words = ts.span_hashes(low, starts, ends)
+    words = ts.word_hashes(low, starts, ends)
     first = np.searchsorted(doc, np.arange(len(offsets)))
     at = np.minimum(np.searchsorted(index.vocabulary, words), len(index.vocabulary) - 1)
     hit = np.flatnonzero(index.vocabulary[at] == words)

@@ -40,21 +40,23 @@ FEW = 8
 #: Bits of the filter that keeps texts without a candidate out of the verification: at most 32 MB are broadcast.
 FILTER_BITS = 1 << 28
 BATCH = 1 << 20
+#: Elements of a set that a row of it carries to see whether a pair was made before: what is written grows with a set's size, not its square.
+BEFORE = 64
 #: Names of sets that a task remembers to have signed.
 SIGNED = 500_000
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, n: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of each distinct n-gram of lower-cased words; a text of fewer words has its whole sequence."""
     low = ts.LOWER[data]
     starts, ends, doc = ts.words(low, offsets)
-    words = ts.span_hashes(low, starts, ends)
-    rolled = ts.window_hashes(words, n)
+    words = ts.word_hashes(low, starts, ends, key)
+    rolled = ts.sequence_hashes(words, n, key)
     inside = np.flatnonzero(doc[: len(rolled)] == doc[n - 1 :]) if len(rolled) else np.zeros(0, np.int64)
     count = np.bincount(doc, minlength=len(offsets) - 1)
     first = np.concatenate([[0], np.cumsum(count)])
     short = np.flatnonzero((count > 0) & (count < n))
-    whole = [int(ts.window_hashes(words[first[i] : first[i + 1]], int(count[i]))[0]) for i in short]
+    whole = [int(ts.sequence_hashes(words[first[i] : first[i + 1]], int(count[i]), key + int(count[i]))[0]) for i in short]
     docs = np.concatenate([doc[inside], short])
     hashes = np.concatenate([rolled[inside], np.array(whole, np.uint64)])
     order = np.argsort(hashes)
@@ -133,10 +135,10 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> It
             active = active[need[active] < 1]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int, key: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Batch, hashes, sizes and names of its sets."""
     for batch in ts.gathered(batches, "__text", BATCH):
-        docs, hashes = shingles(*ts.column_bytes(batch.column(batch.schema.get_field_index("__text"))), n)
+        docs, hashes = shingles(*ts.column_bytes(batch.column(batch.schema.get_field_index("__text"))), n, key)
         sizes = np.bincount(docs, minlength=batch.num_rows)
         yield batch, hashes, sizes, set_names(hashes, sizes)
 
@@ -160,7 +162,7 @@ def _passes(shared: Broadcast, names: np.ndarray) -> np.ndarray:
     return (bits[at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1
 
 
-def described(docs: DataFrame, text: str, n: int) -> DataFrame:
+def described(docs: DataFrame, text: str, n: int, key: int) -> DataFrame:
     """docs with __hash (of the text), n_shingles and __set (name of the set)."""
     small_batches(docs.sparkSession)
     kept = docs.select(*[c for c in docs.columns if c != text], text_or_empty(text).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
@@ -168,7 +170,7 @@ def described(docs: DataFrame, text: str, n: int) -> DataFrame:
     schema = kept.select(*columns, F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("__set")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, sizes, names in _sets(batches, n):
+        for batch, _, sizes, names in _sets(batches, n, key):
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sizes, pa.int64()), pa.array(names)], [*columns, "n_shingles", "__set"])
 
     return kept.mapInArrow(ts.thrifty(run), schema)
@@ -180,12 +182,12 @@ def described(docs: DataFrame, text: str, n: int) -> DataFrame:
 FOUND = "post long, x long, y long, grp int, n int, hot int, qx int, qy int, size int"
 
 
-def _found(texts: DataFrame, n: int, threshold: Fraction, buckets: int) -> DataFrame:
+def _found(texts: DataFrame, n: int, threshold: Fraction, buckets: int, key: int) -> DataFrame:
     num, den = threshold.numerator, threshold.denominator
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: set[int] = set()
-        for _, hashes, sizes, names in _sets(batches, n):
+        for _, hashes, sizes, names in _sets(batches, n, key):
             # of equal sets in a task, one signs: copies of one text don't fill a bucket
             _, one = np.unique(names, return_index=True)
             if len(signed) > SIGNED:
@@ -290,7 +292,7 @@ def _likely(found: DataFrame) -> DataFrame:
     return pairs.join(of("x"), ["x", "grp"], "left").join(of("y"), ["y", "grp"], "left").filter(F.col("n") + hidden >= F.greatest("qx", "qy")).select("x", "y").distinct()
 
 
-def _elements(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def _elements(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, key: int) -> DataFrame:
     """The nodes' sets: name, size, elements (64-bit hashes).  Texts that no node has, by a filter, aren't cut into words."""
     by_text = _filter(rows.select(F.col("__set").alias("node"), "__hash").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("__hash").alias("h")), "h")
     by_set = _filter(nodes, "node")
@@ -302,7 +304,7 @@ def _elements(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int) -> Da
                 yield hit
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, sizes, names in _sets(passing(batches), n):
+        for _, hashes, sizes, names in _sets(passing(batches), n, key):
             _, one = np.unique(names, return_index=True)
             one = one[_passes(by_set, names[one]) & (sizes[one] > 0)]
             edge = np.concatenate([[0], np.cumsum(sizes)])
@@ -367,7 +369,7 @@ def _rarest(sets: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame
     share 2t / (1 + t), so they meet in the first size - ceil(share * size) + 1 elements of any one order.  With rare
     elements first, what a set has for itself fills its beginning, and a passage that many sets hold comes last.  For each
     element, the sets of the component that has most of them meet those of the other components only; a pair is made
-    at the first element that both have.
+    at the first element that both have, as far as the BEFORE elements ahead of each tell.
     """
     num, den = threshold.numerator, threshold.denominator
 
@@ -386,7 +388,7 @@ def _rarest(sets: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame
         return size - F.floor((size * up + of - 1) / of) + 1
 
     first = ranked.withColumn("p", place).filter(F.col("p") <= part(F.col("size"), num, den)).filter("f > 1")
-    first = written(first.withColumn("before", F.collect_list("e").over(Window.partitionBy("node").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))).select("node", "size", "label", "e", "p", "before"))
+    first = written(first.withColumn("before", F.collect_list("e").over(Window.partitionBy("node").orderBy("p").rowsBetween(-BEFORE, -1))).select("node", "size", "label", "e", "p", "before"))
     blocks = first.groupBy("e", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("e").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("e", "main")
     # written, so that Spark can split the join below where many sets have an element
     tagged = written(first.join(blocks, "e"))
@@ -399,7 +401,7 @@ def _rarest(sets: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame
     left = F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) + 1
     met_first = near & once & early & (left * (num + den) >= (F.col("sx") + F.col("sy")) * num) & ~F.arrays_overlap("bx", "by")
     pairs = x.join(y, (x["e"] == y["e"]) & met_first)
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.75) -> DataFrame:
@@ -412,22 +414,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     """
     limit = Fraction(threshold).limit_denominator(10_000)
     texts = docs.select(text_or_empty(text).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
-    rows = written(described(docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")), "__t", n))
+    hash_key = ts.fresh_key()
+    rows = written(described(docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")), "__t", n, hash_key))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets_for(texts, F.col("__text")) // 2)
-    found = written(_found(texts, n, limit, buckets))
-    labels = _labels(texts, rows, found, n, limit)
+    found = written(_found(texts, n, limit, buckets, hash_key))
+    labels = _labels(texts, rows, found, n, limit, hash_key)
     label = rows.join(labels.withColumnRenamed("node", "__set"), "__set", "left").withColumn("__c", F.when(F.col("n_shingles") > 0, F.coalesce("label", "__set")))
     least = label.filter("__c is not null").groupBy("__c").agg(F.min("__key").alias("least"))
     return label.join(least, "__c", "left").select(F.col("__key").alias(key), "n_shingles", F.coalesce("least", "__key").alias("component_id"))
 
 
-def _labels(texts: DataFrame, rows: DataFrame, found: DataFrame, n: int, limit: Fraction) -> DataFrame:
+def _labels(texts: DataFrame, rows: DataFrame, found: DataFrame, n: int, limit: Fraction, key: int) -> DataFrame:
     """Per set with a link: node and label, which all sets that it reaches have."""
     likely = written(_likely(found))
     posts = found.filter("post is not null").select("post", F.col("y").alias("node"), "grp", F.col("qy").alias("need"), "size")
     enough = posts.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("q")).filter("n >= q")
     nodes = written(likely.select(F.explode(F.array("x", "y")).alias("node")).unionByName(enough.select("node")).distinct())
-    sets = written(_elements(texts, rows, nodes, n))
+    sets = written(_elements(texts, rows, nodes, n, key))
     labels = written(components(written(_verified(sets, likely, limit))))
     # a set with fewer memberships than a link needs can't have lost one
     posts = written(posts.join(enough.select("node", "grp"), ["node", "grp"], "left_semi"))

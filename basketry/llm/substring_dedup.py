@@ -19,19 +19,16 @@ from basketry.llm import textscan as ts
 from basketry.llm.common import buckets_for, small_batches, text_or_empty
 from basketry.llm.spans import pack, read_spans, spanned, unpack
 
-#: What makes the second hash of a window another function of its words.
-SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
-
-def _emit(width: int):
+def _emit(width: int, key: int):
     def emit(data: np.ndarray, offsets: np.ndarray, buckets: int):
         starts, ends, doc = ts.words(data, offsets)
         sizes = np.bincount(doc, minlength=len(offsets) - 1)
-        words = ts.span_hashes(data, starts, ends)
-        rolled = ts.window_hashes(words, width)
+        rolled = ts.sequence_hashes(ts.word_hashes(data, starts, ends, key), width, key)
         inside = np.flatnonzero(doc[: len(rolled)] == doc[width - 1 :]) if len(rolled) else np.zeros(0, np.int64)
         rolled = rolled[inside]
-        second = (ts.window_hashes(ts.mix(words ^ SECOND), width, ts.BYTE_BASE)[inside] >> np.uint64(32)).astype("<u4") if len(inside) else np.zeros(0, "<u4")
+        # another function of the bytes, from the words on
+        second = (ts.sequence_hashes(ts.word_hashes(data, starts, ends, key + 1), width, key + 1)[inside] >> np.uint64(32)).astype("<u4") if len(inside) else np.zeros(0, "<u4")
         bucket = ((rolled >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(rolled, kind="stable")
         # windows that come again in the batch are sent once, with the others' places behind: a passage that all texts
@@ -88,10 +85,10 @@ def repeats(docs: DataFrame, text: str = "text", width: int = 35) -> tuple[DataF
 
     A window is width consecutive words (runs of bytes other than 0x20, 0x09-0x0D) of one text; it is
     repeated if its words also start anywhere else, same text included.  Windows are told apart by 88 bits of two
-    rolling hashes and the bucket.  Null and empty texts, and texts with fewer words, have no windows.  Every row stays,
+    rolling hashes and the bucket; both are keyed anew for each run and share nothing from the words' bytes on.  Null and empty texts, and texts with fewer words, have no windows.  Every row stays,
     once; equal rows count as different texts.
     """
-    return spanned(docs, text, _emit(width), _judge(width), 2 * buckets_for(docs, text_or_empty(text)))
+    return spanned(docs, text, _emit(width, ts.fresh_key()), _judge(width), 2 * buckets_for(docs, text_or_empty(text)))
 
 
 def _kept(data: np.ndarray, offsets: np.ndarray, spans: list[bytes | None]):

@@ -1,13 +1,16 @@
 """Vectorised scanning of UTF-8 text columns: words, rolling hashes, spans.
 
 All functions work on the bytes of many texts laid end to end, with an offset array, as
-Arrow stores them.  Hashes are polynomials modulo 2**64 with an odd base, taken as
-differences of one running sum and made position free by the base's inverse powers.
+Arrow stores them.  Where equal hashes decide, they are pairs of polynomials over a prime with bases drawn
+for the run (``word_hashes``, ``sequence_hashes``), so that no text is built to make them collide; hashes that only choose places or features are
+polynomials modulo 2**64 with an odd base.  Both are differences of one running sum, made position free by the base's inverse powers.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -160,7 +163,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes in each span; spans are in order and don't overlap."""
+    """A 64-bit hash of the bytes in each span, for features; spans are in order and don't overlap."""
     out = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -176,8 +179,97 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+def fresh_key() -> int:
+    """A key for word_hashes and sequence_hashes, drawn on the driver and sent along with the tasks of one run."""
+    return secrets.randbits(64)
+
+
+#: The prime of word_hashes and sequence_hashes: products of two residues fit in 64 bits.
+PRIME = (1 << 31) - 1
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for values below 2**63."""
+    p = np.uint64(PRIME)
+    x = (x & p) + (x >> np.uint64(31))
+    x = (x & p) + (x >> np.uint64(31))
+    return np.where(x >= p, x - p, x)
+
+
+def _bases(key: int, use: str) -> list[int]:
+    """Two bases that the key chooses."""
+    raw = hashlib.blake2b(f"{use}:{key}".encode(), digest_size=16).digest()
+    return [512 + int.from_bytes(raw[i : i + 8], "little") % (PRIME - 1024) for i in (0, 8)]
+
+
+def _powers_over_prime(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _prime_powers.get(base)
+    if have is None or len(have[0]) < n:
+        made = []
+        for b in (base, pow(base, -1, PRIME)):
+            p = np.ones(1, np.uint64)
+            while len(p) < max(n, SEGMENT + 1):
+                p = np.concatenate([p, _residue(p * np.uint64(pow(b, len(p), PRIME)))])
+            made.append(p)
+        if len(_prime_powers) > 16:
+            _prime_powers.clear()
+        have = _prime_powers[base] = (made[0], made[1])
+    return have
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """A hash of 62 bits of the bytes in each span; spans are in order and don't overlap.
+
+    Two different words of n bytes at most have one hash with a probability of (n / 2**31)**2 over the keys, whatever the words.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    bases = _bases(key, "word")
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + SEGMENT, "right")))
+        high = int(ends[to - 1])
+        s, e = starts[at:to] - low, ends[at:to] - low
+        for which, base in enumerate(bases):
+            up, down = _powers_over_prime(base, high - low + 1)
+            running = np.zeros(high - low + 1, np.uint64)
+            for a in range(low, high, SEGMENT):
+                # bytes times residues stay below 2**40, so a segment's sum stays below 2**58
+                b = min(high, a + SEGMENT)
+                np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * up[a - low : b - low], out=running[a - low + 1 : b - low + 1])
+                running[a - low + 1 : b - low + 1] += _residue(running[a - low : a - low + 1])
+            both = _residue(running[e]) + np.uint64(PRIME) - _residue(running[s])
+            out[at:to] |= _residue(_residue(both) * down[s]) << np.uint64(31 * which)
+        at = to
+    return mix(out)
+
+
+def sequence_hashes(values: np.ndarray, width: int, key: int = 0) -> np.ndarray:
+    """Rabin-Karp hash, of 62 bits, of every run of width consecutive values; entry i is the run from i on.
+
+    The hash of a run of 2k values comes from the hashes of its halves.  Runs at the end that are cut short have no entry.
+    """
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    values = mix(values ^ np.uint64(key & (2**64 - 1)))
+    for which, base in enumerate(_bases(key, "sequence")):
+        one = _residue((values >> np.uint64(33 * which)) & np.uint64(PRIME))
+        hashes, k = one, 1
+        for bit in bin(width)[3:]:
+            hashes = _residue(hashes[: len(hashes) - k] * np.uint64(pow(base, k, PRIME)) + hashes[k:])
+            k *= 2
+            if bit == "1":
+                hashes = _residue(hashes[:-1] * np.uint64(base) + one[k:])
+                k += 1
+        out |= hashes << np.uint64(31 * which)
+    return mix(out)
+
+
 def window_hashes(values: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
-    """Rabin-Karp hash of every run of width consecutive values; entry i is the run from i on.
+    """A 64-bit hash of every run of width consecutive values, for places and features; entry i is the run from i on.
 
     Runs at the end that are cut short have no entry.
     """
