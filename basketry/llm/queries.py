@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, chat, decontam, ngram_join, permutation_index, quality, substring_dedup, suffix_dedup, toxicity, warc
+from basketry.llm import bpe, centroids, chat, decontam, ngram_join, permutation_index, quality, spelling, substring_dedup, suffix_dedup, toxicity, warc
 from basketry.llm.common import shared_dir, table, written
 
 #: The conversation that op9 adds: it says what the template itself uses as marks.
@@ -70,6 +70,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", F.col("l.item").alias("item_id"), "l.score", F.col("l.question").alias("question_overlap"), F.col("l.answer").alias("answer_overlap"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), dimensions=64, k=40, rounds=5)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    """k-means with one pair of steps for each round."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} AS MATERIALIZED (SELECT r, v.q, c.c, list_sum(list_transform(range(1, 65), lambda j: (v.q[j] - c.q[j]) * (v.q[j] - c.q[j]))) AS d FROM v, c{i} c),
+a{i} AS MATERIALIZED (SELECT r, q, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),
+m{i} AS MATERIALIZED (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM (
+  SELECT c, j, sum(q[j]) AS s, count(*) AS n FROM (SELECT c, q, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY c, j) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} ON c{i}.c = m{i}.c)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS c, q FROM v QUALIFY c < {k}),{",".join(steps)}
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v ON a.r = v.r JOIN c{rounds} c ON a.c = c.c"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_join": op2_ngram_join,
@@ -81,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -125,4 +154,23 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_centroid_clustering": _clustering_sql(40, 5),
+    "op13_spelling_variants": r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT r, doc_id, count(*) AS m FROM (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents) GROUP BY r, doc_id),
+bytes AS (SELECT *, hex(encode(concat(doc_id, ':', r))) AS x FROM runs),
+hashed AS (SELECT r, m, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM bytes, crc),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, sum(m) AS n FROM hashed GROUP BY 1),
+v AS MATERIALIZED (SELECT word, CAST(n AS BIGINT) AS n FROM words WHERE length(word) >= 6 AND n >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS form, b.n FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN cut b ON a.word = b.d
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.d = b.word),
+best AS (SELECT word, count(*) AS n_near, first(form ORDER BY n DESC, form) AS form, max(n) AS form_n FROM near GROUP BY word),
+full_ AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best ON v.word = best.word),
+ways(word, root, k) AS (SELECT word, word, 0 FROM full_ UNION ALL SELECT w.word, f.form, k + 1 FROM ways w JOIN full_ f ON w.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, (SELECT arg_max(root, k) FROM ways w WHERE w.word = f.word) AS root, f.n, f.n_near, f.form_n FROM full_ f""",
 }
