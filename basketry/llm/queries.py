@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, centroids, chat, decontam, ngram_join, permutation_index, quality, spelling, substring_dedup, suffix_dedup, toxicity, warc
+from basketry.llm import bpe, centroids, chat, decontam, extraction, ngram_join, permutation_index, quality, spelling, substring_dedup, suffix_dedup, toxicity, warc
 from basketry.llm.common import shared_dir, table, written
 
 #: The conversation that op9 adds: it says what the template itself uses as marks.
@@ -70,6 +70,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", F.col("l.item").alias("item_id"), "l.score", F.col("l.question").alias("question_overlap"), F.col("l.answer").alias("answer_overlap"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), extraction.composed())
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), dimensions=64, k=40, rounds=5)
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op11_html_extraction": op11_html_extraction,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -154,6 +160,14 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    # the synthetic pages have their article in an element of that name, which the operator isn't told
+    "op11_html_extraction": r"""
+WITH a AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<br>', ' ') AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(x, '</?(?:p|h1)>'), lambda t: regexp_replace(t, '<[^>]*>', '', 'g')) AS x FROM a),
+c AS (SELECT page_id, url, list_transform(x, lambda t: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  t, '&quot;?', '"', 'g'), '&(?:#x27|#39);?', chr(39), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')) AS x FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(x, lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: t <> ''), ' ') AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
     "op12_centroid_clustering": _clustering_sql(40, 5),
     "op13_spelling_variants": r"""
 WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
