@@ -73,11 +73,39 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("name", F.col("identity.canonical").alias("canonical"), F.col("identity.family").alias("family"), F.col("identity.confidence").alias("confidence"), F.col("parsed.key").alias("key"), F.col("parsed.form").alias("form"), M.grocery_identity(F.col("food")).alias("food"))
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of names of three words: what documents begin with; id and pack of the first of each name."""
+    w = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,12}"), F.lit(0)), 1, 3)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", w.alias("w")).filter("size(w) = 3")
+    return rows.groupBy("w").agg(F.min("doc_id").alias("id"), F.concat(F.min("n_chars").cast("string"), F.lit("g")).alias("pack")).withColumn("name", F.array_join("w", " "))
+
+
 def recognised_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as a scanner reads them, against the catalogue of product names."""
-    catalogue = goods(spark, sf_dir).groupBy("name").agg(F.min("id").alias("id")).withColumns({"pack": F.lit(None).cast("string"), "names": F.lit(None).cast("array<string>")})
-    lines = catalogue.select(F.upper(F.concat(F.translate("name", "aeg", "a3"), F.lit(" 3.50"))).alias("line")).unionByName(catalogue.select(F.upper("name").alias("line")))
-    return P.matched_lines(lines, catalogue)
+    """Names as a scanner reads them, with a letter lost and the pack behind or without it, against the catalogue of all names."""
+    titles = _titles(spark, sf_dir)
+    first = F.get("w", F.lit(0))
+    lost = F.concat(F.substring(first, 1, 1), F.substring(first, 3, 20))
+    read = F.upper(F.concat_ws(" ", lost, F.array_join(F.slice("w", 2, 2), " "), "pack"))
+    lines = titles.select(F.explode(F.array(read, F.upper("name"))).alias("line"))
+    return P.matched_lines(lines, titles.select("id", "name", "pack")).select("line", "id", "name", F.round("confidence", 6).alias("confidence"))
+
+
+_ALIKE = "CASE WHEN a = b THEN 1.0 WHEN least(length(a), length(b)) >= 4 AND (starts_with(a, b) OR starts_with(b, a)) THEN 0.8 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END"
+_TOKENS = "list_filter(string_split(lower({0}), ' '), lambda t: length(t) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in P.NOISE) + "], t) AND NOT regexp_matches(t, '^[0-9]'))"
+RECOGNISED_SQL = f"""
+WITH t AS (SELECT w, min(doc_id) AS id, min(n_chars) || 'g' AS pack, array_to_string(w, ' ') AS name FROM (SELECT doc_id, n_chars, regexp_extract_all(text, '[A-Za-z]{{4,12}}')[1:3] AS w FROM documents) WHERE len(w) = 3 GROUP BY w),
+l AS (SELECT DISTINCT line, CASE WHEN regexp_matches(line, '[0-9]+G$') THEN lower(regexp_extract(line, '[0-9]+G$')) END AS p FROM (
+  SELECT upper(left(w[1], 1) || substr(w[1], 3) || ' ' || w[2] || ' ' || w[3] || ' ' || pack) AS line FROM t UNION ALL SELECT upper(name) FROM t)),
+o AS (SELECT line, p, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])) AS x FROM (SELECT *, {_TOKENS.format("line")} AS w FROM l)),
+c AS (SELECT id, name, pack, {_TOKENS.format("name")} AS v, lower(name) || '|' || pack AS identity FROM t),
+pairs AS (SELECT line, p, id, name, pack, identity, list_transform(v, lambda b: list_max(list_transform(x, lambda a: {_ALIKE}))) AS s FROM o, c WHERE len(x) > 0 AND len(v) > 0),
+parts AS (SELECT *, list_filter(s, lambda y: y >= 0.72) AS strong, len(list_filter(s, lambda y: y = 1)) AS exact, list_reverse_sort(s)[1:3] AS top FROM pairs WHERE len(s) < 2 OR list_min(s[2:]) >= 0.72),
+scored AS (SELECT line, id, name || ' ' || pack AS name, identity, len(strong) AS n,
+  greatest(coalesce(list_sum(strong), 0) / len(s) + exact * 0.035, list_sum(top) / len(top) * 0.72 + least(len(strong), 3) * 0.08 + exact * 0.02)
+  + CASE WHEN p IS NULL THEN 0 WHEN p = pack THEN 0.16 WHEN levenshtein(p, pack) = 1 AND abs(length(p) - length(pack)) <= 1 THEN 0.04 ELSE -0.65 END AS score FROM parts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, id) = 1)
+SELECT line, id, name, round(least(1.0, score), 6) AS confidence FROM best b
+WHERE n >= 2 AND score >= 0.76 AND NOT EXISTS (SELECT 1 FROM scored s WHERE s.line = b.line AND s.identity <> b.identity AND b.score - s.score < 0.1)"""
 
 
 def stored_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +123,7 @@ QUERIES = {
     "longest_concepts": (longest_concepts, f"""WITH {GOODS_SQL}, p AS (SELECT unnest({[a for _, _, aliases in V.CONCEPTS for a in aliases]}) AS phrase), q AS (SELECT phrase, min(rowid) AS rank FROM (SELECT phrase, row_number() OVER () AS rowid FROM p) GROUP BY phrase)
 SELECT id, phrase FROM goods JOIN q ON contains(' ' || lower(concat_ws(' ', brand, name, pack)) || ' ', ' ' || phrase || ' ') QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(phrase) DESC, rank) = 1"""),
     "identities": (identities, None),
-    "recognised_products": (recognised_products, None),
+    "recognised_products": (recognised_products, RECOGNISED_SQL),
     "stored_prices": (stored_prices, """WITH RECURSIVE e AS (SELECT user_id, ts, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS i FROM events),
 r AS (SELECT user_id, i, ts, event_type, true AS stored, s AS last, event_type AS kind FROM e WHERE i = 1 UNION ALL
   SELECT user_id, i, ts, event_type, stored, CASE WHEN stored THEN s ELSE last END, CASE WHEN stored THEN event_type ELSE kind END FROM (SELECT e.*, r.last, r.kind, e.event_type <> r.kind OR e.s - r.last >= 21600 AS stored FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
