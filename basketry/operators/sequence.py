@@ -51,3 +51,22 @@ def followed(df: DataFrame, keys: list[str], order: list[Column], marks: Column,
     df = df.withColumns({"__number": F.row_number().over(running) - 1, "__hit": F.coalesce(F.col("__marks") & near, F.lit(False)), "__run": F.when(run > 0, run - 1).otherwise(room)})
     hit = F.min(F.when(F.col("__hit"), F.struct("__number", "__run")))
     return df.groupBy(*keys).agg(hit.alias("__first")).filter("__first is not null").select(*keys, F.col("__first.__number").alias("first"), (F.col("__first.__number") - F.col("__first.__run")).cast("int").alias("start"))
+
+
+def last_before(df: DataFrame, key: str, at: str, value: Column, out: str, blocks: int = 1) -> DataFrame:
+    """df with out: the value of the last earlier row of its key (by at, a whole number) that has one, else null.
+
+    A key may hold most rows: a key's rows are dealt by blocks of at, and each block begins with what the blocks before it end with.
+    """
+    low, high = df.agg(F.min(at), F.max(at)).first() if blocks > 1 else (None, None)
+    block = F.floor((F.col(at) - low) / F.lit(max(1, -(-(high - low + 1) // blocks)))) if low is not None else F.lit(0)
+    rows = df.withColumns({"__block": block, "__value": value})
+    running = Window.partitionBy(key, "__block").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    ends = rows.filter("__value is not null").groupBy(key, "__block").agg(F.max_by("__value", at).alias("__end"))
+    rows = rows.withColumn(out, F.last("__value", ignorenulls=True).over(running))
+    if low is None:
+        return rows.drop("__block", "__value")
+    # one row for each key and block
+    places = rows.select(key, "__block").distinct().join(ends, [key, "__block"], "left")
+    carry = places.withColumn("__carry", F.last("__end", ignorenulls=True).over(Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))).drop("__end")
+    return rows.join(carry.filter("__carry is not null"), [key, "__block"], "left").withColumn(out, F.coalesce(out, "__carry")).drop("__block", "__value", "__carry")

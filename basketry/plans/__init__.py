@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, tuple[Query, str | None]]:
-    from basketry.plans import grocery, household, lines, prices, receipts, records, stock, texts
+    from basketry.plans import grocery, household, lines, prices, receipts, records, resolution, stock, texts
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (prices, household, records, grocery, stock, lines, receipts, texts):
+    for module in (prices, household, records, grocery, stock, lines, receipts, resolution, texts):
         found |= module.QUERIES
     return found
