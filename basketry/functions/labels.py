@@ -11,6 +11,8 @@ from basketry.functions.text import normalise, squeeze
 SERVING_SIZE = (r"(?i)^serving\s*size\b", r"(?i)^size\s*per\s*serve\b", r"(?i)^portion\s*size\b", r"(?i)^servingSize(?:Description|Text)?\s*:", r"(?i)^serveSize\s*:")
 SERVINGS = (r"(?i)^servings?\s+per\s+(?:pack|package|container)\b", r"(?i)^serves?\s+per\s+pack\b", r"(?i)^number\s+of\s+servings\b", r"(?i)^pack\s+serves\b", r"(?i)^servingsPerPackage\s*:", r"(?i)^numberOfServings\s*:", r"(?i)^servingsPerPack\s*:", r"(?i)^servesPerPack\s*:")
 INGREDIENTS = (r"(?i)^ingredients?\s*:", r"(?i)^ingredientsList\s*:", r"(?i)^ingredientStatement\s*:")
+# A heading of ingredients that stands alone, and the headings that end its section.
+INGREDIENTS_HEADING, SECTION_ENDS = r"(?i)^ingredients?$", r"(?i)^allergens?$|^contains\b|^may contain\b|^nutrition information$|^storage$"
 CONTAINS = (r"(?i)^contains\s*:", r"(?i)^allergens?\s*:", r"(?i)^allergenStatement\s*:")
 MAY_CONTAIN = (r"(?i)^may contain\s*:", r"(?i)^mayContain\s*:", r"(?i)^mayContainStatement\s*:")
 NUTRIENTS = {
@@ -80,10 +82,19 @@ def plausible_ingredients(c: Column) -> Column:
     return F.when(good & t.rlike(r"(?i)[,;()]|\bcontains\b") & t.rlike(rf"(?i)\b(?:{INGREDIENT_WORDS})\b"), t)
 
 
+def section_after(lines: Column, heading: str, ends: str) -> Column:
+    """The lines behind the first that is the heading, up to the next heading that ends it, joined by blanks; null for none."""
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(heading)), F.lit(True)).cast("int")
+    rest = F.slice(lines, F.greatest(at, F.lit(0)) + 1, F.size(lines))
+    end = F.array_position(F.transform(rest, lambda x: x.rlike(ends)), F.lit(True)).cast("int")
+    body = F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(rest)
+    return F.when(at > 0, F.nullif(F.trim(F.array_join(body, " ")), F.lit("")))
+
+
 def with_label(df: DataFrame, lines: str, out: str = "label") -> DataFrame:
     """df with a struct of what the lines of a label say: serving, nutrients, ingredients, contains, may_contain, confidence; null if they are no label."""
     x = F.col(lines)
-    df = df.withColumns({f"__{out}_{k}": nutrient(x, *v) for k, v in NUTRIENTS.items()} | {f"__{out}_s": serving(x), f"__{out}_i": plausible_ingredients(value_after(x, INGREDIENTS)), f"__{out}_z": value_after(x, SERVING_SIZE)})
+    df = df.withColumns({f"__{out}_{k}": nutrient(x, *v) for k, v in NUTRIENTS.items()} | {f"__{out}_s": serving(x), f"__{out}_i": plausible_ingredients(F.coalesce(value_after(x, INGREDIENTS), section_after(x, INGREDIENTS_HEADING, SECTION_ENDS))), f"__{out}_z": value_after(x, SERVING_SIZE)})
     parts = {k: F.col(f"__{out}_{k}") for k in NUTRIENTS}
     known = [F.col(f"__{out}_z"), F.col(f"__{out}_s.per_package"), F.col(f"__{out}_i"), *[p["per_100"] for p in parts.values()]]
     score = sum((k.isNotNull().cast("int") for k in known), F.lit(0))

@@ -73,10 +73,25 @@ def pack_size(c: Column) -> Column:
     return F.struct(base.alias("quantity"), F.when(F.lower(unit).isin("kg", "g"), "g").when(F.lower(unit).isin("l", "ml"), "ml").alias("unit"))
 
 
+def round_half_even(value: Column) -> Column:
+    """A number, not negative, to two places, by what the binary number is exactly; of two equally near the even one.
+
+    The part below 1, times 2**62, is a whole number; times 100, it is held in two halves.
+    """
+    whole = F.floor(value)
+    bits = ((value - whole) * float(1 << 62)).cast("long")
+    mask = F.lit((1 << 31) - 1).cast("long")
+    low = bits.bitwiseAND(mask) * 100
+    high = F.shiftright(bits, 31) * 100 + F.shiftright(low, 31)
+    cents, rest = F.shiftright(high, 31), F.shiftleft(high.bitwiseAND(mask), 31) + low.bitwiseAND(mask)
+    up = (rest > 1 << 61) | ((rest == 1 << 61) & (cents % 2 == 1))
+    return F.when(value < 1e13, (whole * 100 + cents + up.cast("long")) / 100).otherwise(value)
+
+
 def parse_price(c: Column) -> Column:
     """A positive amount of money from a text, to two places, or null."""
     value = F.regexp_replace(c, "[^0-9.]", "").try_cast("double")
-    return F.when(value > 0, F.round(value, 2))
+    return F.when(value > 0, round_half_even(value))
 
 
 def parse_fraction(c: Column) -> Column:

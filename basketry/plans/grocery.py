@@ -10,6 +10,7 @@ from basketry.functions import numbers as N
 from basketry.functions import scores as S
 from basketry.functions import text as T
 from basketry.functions import vocabulary as V
+from basketry.functions.retailers import MARKERS, misreadings, retailer_of
 from basketry.operators import relational as R
 from basketry.plans.fixtures import table
 
@@ -116,17 +117,16 @@ def gtin_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.join(holders, "number", "left").select("id", "number", F.when(~c("valid"), "INVALID").when(c("holders") > 1, "REVIEW").otherwise(status).alias("status"))
 
 
-RETAILERS = ("woolworths", "aldi", "costco", "coles")
+RETAILERS = tuple(MARKERS)
 
 
 def misread_retailers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' lines as a scanner reads them, and the retailer whose name a line is but for a few letters."""
+    """Suppliers' lines as a scanner reads them, and the retailer that a line names, by its marks or but for a few letters."""
     k = F.col("s_suppkey")
-    name = _pick(RETAILERS, k)
-    line = F.when(k % 3 == 0, F.concat(F.lit("** "), F.upper(F.substring(name, 2, 20)), F.lit(" 12"))).when(k % 3 == 1, F.concat(name, F.lit("x"))).otherwise(F.concat(F.lit("total "), k.cast("string")))
-    letters = F.regexp_replace(F.lower("line"), "[^a-z]", "")
-    hits = [F.when(((F.lit(len(r) > 6)) | (F.length(letters) == len(r))) & (F.length(letters) >= max(3, len(r) - d)) & (F.length(letters) <= len(r) + d) & (F.levenshtein(letters, F.lit(r)) <= d), F.lit(r)) for r, d in ((r, 3 if len(r) >= 10 else 2 if len(r) >= 5 else 1) for r in RETAILERS)]
-    return table(spark, sf_dir, "supplier").select(k, line.alias("line")).select("s_suppkey", "line", F.coalesce(*hits).alias("retailer"))
+    names = F.array(*[F.lit(r) for r in RETAILERS])
+    name = F.get(names, (k % len(RETAILERS)).cast("int"))
+    line = F.when(k % 4 == 0, F.concat(F.lit("** "), F.upper(F.substring(name, 2, 20)), F.lit(" 12"))).when(k % 4 == 1, F.concat(name, F.lit("x"))).when(k % 4 == 2, F.concat("s_name", F.lit(" "), F.upper(name), F.lit(" stores"))).otherwise(F.concat(F.lit("everyday "), F.reverse(name)))
+    return table(spark, sf_dir, "supplier").select(k, line.alias("line")).select("s_suppkey", "line", retailer_of(F.col("line")).alias("retailer"))
 
 
 def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,8 +382,9 @@ SELECT id, CAST(j AS INT) AS j, score, next IS NULL OR score - next >= 5 OR coal
   {_LIST(BRANDS)}[CAST((id + CASE WHEN id % 19 = 0 THEN 1 ELSE 0 END) % 4 AS INT) + 1] AS cb, CASE WHEN id % 4 <> 0 THEN pack END AS cp FROM goods), h AS (SELECT number, count(DISTINCT id) AS holders FROM c WHERE number IS NOT NULL AND number <> '12345' GROUP BY number)
 SELECT id, c.number, CASE WHEN c.number = '12345' THEN 'INVALID' WHEN holders > 1 THEN 'REVIEW' WHEN claimed <> name OR (brand IS NOT NULL AND brand <> cb) OR (pack IS NOT NULL AND cp IS NOT NULL AND pack <> cp) THEN 'CONFLICT' WHEN id % 2 = 0 THEN 'VERIFIED' ELSE 'PROVISIONAL' END AS status
 FROM c LEFT JOIN h ON c.number = h.number WHERE c.number IS NOT NULL"""),
-    "misread_retailers": (misread_retailers, f"""WITH n AS (SELECT s_suppkey, {_LIST(RETAILERS)}[CAST(s_suppkey % 4 AS INT) + 1] AS n FROM supplier), l AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '** ' || upper(n[2:]) || ' 12' WHEN 1 THEN n || 'x' ELSE 'total ' || s_suppkey END AS line FROM n), t AS (SELECT *, regexp_replace(lower(line), '[^a-z]', '', 'g') AS w FROM l)
-SELECT s_suppkey, line, CASE """ + " ".join(f"WHEN ({'true' if len(r) > 6 else f'length(w) = {len(r)}'}) AND length(w) BETWEEN {max(3, len(r) - d)} AND {len(r) + d} AND levenshtein(w, '{r}') <= {d} THEN '{r}'" for r, d in (("woolworths", 3), ("aldi", 1), ("costco", 2), ("coles", 2))) + " END AS retailer FROM t"),
+    "misread_retailers": (misread_retailers, f"""WITH n AS (SELECT s_suppkey, s_name, {_LIST(RETAILERS)}[CAST(s_suppkey % {len(RETAILERS)} AS INT) + 1] AS n FROM supplier),
+l AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '** ' || upper(n[2:]) || ' 12' WHEN 1 THEN n || 'x' WHEN 2 THEN s_name || ' ' || upper(n) || ' stores' ELSE 'everyday ' || reverse(n) END AS line FROM n), t AS (SELECT *, regexp_replace(lower(line), '[^a-z]', '', 'g') AS w FROM l)
+SELECT s_suppkey, line, CASE """ + " ".join(f"WHEN regexp_matches(line, '(?i){'|'.join(MARKERS[r])}') OR (length(w) BETWEEN {max(3, len(r) - misreadings(r)) if len(r) > 6 else len(r)} AND {len(r) + misreadings(r) if len(r) > 6 else len(r)} AND levenshtein(w, '{r}') <= {misreadings(r)}) THEN '{r}'" for r in RETAILERS) + " END AS retailer FROM t"),
     "image_scores": (image_scores, """WITH i AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN 'text/html' WHEN p_partkey % 9 <> 0 THEN 'image/png' END AS kind, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey * 37 % 90000 END AS size, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey * 13 % 1500 + 40 AS DOUBLE) END AS w, CASE WHEN p_partkey % 5 <> 1 THEN CAST(p_partkey * 29 % 1500 + 40 AS DOUBLE) END AS h FROM part),
 d AS (SELECT *, least(w, h) AS short, greatest(w, h) AS long, w IS NOT NULL AND h IS NOT NULL AS known, coalesce(kind = 'image/png', false) AS image FROM i)
 SELECT id, CASE WHEN id % 10 = 0 THEN 0 ELSE CAST(greatest(0, least(100, 45 + CASE WHEN image THEN 15 ELSE 0 END + CASE WHEN size >= 30000 THEN 10 ELSE 0 END + CASE WHEN known THEN CASE WHEN short >= 700 THEN 25 WHEN short >= 320 THEN 15 ELSE 0 END + CASE WHEN long / greatest(1, short) <= 1.6 THEN 5 ELSE 0 END ELSE 0 END

@@ -47,7 +47,7 @@ def likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def said_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices, fractions, durations and pack sizes as they are written, read; the unit's usual name."""
     k, n = F.col("p_partkey"), F.col("p_size")
-    money = F.when(k % 4 == 0, F.concat(F.lit("$"), n.cast("string"), F.lit(".50 ea"))).when(k % 4 == 1, F.lit("free")).otherwise(n.cast("string"))
+    money = F.when(k % 4 == 0, F.concat(F.lit("$"), n.cast("string"), F.lit("."), F.lpad((k % 200 * 5).cast("string"), 3, "0"), F.lit(" ea"))).when(k % 4 == 1, F.lit("free")).otherwise(n.cast("string"))
     part = F.when(k % 3 == 0, F.concat(n.cast("string"), F.lit(" 1/2"))).when(k % 3 == 1, F.lit("½")).otherwise(F.lit("some"))
     time = F.when(k % 5 != 0, F.concat(F.lit("PT"), n.cast("string"), F.lit("H15M"))).otherwise("soon")
     packs = F.array(*[F.lit(x) for x in ("2 L", "500 g", "1.5 kg", "12 pack", "6 pk", "750 ml")])
@@ -100,7 +100,7 @@ SELECT id, array_to_string({_TITLE.format(_DOTS)}, ' ') AS title, {_SQUEEZE.form
   trim({_SQUEEZE.format("regexp_replace(x, '[^A-Za-z0-9&'' .-]+', ' ', 'g')")}[:30]) AS query, {_DOTS} AS with_dots, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS bare, trim(regexp_replace(replace(lower(x), '&', ' and '), '[^a-z0-9.]+', ' ', 'g')) AS spelled FROM n WHERE x IS NOT NULL"""),
     "likeness": (likeness, f"""WITH {GOODS_SQL}, p AS (SELECT a.id, lower(a.name) AS a, lower(b.name) AS b FROM goods a JOIN goods b ON b.id = a.id + 1), s AS (SELECT id, a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS s FROM p)
 SELECT id, floor(CASE WHEN least(length(a), length(b)) >= 4 AND (starts_with(a, b) OR starts_with(b, a)) THEN greatest(s, 0.8) ELSE s END * 1e6 + 0.5) / 1e6 AS letters, floor(len(list_filter(string_split(a, ' '), lambda w: list_contains(string_split(b, ' '), w))) / len(string_split(a, ' ')) * 1e6 + 0.5) / 1e6 AS words FROM s"""),
-    "said_amounts": (said_amounts, f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size + 0.5::DOUBLE WHEN 1 THEN NULL ELSE p_size::DOUBLE END AS price, CASE p_partkey % 3 WHEN 0 THEN p_size + 0.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS amount, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size * 60 + 15 AS BIGINT) END AS minutes,
+    "said_amounts": (said_amounts, f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(printf('%.2f', CAST(p_size || '.' || lpad(CAST(p_partkey % 200 * 5 AS VARCHAR), 3, '0') AS DOUBLE)) AS DOUBLE) WHEN 1 THEN NULL ELSE p_size::DOUBLE END AS price, CASE p_partkey % 3 WHEN 0 THEN p_size + 0.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS amount, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size * 60 + 15 AS BIGINT) END AS minutes,
   {_LIST(("2000ml", "500g", "1500g", "12pack", "6pack", "750ml"))}[CAST(p_partkey % 6 AS INT) + 1] AS pack, {_LIST(("g", "L", "each", "kg", "bunch"))}[CAST(p_partkey % 5 AS INT) + 1] AS unit FROM part"""),
     "styles_gone": (styles_gone, "SELECT p_partkey, p_name AS name FROM part"),
     "meals": (meals, "SELECT CASE WHEN p_partkey % 7 = 0 THEN 'Breakfast' ELSE ['Desserts', 'Sides & sauces', 'Drinks', 'Lunch & dinner', 'Snacks'][CAST(p_partkey % 5 AS INT) + 1] END AS meal, count(*) AS products FROM part GROUP BY 1"),
