@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, held in the checkpoint folder that executors share: a lost executor costs no more than the step at hand.
+    """df, written as Parquet to the checkpoint folder that executors share and read again: a lost executor costs no more than the step at hand.
 
-    The folder is that of spark.checkpoint.dir.  Where it is unset and the master is local (tests), a temporary folder of this machine becomes it; on
-    any other master that is an error.
+    A written table has the size that it has, where a checkpoint keeps the estimate of its plan, which joins of joins square from round to round.  The folder is
+    that of spark.checkpoint.dir.  Where it is unset and the master is local (tests), a temporary folder of this machine becomes it; on any other master that is an
+    error.  The tables are the caller's to delete, with the folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="basketry-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="basketry-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/basketry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

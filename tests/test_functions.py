@@ -85,6 +85,6 @@ def test_retailers_by_mark_or_misread(spark):
 def test_sections_of_ingredients(spark):
     from basketry.functions import labels as L
 
-    rows = [(1, ["Ingredients", "Sugar, milk,", "wheat flour, salt", "Allergens", "Contains: Milk"]), (2, ["Ingredients: water, sugar, salt", "Ingredients", "milk powder, flour"]), (3, ["Ingredients", "Contains: Milk"]), (4, ["Serving size: 5 g", "ingredient", "Cocoa, sugar, milk"])]
+    rows = [(1, ["Nutrition Information", "Ingredients", "Sugar, milk,", "wheat flour, salt", "Allergens", "Contains: Milk"]), (2, ["Ingredients: water, sugar, salt", "Ingredients", "milk powder, flour"]), (3, ["Ingredients", "Contains: Milk"]), (4, ["Serving size: 5 g", "ingredient", "Cocoa, sugar, milk"])]
     got = {r.k: r.label.ingredients if r.label else None for r in L.with_label(spark.createDataFrame(rows, "k int, lines array<string>"), "lines").collect()}
     assert got == {1: "Sugar, milk, wheat flour, salt", 2: "water, sugar, salt", 3: None, 4: "Cocoa, sugar, milk"}
