@@ -124,12 +124,12 @@ def best_match(left: DataFrame, right: DataFrame, name: str, other: str, score)
 def stored_observations(df: DataFrame, key: str, at: str, values: list[str], gap_seconds: int = 6 * 3600) -> DataFrame:
     """The observations of each key that are stored: those whose values differ from the last stored one's, or that come gap_seconds or more after it.
 
-    An observation that isn't stored doesn't move the last stored one.  As a run of equal values always begins with a stored one, each run is
-    judged by itself: by one pass over its times.
+    An observation that isn't stored doesn't move the last stored one.  A run of equal values begins with a stored one, and so does what comes gap_seconds
+    or more after the observation before it; each piece between these is judged by itself: by one pass over its times.
     """
     w = Window.partitionBy(key).orderBy(at, *values)
     seconds = F.unix_seconds(F.col(at).cast("timestamp"))
-    same = F.coalesce(reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.lag(v).over(w)) for v in values]), F.lit(False)) & F.lag(at).over(w).isNotNull()
+    same = F.coalesce(reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.lag(v).over(w)) for v in values]), F.lit(False)) & F.coalesce(seconds - F.lag(seconds).over(w) < gap_seconds, F.lit(False))
     runs = df.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
     times = F.sort_array(F.collect_list(F.struct(seconds.alias("s"), F.col(at).alias("at"))))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{df.schema[at].dataType.simpleString()}>").alias("kept"))
@@ -151,9 +151,10 @@ def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame], write: C
     return df
 
 
-def contained_phrases(df: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str = "phrase", rank: str = "rank", longest: int = 6) -> DataFrame:
-    """Per row of df whose normalised text has one of the phrases (of up to longest words) as whole words: key and the longest phrase; of equal lengths
-    that of the least rank.  All runs of words of a text meet the phrases in an equality join."""
+def contained_phrases(df: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str = "phrase", rank: str = "rank") -> DataFrame:
+    """Per row of df whose normalised text has one of the phrases as whole words: key and the longest phrase; of equal lengths
+    that of the least rank.  All runs of words of a text, as long as the longest phrase, meet the phrases in an equality join."""
+    longest = phrases.agg(F.max(F.size(F.split(phrase, " ")))).first()[0] or 1
     w = F.filter(F.split(text, " "), lambda x: x != "")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(w, i, n), " "))))
     found = df.select(key, F.explode(F.array_distinct(runs)).alias(phrase)).join(phrases, phrase)

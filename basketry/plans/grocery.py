@@ -234,10 +234,12 @@ def merge_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals for products of one identity (brand and name): the survivor is renamed unless its name is clean, the others are merged into it; without brand, reviewed."""
     c = F.col
     g = goods(spark, sf_dir).select("id", "name", "brand", "seen", F.concat_ws(" ", "brand", "name").alias("identity"), ((c("id") % 3 != 0).cast("int")).alias("score"))
-    ranked = R.top_rows(g.filter("brand is not null"), ["identity"], [c("score"), c("seen"), c("id")], 1_000_000_000, "r")
-    kept = ranked.withColumn("target", F.first("id").over(R.ordered(["identity"], [c("r")])))
-    merges = kept.filter("r > 1").select("id", F.lit("MERGE").alias("action"), "target", F.lit(0.97).alias("confidence"))
-    renames = kept.filter("r = 1 AND score > 0").select("id", F.lit("RENAME").alias("action"), F.lit(None).cast("long").alias("target"), F.lit(0.95).alias("confidence"))
+    named = g.filter("brand is not null")
+    # one row for each identity, joined back: an identity that many products have isn't sorted in one task
+    first = named.groupBy("identity").agg(F.min_by("id", F.struct("score", "seen", "id")).alias("target"))
+    kept = named.join(first, "identity")
+    merges = kept.filter("id <> target").select("id", F.lit("MERGE").alias("action"), "target", F.lit(0.97).alias("confidence"))
+    renames = kept.filter("id = target AND score > 0").select("id", F.lit("RENAME").alias("action"), F.lit(None).cast("long").alias("target"), F.lit(0.95).alias("confidence"))
     return merges.unionByName(renames).unionByName(g.filter("brand is null").select("id", F.lit("REVIEW").alias("action"), F.lit(None).cast("long").alias("target"), F.lit(0.3).alias("confidence")))
 
 
