@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, tuple[Query, str | None]]:
-    from basketry.plans import changes, grocery, household, lines, prices, receipts, records, resolution, stock, texts
+    from basketry.plans import changes, grocery, household, lines, prices, receipts, recognitions, records, resolution, stock, texts
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (changes, prices, household, records, grocery, stock, lines, receipts, resolution, texts):
+    for module in (changes, prices, household, records, grocery, stock, lines, receipts, recognitions, resolution, texts):
         found |= module.QUERIES
     return found
