@@ -21,7 +21,9 @@ def shops(spark, tmp_path_factory):
     rows = [(o, n, p, s, 1.0 + o % 7, 1.0 + (o * 13 + n) % 97 / 4, 0.0, "A", DAY + datetime.timedelta(o + 3)) for o, n, p, s in lines]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{at}/lineitem.parquet")
     spark.createDataFrame([(i, n, brands[i % 2], 5) for i, n in enumerate(names)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{at}/part.parquet")
-    spark.createDataFrame([(i, f"shop {i}") for i in range(3)], "s_suppkey long, s_name string").write.parquet(f"{at}/supplier.parquet")
+    spark.createDataFrame([(i, f"shop {i}", i) for i in range(3)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{at}/supplier.parquet")
+    # each shop is a retailer of its own
+    spark.createDataFrame([(i, f"shop {i}") for i in range(3)], "n_nationkey int, n_name string").write.parquet(f"{at}/nation.parquet")
     return at, names, brands, rows
 
 
