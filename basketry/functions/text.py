@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from basketry.functions import vocabulary as V
 
 
+def once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it: Spark computes what a lambda repeats each time."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " "))

@@ -10,7 +10,7 @@ from basketry.functions import names as M
 from basketry.functions import receipts as P
 from basketry.functions import vocabulary as V
 from basketry.operators import relational as R
-from basketry.plans.fixtures import table
+from basketry.plans.fixtures import spread, table
 from basketry.plans.grocery import GOODS_SQL, goods
 
 
@@ -46,7 +46,7 @@ def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as lines, and the servings, energy, sodium and allergens found in them."""
     k, n = F.col("p_partkey"), F.col("p_size")
     lines = F.array(F.lit("Nutrition Information"), F.concat(F.lit("Servings per package: "), n.cast("string")), F.concat(F.lit("Serving size: "), n.cast("string"), F.when(k % 2 == 0, " g").otherwise(" L")), F.lit("Energy"), F.concat(n.cast("string"), F.lit(" kJ")), F.concat((n * 10).cast("string"), F.lit(" kJ")), F.lit("Sodium"), F.lit("Per 100 g"), F.concat((n + 5).cast("string"), F.lit(" mg")), F.when(k % 3 == 0, "Contains: Milk, Soy and Wheat.").otherwise("Contains: n/a"))
-    df = L.with_label(table(spark, sf_dir, "part").select(k, lines.alias("lines")), "lines")
+    df = L.with_label(spread(table(spark, sf_dir, "part").select(k, n)).select(k, lines.alias("lines")), "lines")
     c = F.col
     return df.select("p_partkey", c("label.serving.quantity").alias("serving"), c("label.serving.unit").alias("unit"), c("label.serving.per_package").alias("servings"), c("label.nutrients.energy.per_serving").alias("energy"), c("label.nutrients.energy.per_100").alias("energy_100"), c("label.nutrients.sodium.per_100").alias("sodium"), F.array_join("label.contains", ",").alias("contains"))
 
