@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from basketry.functions.numbers import gtin_valid
-from basketry.functions.text import normalise, words
+from basketry.functions.text import normalise, once, words
 
 _PACK = r"([0-9]+(?:\.[0-9]+)?) *(kg|g|l|ml|pack|pk|pieces?|capsules?|tablets?|cans?|bottles?|rolls?)"
 _RETAIL_PACK = r"([0-9]+(?:\.[0-9]+)?) *(kg|g|l|ml|pack|pk|capsules?|tablets?|cans?|bottles?|rolls?)"
@@ -28,57 +28,66 @@ def long_words(normal: Column) -> Column:
 
 def share_of(wanted: Column, found: Column) -> Column:
     """The share of the words wanted, repeats included, that are found; 0 if none are wanted."""
-    return F.when(F.size(wanted) > 0, F.size(F.filter(wanted, lambda w: F.array_contains(found, w))) / F.size(wanted)).otherwise(F.lit(0.0))
+    share = lambda v: F.when(F.size(v["w"]) > 0, F.size(F.filter(v["w"], lambda w: F.array_contains(v["f"], w))) / F.size(v["w"])).otherwise(F.lit(0.0))
+    return once(F.struct(wanted.alias("w"), found.alias("f")), share)
 
 
 def _pack(c: Column, pattern: str, pieces: bool) -> Column:
-    amount, unit = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
-    number = amount.try_cast("double") * F.when(unit.isin("kg", "l"), 1000).otherwise(1)
-    whole = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
-    base = F.when(unit.isin("kg"), "g").when(unit == "l", "ml").when(unit.isin("pk", *(["piece", "pieces"] if pieces else [])), "pack").otherwise(F.regexp_replace(unit, "s$", ""))
-    return F.when(amount != "", F.concat(whole, base))
+    def made(v: Column) -> Column:
+        amount, unit = v["amount"], v["unit"]
+        number = amount.try_cast("double") * F.when(unit.isin("kg", "l"), 1000).otherwise(1)
+        whole = once(number, lambda n: F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string")))
+        base = F.when(unit.isin("kg"), "g").when(unit == "l", "ml").when(unit.isin("pk", *(["piece", "pieces"] if pieces else [])), "pack").otherwise(F.regexp_replace(unit, "s$", ""))
+        return F.when(amount != "", F.concat(whole, base))
+
+    return once(F.struct(F.regexp_extract(c, pattern, 1).alias("amount"), F.regexp_extract(c, pattern, 2).alias("unit")), made)
 
 
 def pack_of_list(c: Column) -> Column:
     """A pack size in base units ("2 kg" is "2000g"); of a text without one, the text; null for null."""
-    n = plain(c)
-    return F.when(c.isNotNull(), F.coalesce(_pack(n, _PACK, True), n))
+    return F.when(c.isNotNull(), once(plain(c), lambda n: F.coalesce(_pack(n, _PACK, True), n)))
 
 
 def pack_of_listing(c: Column) -> Column:
     """A pack size in base units, or null."""
-    return _pack(plain(c), _RETAIL_PACK, False)
+    return once(plain(c), lambda n: _pack(n, _RETAIL_PACK, False))
 
 
 def live_score(name: Column, brand: Column, pack: Column, gtin: Column, other: Column, other_pack: Column, other_gtin: Column, substitutes: bool = False) -> Column:
     """Struct of score and exact of an offer against what a list asks for; null if it doesn't fit."""
-    mine, theirs = digits(gtin), digits(other_gtin)
-    x, y, b = plain(name), plain(other), plain(brand)
-    ratio = share_of(long_words(x), words(y))
-    p, q = pack_of_list(pack), pack_of_list(other_pack)
-    same_pack = p.isNull() | q.isNull() | (p == q)
-    made = lambda s, e: F.struct(s.cast("double").alias("score"), e.alias("exact"))
-    clash = (mine.isNotNull() & theirs.isNotNull()) & (mine != theirs)
-    wrong = F.lit(not substitutes) & (((b != "") & ~y.contains(b)) | ~same_pack)
-    score = (
-        F.when(mine == theirs, made(F.lit(10_000), F.lit(True)))
-        .when(clash | wrong, None)
-        .when(y == x, made(F.lit(1000) + F.when(same_pack, 80).otherwise(0), F.lit(True)))
-        .when(y.contains(x) & (ratio >= 0.8), made(900 + ratio * 50 + F.when(same_pack, 50).otherwise(-100), same_pack))
-        .when((ratio >= 0.75) & same_pack, made(750 + ratio * 100, F.lit(True)))
-    )
-    return score.when(F.lit(substitutes) & (ratio >= 0.45), made(400 + ratio * 100 + F.when(same_pack, 30).otherwise(-80), F.lit(False)))
+
+    def scored(v: Column) -> Column:
+        mine, theirs, x, y, b, ratio, same_pack = (v[k] for k in ("mine", "theirs", "x", "y", "b", "ratio", "same"))
+        made = lambda s, e: F.struct(s.cast("double").alias("score"), e.alias("exact"))
+        clash = (mine.isNotNull() & theirs.isNotNull()) & (mine != theirs)
+        wrong = F.lit(not substitutes) & (((b != "") & ~y.contains(b)) | ~same_pack)
+        score = (
+            F.when(mine == theirs, made(F.lit(10_000), F.lit(True)))
+            .when(clash | wrong, None)
+            .when(y == x, made(F.lit(1000) + F.when(same_pack, 80).otherwise(0), F.lit(True)))
+            .when(y.contains(x) & (ratio >= 0.8), made(900 + ratio * 50 + F.when(same_pack, 50).otherwise(-100), same_pack))
+            .when((ratio >= 0.75) & same_pack, made(750 + ratio * 100, F.lit(True)))
+        )
+        return score.when(F.lit(substitutes) & (ratio >= 0.45), made(400 + ratio * 100 + F.when(same_pack, 30).otherwise(-80), F.lit(False)))
+
+    # what the cases look at is computed once: normal forms, then what follows from these
+    forms = F.struct(digits(gtin).alias("mine"), digits(other_gtin).alias("theirs"), plain(name).alias("x"), plain(other).alias("y"), plain(brand).alias("b"), pack_of_list(pack).alias("p"), pack_of_list(other_pack).alias("q"))
+    same = lambda v: v["p"].isNull() | v["q"].isNull() | (v["p"] == v["q"])
+    return once(forms, lambda v: once(F.struct(*[v[k].alias(k) for k in ("mine", "theirs", "x", "y", "b")], share_of(long_words(v["x"]), words(v["y"])).alias("ratio"), same(v).alias("same")), scored))
 
 
 def listing_score(name: Column, brand: Column, pack: Column, gtin: Column, other: Column, other_pack: Column, other_gtin: Column, bonus: Column) -> Column:
     """How surely a retailer's listing is a product; null if their numbers differ."""
-    mine, theirs = digits(gtin), digits(other_gtin)
-    x, y, b = plain(F.concat_ws(" ", brand, name)), plain(other), plain(brand)
     packed = lambda c: F.regexp_replace(c, "[^a-z0-9]+", "")
-    p, q = pack_of_listing(F.coalesce(pack, name)), pack_of_listing(F.coalesce(other_pack, other))
-    score = share_of(long_words(x), long_words(y)) * 1000 + F.when(y == plain(name), 1200).otherwise(0) + F.when(packed(y).contains(packed(plain(name))), 700).otherwise(0)
-    score = score + F.when(b == "", 0).when(y.contains(b), 600).otherwise(-700) + F.when(p.isNull() | q.isNull(), 0).when(p == q, 900).otherwise(-1200)
-    return F.when(mine == theirs, F.lit(20_000.0)).when(mine.isNotNull() & theirs.isNotNull(), None).otherwise(score + bonus)
+
+    def scored(v: Column) -> Column:
+        mine, theirs, x, y, b, n, p, q = (v[k] for k in ("mine", "theirs", "x", "y", "b", "n", "p", "q"))
+        score = share_of(long_words(x), long_words(y)) * 1000 + F.when(y == n, 1200).otherwise(0) + F.when(packed(y).contains(packed(n)), 700).otherwise(0)
+        score = score + F.when(b == "", 0).when(y.contains(b), 600).otherwise(-700) + F.when(p.isNull() | q.isNull(), 0).when(p == q, 900).otherwise(-1200)
+        return F.when(mine == theirs, F.lit(20_000.0)).when(mine.isNotNull() & theirs.isNotNull(), None).otherwise(score + v["bonus"])
+
+    forms = {"mine": digits(gtin), "theirs": digits(other_gtin), "x": plain(F.concat_ws(" ", brand, name)), "y": plain(other), "b": plain(brand), "n": plain(name), "p": pack_of_listing(F.coalesce(pack, name)), "q": pack_of_listing(F.coalesce(other_pack, other)), "bonus": bonus}
+    return once(F.struct(*[x.alias(k) for k, x in forms.items()]), scored)
 
 
 def candidate_score(name: Column, brand: Column, pack: Column, other: Column, other_pack: Column, other_gtin: Column) -> Column:

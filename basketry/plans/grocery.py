@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from basketry.functions import text as T
 from basketry.functions import vocabulary as V
 from basketry.functions.retailers import MARKERS, misreadings, retailer_of
 from basketry.operators import relational as R
-from basketry.plans.fixtures import table
+from basketry.plans.fixtures import spread, table
 
 GOODS = ("Full Cream Milk", "Basmati Rice", "Green Apples", "Beef Mince", "Greek Yoghurt", "Olive Oil Spray", "Chocolate Biscuits", "Tomato Sauce", "Sourdough Bread", "Orange Juice", "Frozen Peas", "Dishwashing Tablets", "Lemon Juice", "Lemons")
 BRANDS = ("Coles", "Farmland", "Golden Days", "Northern")
@@ -26,11 +28,11 @@ def _pick(xs: tuple, at: Column) -> Column:
     return F.get(F.array(*[F.lit(x).cast("string") for x in xs]), (at % len(xs)).cast("int"))
 
 
-def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products: id, name, brand, pack, stored, gtin, produce, image, servings, energy, ingredients, allergens, links, seen."""
+def goods(spark: SparkSession, sf_dir: str, dealt: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Products (of the part table, as dealt): id, name, brand, pack, stored, gtin, produce, image, servings, energy, ingredients, allergens, links, seen."""
     k = F.col("p_partkey")
     body = F.lpad(k.cast("string"), 12, "0")
-    return table(spark, sf_dir, "part").select(
+    return dealt(table(spark, sf_dir, "part").select(k, "p_retailprice")).select(
         k.alias("id"), _pick(GOODS, k).alias("name"), F.when(k % 5 != 0, _pick(BRANDS, k)).alias("brand"), _pick(PACKS, k).alias("pack"), _pick(STORED, k).alias("stored"), F.when(k % 3 != 0, N.with_check_digit(body)).alias("gtin"),
         (k % 13 == 0).alias("produce"), F.when(k % 7 != 0, F.concat(F.lit("https://x/"), k.cast("string"))).alias("image"), F.when(k % 4 != 0, (k % 701).cast("double")).alias("servings"), F.when(k % 11 != 0, F.when(k % 23 == 0, -1.0).otherwise(F.col("p_retailprice"))).alias("energy"),
         F.when(k % 9 == 0, "n/a").when(k % 8 != 0, F.lit("milk, wheat flour and salt")).alias("ingredients"), (k % 6).cast("int").alias("allergens"), (k % 4).cast("int").alias("links"), F.col("p_retailprice").alias("price"), (k * 7 % 1000).alias("seen"),
@@ -47,7 +49,7 @@ GOODS_SQL = f"""goods AS (SELECT *, CASE WHEN id % 3 <> 0 THEN body || CAST((10
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a search for each product finds: four listings of two retailers, of the product or of others."""
     k, j = F.col("id"), F.col("j")
-    g = goods(spark, sf_dir).withColumn("j", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    g = goods(spark, sf_dir, spread).withColumn("j", F.explode(F.array(*[F.lit(i) for i in range(4)])))
     name = F.when(j == 0, F.concat_ws(" ", "brand", "name", "pack")).when(j == 1, F.concat_ws(" ", "name", F.lit("Value"), "pack")).when(j == 2, F.concat_ws(" ", "brand", _pick(GOODS, k + 1))).otherwise(F.upper("name"))
     number = F.when((j == 0) & (k % 2 == 0), F.col("gtin")).when((j == 1) & (k % 6 == 1), "12345670").when(j == 3, "4006381333931")
     return g.withColumns({"other": name, "other_pack": F.when(j == 0, F.col("pack")).when(j == 1, _pick(PACKS, k + 1)), "other_gtin": number, "retailer": F.when(j % 2 == 0, "Coles").otherwise("Woolworths"), "external": F.when((k + j) % 4 != 0, k * 10 + j), "offer": F.col("price") + j})

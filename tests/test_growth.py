@@ -1,6 +1,9 @@
 """What keeps the work of a row and the shuffle of a step small: each would fail on the code before it was mended."""
 
+from pyspark.sql import functions as F
+
 from basketry.functions import labels as L
+from basketry.functions import scores as S
 
 DATA = "/root/testdata/sf0.001"
 
@@ -12,6 +15,17 @@ def test_a_label_is_read_once_for_its_headings(spark):
     assert df.first().label.nutrients.energy.per_100 == 5
 
 
+def test_scores_normalise_each_name_once(spark):
+    c = F.col
+    rows = spark.createDataFrame([("milk", "coles", "2 L", None, "coles milk 2 L", None, None)], "n string, b string, p string, g string, o string, q string, h string")
+    live = rows.select(S.live_score(c("n"), c("b"), c("p"), c("g"), c("o"), c("q"), c("h"), True).alias("s"))
+    sure = rows.select(S.listing_score(c("n"), c("b"), c("p"), c("g"), c("o"), c("q"), c("h"), F.lit(0)).alias("s"))
+    for df, most in ((live, 5), (sure, 6)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("&,  and ") <= most
+    # all words, the name held by the other, the brand and the pack
+    assert live.first().s.exact and sure.first().s == 1000 + 700 + 600 + 900
+
+
 def test_costly_rows_of_a_small_table_are_dealt_over_all_cores(spark):
     from basketry.plans import queries
 
