@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from basketry.functions.text import normalise
+from basketry.functions.text import normalise, once
 from basketry.functions.vocabulary import FRACTIONS
 
 EPSILON = 2.220446049250313e-16
@@ -78,20 +78,27 @@ def round_half_even(value: Column) -> Column:
 
     The part below 1, times 2**62, is a whole number; times 100, it is held in two halves.
     """
-    whole = F.floor(value)
-    bits = ((value - whole) * float(1 << 62)).cast("long")
     mask = F.lit((1 << 31) - 1).cast("long")
-    low = bits.bitwiseAND(mask) * 100
-    high = F.shiftright(bits, 31) * 100 + F.shiftright(low, 31)
-    cents, rest = F.shiftright(high, 31), F.shiftleft(high.bitwiseAND(mask), 31) + low.bitwiseAND(mask)
-    up = (rest > 1 << 61) | ((rest == 1 << 61) & (cents % 2 == 1))
-    return F.when(value < 1e13, (whole * 100 + cents + up.cast("long")) / 100).otherwise(value)
+
+    def halves(v: Column) -> Column:
+        whole = F.floor(v)
+        bits = ((v - whole) * float(1 << 62)).cast("long")
+        return F.struct(v.alias("v"), whole.alias("whole"), (bits.bitwiseAND(mask) * 100).alias("low"), (F.shiftright(bits, 31) * 100).alias("high"))
+
+    def joined(x: Column) -> Column:
+        high = x["high"] + F.shiftright(x["low"], 31)
+        return F.struct(x["v"].alias("v"), x["whole"].alias("whole"), F.shiftright(high, 31).alias("cents"), (F.shiftleft(high.bitwiseAND(mask), 31) + x["low"].bitwiseAND(mask)).alias("rest"))
+
+    def rounded(x: Column) -> Column:
+        up = (x["rest"] > 1 << 61) | ((x["rest"] == 1 << 61) & (x["cents"] % 2 == 1))
+        return F.when(x["v"] < 1e13, (x["whole"] * 100 + x["cents"] + up.cast("long")) / 100).otherwise(x["v"])
+
+    return once(value, lambda v: once(halves(v), lambda x: once(joined(x), rounded)))
 
 
 def parse_price(c: Column) -> Column:
     """A positive amount of money from a text, to two places, or null."""
-    value = F.regexp_replace(c, "[^0-9.]", "").try_cast("double")
-    return F.when(value > 0, round_half_even(value))
+    return once(F.regexp_replace(c, "[^0-9.]", "").try_cast("double"), lambda value: F.when(value > 0, round_half_even(value)))
 
 
 def parse_fraction(c: Column) -> Column:

@@ -10,7 +10,7 @@ from basketry.functions import numbers as N
 from basketry.functions import scores as S
 from basketry.functions import text as T
 from basketry.operators import relational as R
-from basketry.plans.fixtures import items, table
+from basketry.plans.fixtures import items, spread, table
 from basketry.plans.grocery import _LIST, GOODS_SQL, goods
 from basketry.plans.prices import QUERIES as PRICES
 from basketry.plans.prices import basket_all
@@ -52,7 +52,7 @@ def said_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     time = F.when(k % 5 != 0, F.concat(F.lit("PT"), n.cast("string"), F.lit("H15M"))).otherwise("soon")
     packs = F.array(*[F.lit(x) for x in ("2 L", "500 g", "1.5 kg", "12 pack", "6 pk", "750 ml")])
     unit = F.get(F.array(*[F.lit(x) for x in ("Grams", "litre", "ea", "Kilograms", "bunch")]), (k % 5).cast("int"))
-    return table(spark, sf_dir, "part").select(k, N.parse_price(money).alias("price"), N.parse_fraction(part).alias("amount"), N.iso_minutes(time).alias("minutes"), S.pack_of_listing(F.get(packs, (k % 6).cast("int"))).alias("pack"), M.unit_name(unit).alias("unit"))
+    return spread(table(spark, sf_dir, "part").select(k, n)).select(k, N.parse_price(money).alias("price"), N.parse_fraction(part).alias("amount"), N.iso_minutes(time).alias("minutes"), S.pack_of_listing(F.get(packs, (k % 6).cast("int"))).alias("pack"), M.unit_name(unit).alias("unit"))
 
 
 def styles_gone(spark: SparkSession, sf_dir: str) -> DataFrame:

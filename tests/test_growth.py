@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from basketry.functions import labels as L
+from basketry.functions import numbers as N
 from basketry.functions import scores as S
 
 DATA = "/root/testdata/sf0.001"
@@ -26,8 +27,14 @@ def test_scores_normalise_each_name_once(spark):
     assert live.first().s.exact and sure.first().s == 1000 + 700 + 600 + 900
 
 
+def test_a_price_is_parsed_once(spark):
+    df = spark.createDataFrame([("$2.675",)], "x string").select(N.parse_price(F.col("x")).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("[^0-9.]") == 1
+    assert df.first().p == 2.67
+
+
 def test_costly_rows_of_a_small_table_are_dealt_over_all_cores(spark):
     from basketry.plans import queries
 
-    for name in ("label_values",):
+    for name in ("label_values", "said_amounts"):
         assert queries()[name][0](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
