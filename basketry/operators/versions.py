@@ -1,9 +1,10 @@
-"""Changes that name the value that they expect: which are accepted, as if one after the other, found by doubling pointers."""
+"""Changes that name the value that they expect: which are accepted, as if one after the other, replayed key by key, or for keys of many changes found by doubling pointers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from basketry.operators.sequence import last_before
 Write = Callable[[DataFrame], DataFrame]
 
 
-def guarded(changes: DataFrame, states: DataFrame, write: Write, most: int = 50, blocks: int = 1) -> DataFrame:
+def guarded(changes: DataFrame, states: DataFrame, write: Write, most: int = 50, blocks: int = 1, replayed: int = 100_000) -> DataFrame:
     """changes with previous, next and accepted.
 
     changes: key, at (a whole number, unique: the order), expected and value, both null for an undoing one, which names another change in undoes.  states: key and value, at first.
@@ -20,6 +21,51 @@ def guarded(changes: DataFrame, states: DataFrame, write: Write, most: int = 50,
     what that one expected; that must have been accepted before, and may be an undoing one itself.  A change of a key without a state, one that expects null, and one that undoes what
     isn't an earlier change of its key, is refused.
 
+    Keys of so many changes at most (replayed) are replayed: their changes are dealt by key once, sorted, and read one after the other; what is held is one key's.  A key of
+    more has its changes dealt over all tasks, by pointers.
+    """
+    held = changes.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > replayed).select(F.col("key").alias("__key"))
+    large = F.col("key").eqNullSafe(F.col("__key"))
+    if held.isEmpty():
+        return _replayed(changes, states)
+    return _replayed(changes.join(held, large, "left_anti"), states).unionByName(_pointed(changes.join(held, large, "left_semi"), states, write, most, blocks))
+
+
+def _replayed(changes: DataFrame, states: DataFrame) -> DataFrame:
+    """The changes of each key, read in their order."""
+    c = F.col
+    opening = states.filter("value is not null").select("key", c("value").alias("__first"))
+    rows = changes.select("key", "at", "expected", "value", "undoes").join(opening, "key", "left").repartition("key").sortWithinPartitions("key", "at")
+    of = {f.name: f.dataType.simpleString() for f in changes.schema.fields}
+    schema = f"key {of['key']}, at {of['at']}, undoes {of['undoes']}, previous {of['expected']}, next {of['value']}, accepted boolean"
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, started, now, told = None, False, None, {}
+        for batch in batches:
+            keys, ats, expected, values, undoes, firsts = (batch.column(i).to_pylist() for i in range(6))
+            previous, following, accepted = [], [], []
+            for key, at, p, n, undone, first in zip(keys, ats, expected, values, undoes, firsts, strict=True):
+                if not started or key != last:
+                    last, started, now, told = key, True, first, {}
+                good = True
+                if undone is not None:
+                    # a null key has no changes that another could name
+                    gave, took, good = told.get(undone, (None, None, False)) if key is not None else (None, None, False)
+                    p, n = took, gave
+                good = good and now is not None and p is not None and n is not None and p == now
+                told[at] = (p, n, good)
+                if good:
+                    now = n
+                previous.append(p), following.append(n), accepted.append(good)
+            columns = [batch.column(0), batch.column(1), batch.column(4), pa.array(previous, batch.column(2).type), pa.array(following, batch.column(3).type), pa.array(accepted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "at", "undoes", "previous", "next", "accepted"])
+
+    return rows.mapInArrow(replay, schema)
+
+
+def _pointed(changes: DataFrame, states: DataFrame, write: Write, most: int, blocks: int) -> DataFrame:
+    """The same by pointers, in rounds, for keys that hold more changes than one task should.
+
     After an accepted change the next accepted one is the first later change that expects its value, so changes point to one another, and those that the first one of a key leads to
     are accepted.  With pointers doubled, that takes as many rounds as the logarithm of the longest chain.  Whether what an undoing change names was accepted is found likewise, in
     rounds until nothing changes: it depends on earlier changes only.
