@@ -12,8 +12,7 @@ from basketry.functions import text as T
 from basketry.operators import relational as R
 from basketry.plans.fixtures import items, spread, table
 from basketry.plans.grocery import _LIST, GOODS_SQL, goods
-from basketry.plans.prices import QUERIES as PRICES
-from basketry.plans.prices import basket_all
+from basketry.plans.prices import CHAINS_SQL, chain_baskets
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +70,7 @@ def meals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def basket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per list: the retailer that has everything for the least, what that costs, and what it saves against the dearest that has everything."""
-    whole = basket_all(spark, sf_dir).filter("missing = 0").withColumn("cents", F.round(F.col("total") * 100).cast("long"))
+    whole = chain_baskets(spark, sf_dir).filter("missing = 0").withColumn("cents", F.round(F.col("total") * 100).cast("long"))
     best = R.top_rows(whole, ["list_id"], [F.col("cents"), F.col("retailer")]).select("list_id", "retailer", "cents")
     ends = whole.groupBy("list_id").agg(F.max("cents").alias("dearest"), F.count(F.lit(1)).alias("complete"))
     return best.join(ends, "list_id").select("list_id", "retailer", (F.col("cents") / 100).alias("total"), ((F.col("dearest") - F.col("cents")) / 100).alias("saves"), "complete")
@@ -104,7 +103,7 @@ SELECT id, floor(CASE WHEN least(length(a), length(b)) >= 4 AND (starts_with(a,
   {_LIST(("2000ml", "500g", "1500g", "12pack", "6pack", "750ml"))}[CAST(p_partkey % 6 AS INT) + 1] AS pack, {_LIST(("g", "L", "each", "kg", "bunch"))}[CAST(p_partkey % 5 AS INT) + 1] AS unit FROM part"""),
     "styles_gone": (styles_gone, "SELECT p_partkey, p_name AS name FROM part"),
     "meals": (meals, "SELECT CASE WHEN p_partkey % 7 = 0 THEN 'Breakfast' ELSE ['Desserts', 'Sides & sauces', 'Drinks', 'Lunch & dinner', 'Snacks'][CAST(p_partkey % 5 AS INT) + 1] END AS meal, count(*) AS products FROM part GROUP BY 1"),
-    "basket_summary": (basket_summary, f"""WITH bs AS ({PRICES["basket_all"][1]}), w AS (SELECT list_id, retailer, CAST(round(total * 100) AS BIGINT) AS cents FROM bs WHERE missing = 0)
+    "basket_summary": (basket_summary, f"""WITH bs AS ({CHAINS_SQL}), w AS (SELECT list_id, retailer, CAST(round(total * 100) AS BIGINT) AS cents FROM bs WHERE missing = 0)
 SELECT list_id, arg_min(retailer, (cents, retailer)) AS retailer, min(cents) / 100 AS total, (max(cents) - min(cents)) / 100 AS saves, count(*) AS complete FROM w GROUP BY list_id"""),
     "split_shop": (split_shop, "WITH c AS (SELECT p_name, min(CAST(floor((l_extendedprice + 2.220446049250313e-16) * 100 + 0.5) AS BIGINT)) AS cents FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT l_orderkey AS receipt_id, CAST(sum(cents) AS BIGINT) / 100 AS total, count(*) AS items FROM lineitem JOIN part ON l_partkey = p_partkey JOIN c USING (p_name) JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY 1"),
 }

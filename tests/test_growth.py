@@ -54,3 +54,12 @@ def test_changes_of_small_keys_are_written_nowhere(spark):
     got = told(guarded(changes, states, None))
     # q by itself or both by pointers: the same
     assert got == told(guarded(changes, states, cut, replayed=30)) == told(guarded(changes, states, cut, replayed=0)) and any("accepted=True" in x for x in got)
+
+
+def test_baskets_are_at_each_supplier(spark):
+    from basketry.plans import prices
+
+    shops = {r.s_name for r in spark.read.parquet(f"{DATA}/supplier.parquet").collect()}
+    for query in (prices.basket, prices.basket_all):
+        got = {r.retailer for r in query(spark, DATA).select("retailer").distinct().collect()}
+        assert got and got <= shops
