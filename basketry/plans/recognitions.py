@@ -14,11 +14,13 @@ TODAY = "1998-01-01"
 def _recognitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = F.col
     three = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("candidate")
-    w = Window.partitionBy("receipt", "candidate").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    # the place is the same for all candidates, so lines are dealt by receipt and numbered before they are repeated
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
-    rows = lines.select(c("l_orderkey").alias("receipt"), three, "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.concat_ws(" ", "p_name", F.concat(c("p_size").cast("string"), F.lit("g"))).alias("description"))
+    placed = lines.withColumn("place", F.row_number().over(w))
+    rows = placed.select(c("l_orderkey").alias("receipt"), three, "place", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.concat_ws(" ", "p_name", F.concat(c("p_size").cast("string"), F.lit("g"))).alias("description"))
     explicit = (c("l_suppkey") + c("candidate")) % 3 == 0
-    items = rows.select("receipt", "candidate", F.row_number().over(w).alias("place"), "description", F.when(explicit, c("l_quantity")).otherwise(1.0).alias("quantity"), F.when((c("l_partkey") + c("candidate")) % 5 != 0, c("l_extendedprice")).alias("price"), explicit.alias("explicit"))
+    items = rows.select("receipt", "candidate", "place", "description", F.when(explicit, c("l_quantity")).otherwise(1.0).alias("quantity"), F.when((c("l_partkey") + c("candidate")) % 5 != 0, c("l_extendedprice")).alias("price"), explicit.alias("explicit"))
     o, k = table(spark, sf_dir, "orders"), c("o_orderkey")
     heads = o.select(k.alias("receipt"), three, "o_totalprice", "o_orderdate", "o_orderpriority", "o_custkey")
     i = c("candidate")
