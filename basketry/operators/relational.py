@@ -153,8 +153,11 @@ def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame], write: C
 
 def contained_phrases(df: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str = "phrase", rank: str = "rank") -> DataFrame:
     """Per row of df whose normalised text has one of the phrases as whole words: key and the longest phrase; of equal lengths
-    that of the least rank.  All runs of words of a text, as long as the longest phrase, meet the phrases in an equality join."""
-    longest = phrases.agg(F.max(F.size(F.split(phrase, " ")))).first()[0] or 1
+    that of the least rank.  All runs of words of a text, as long as the longest phrase, meet the phrases in an equality join.
+
+    The runs are many times the rows that Spark judges their size by, so it would send them to every task: phrases of 4 MB at most are sent instead, and more are shuffled."""
+    longest, letters = phrases.agg(F.max(F.size(F.split(phrase, " "))), F.sum(F.octet_length(phrase) + 32)).first()
+    longest, phrases = longest or 1, F.broadcast(phrases) if (letters or 0) <= 4_000_000 else phrases.hint("shuffle_hash")
     w = F.filter(F.split(text, " "), lambda x: x != "")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(w, i, n), " "))))
     found = df.select(key, F.explode(F.array_distinct(runs)).alias(phrase)).join(phrases, phrase)

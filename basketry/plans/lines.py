@@ -62,7 +62,7 @@ def plausible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def longest_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per product, the longest known phrase that its listed name has as whole words."""
     phrases = spark.createDataFrame([(alias, i) for i, alias in enumerate(a for _, _, aliases in V.CONCEPTS for a in aliases)], "phrase string, rank int").groupBy("phrase").agg(F.min("rank").alias("rank"))
-    rows = goods(spark, sf_dir).select("id", F.lower(F.concat_ws(" ", "brand", "name", "pack")).alias("text"))
+    rows = goods(spark, sf_dir, spread).select("id", F.lower(F.concat_ws(" ", "brand", "name", "pack")).alias("text"))
     return R.contained_phrases(rows, "id", "text", phrases)
 
 

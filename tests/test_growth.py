@@ -63,3 +63,17 @@ def test_baskets_are_at_each_supplier(spark):
     for query in (prices.basket, prices.basket_all):
         got = {r.retailer for r in query(spark, DATA).select("retailer").distinct().collect()}
         assert got and got <= shops
+
+
+def test_phrases_are_sent_and_not_the_runs_of_words(spark):
+    from basketry.operators.relational import contained_phrases
+    from basketry.plans import queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = plan(queries()["longest_concepts"][0](spark, DATA))
+    assert "Inner, BuildRight" in small and "Inner, BuildLeft" not in small
+    # phrases of more than 4 MB are shuffled
+    many = spark.range(200_000).selectExpr("concat('word ', id) phrase", "cast(id as int) rank")
+    rows = spark.createDataFrame([(1, "a word 7 word 12345 word")], "id int, text string")
+    found = contained_phrases(rows, "id", "text", many)
+    assert "BroadcastHashJoin" not in plan(found) and found.first().phrase == "word 12345"
