@@ -274,9 +274,10 @@ def filled_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _known(spark, sf_dir)
     of = lambda df, k: df.select(F.explode(F.array_compact(F.array(F.when(F.col("gtin").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("gtin").alias("key"))), F.struct(F.lit(2).alias("kind"), T.slug(F.col("full")).alias("key")), F.struct(F.lit(3).alias("kind"), F.lower("full").alias("key"))))).alias("k"), k).select("k.kind", "k.key", k)
     rows = goods(spark, sf_dir).select("id", "gtin", "pack", "brand", F.concat_ws(" ", "brand", "name").alias("full"))
-    pairs = of(rows, "id").join(of(known, "match").groupBy("kind", "key").agg(F.min("match").alias("match")), ["kind", "key"])
+    # each side grows with the catalogue, which its file's size doesn't tell: all are shuffled, none goes through the driver
+    pairs = of(rows, "id").join(of(known, "match").groupBy("kind", "key").agg(F.min("match").alias("match")).hint("merge"), ["kind", "key"])
     best = pairs.groupBy("id").agg(F.min(F.struct("kind", "match")).alias("b"))
-    joined = rows.join(best, "id").join(known.select("match", F.col("gtin").alias("old_gtin")), F.col("b.match") == F.col("match"))
+    joined = rows.join(best.hint("merge"), "id").join(known.select("match", F.col("gtin").alias("old_gtin")).hint("merge"), F.col("b.match") == F.col("match"))
     return joined.select("id", "match", F.col("b.kind").alias("kind"), F.coalesce("old_gtin", "gtin").alias("gtin"))
 
 

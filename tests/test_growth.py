@@ -77,3 +77,9 @@ def test_phrases_are_sent_and_not_the_runs_of_words(spark):
     rows = spark.createDataFrame([(1, "a word 7 word 12345 word")], "id int, text string")
     found = contained_phrases(rows, "id", "text", many)
     assert "BroadcastHashJoin" not in plan(found) and found.first().phrase == "word 12345"
+
+
+def test_filling_sends_nothing_to_the_driver(spark):
+    from basketry.plans import queries
+
+    assert "Broadcast" not in queries()["filled_products"][0](spark, DATA)._jdf.queryExecution().executedPlan().toString()
