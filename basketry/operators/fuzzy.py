@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.operators.durable import cut, spread
+
 
 def alike(a: Column, b: Column) -> Column:
     """1 for equal words; 0.8 if one of four letters or more begins the other; else 1 - edit distance / longer length."""
@@ -14,38 +16,34 @@ def alike(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(prefix, 0.8).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-def _grams(word: Column) -> Column:
-    """The pairs of letters of a word with a mark at each end, repeated ones numbered, and where they stand."""
-    padded = F.concat(F.lit("^"), word, F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.struct(padded.substr(i, F.lit(2)).alias("g"), i.alias("at")))
-    again = lambda p: F.size(F.filter(pairs, lambda o: (o["g"] == p["g"]) & (o["at"] < p["at"])))
-    return F.transform(pairs, lambda p: F.struct(F.concat(p["g"], again(p).cast("string")).alias("g"), p["at"].alias("at")))
-
-
 def alike_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """All pairs (a of left, b of right) of distinct words with alike(a, b) >= least, and s.
 
-    Words within k edits have all but 2k of the longer one's pairs of letters in common, so with the rarest pairs first, they meet in the first 2k + 1 of each, at places no
-    more than k apart.  k follows from the length: a partner is longer by a factor of 1 / least at most.  Beginnings meet by equality.  Words
-    are compared where they meet only; nulls and empty words meet nothing.
+    Words within k edits: of k + 1 pieces of b, one (number j from 0) is in a as it is, with j edits before it and k - j behind it at most, so it stands no
+    more than j places from where it stands in b, and no more than k - j counted from the end.  k follows from both lengths.  Beginnings meet
+    by equality.  Words are compared where they meet only; nulls and empty words meet nothing.
     """
-    a = left.select(F.col("a")).filter("a <> ''").distinct()
-    b = right.select(F.col("b")).filter("b <> ''").distinct()
-    both = a.select(F.col("a").alias("w")).unionByName(b.select(F.col("b").alias("w")))
-    counts = both.select(F.explode(_grams(F.col("w"))).alias("x")).groupBy(F.col("x.g").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-
-    def first(df: DataFrame, c: str) -> DataFrame:
-        edits = F.floor((1 - least) / least * F.length(c) + 1e-9)
-        rows = df.select(c, edits.cast("int").alias("k"), F.explode(_grams(F.col(c))).alias("x")).select(c, "k", "x.g", "x.at").join(counts, "g")
-        rank = F.row_number().over(Window.partitionBy(c).orderBy("n", "g"))
-        return rows.withColumn("r", rank).filter(F.col("r") <= 2 * F.col("k") + 1).select(F.col(c), F.col("k").alias(f"k{c}"), F.col("at").alias(f"at{c}"), "g")
-
-    length = F.least(F.length("a"), F.length("b")) >= least * F.greatest(F.length("a"), F.length("b")) - 1e-9
-    near = F.abs(F.col("ata") - F.col("atb")) <= F.least("ka", "kb")
-    met = first(a, "a").join(first(b, "b"), "g").filter(length & near).select("a", "b")
+    c = F.col
+    side = lambda df, o: cut(spread(df.select(c(o)).filter(f"{o} <> ''").distinct()).withColumn("n", F.length(o)))
+    both = (side(left, "a"), side(right, "b"))
+    a, b = (df.drop("n") for df in both)
+    shortest, longest = both[1].agg(F.coalesce(F.min("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    least_of, most_of = F.ceil(least * c("n") - 1e-9).cast("int"), F.floor(c("n") / least + 1e-9).cast("int")
+    edits = lambda n: F.floor((1 - least) * n + 1e-9).cast("int")
+    at = lambda j: F.floor(j * c("nb") / (c("k") + 1)).cast("int")
+    j, by, start = c("j"), c("n") - c("nb"), at(c("j"))
+    low, high = F.greatest(least_of, F.lit(shortest)), F.least(most_of, F.lit(longest))
+    asks = both[0].filter(low <= high).select("a", "n", F.explode(F.sequence(low, high)).alias("nb")).withColumn("k", edits(F.greatest("n", "nb"))).withColumn("j", F.explode(F.sequence(F.lit(0), c("k"))))
+    asks = asks.withColumns({"size": at(j + 1) - start, "low": F.greatest(start + F.greatest(-j, by - c("k") + j), F.lit(0)), "high": start + F.least(j, by + c("k") - j)})
+    asks = asks.withColumn("high", F.least("high", c("n") - c("size"))).filter("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
+    asks = asks.select("a", "nb", "k", "j", c("a").substr(c("at") + 1, c("size")).alias("piece"))
+    gives = both[1].select("b", c("n").alias("nb"), F.explode(F.array_distinct(F.transform(F.sequence(least_of, most_of), lambda n: edits(F.greatest(n, c("n")))))).alias("k")).withColumn("j", F.explode(F.sequence(F.lit(0), c("k"))))
+    gives = gives.select("b", "nb", "k", "j", c("b").substr(start + 1, at(j + 1) - start).alias("piece"))
+    met = asks.join(gives, ["nb", "k", "j", "piece"]).select("a", "b")
     begins = lambda df, c, o: df.select(c, F.explode(F.transform(F.sequence(F.lit(4), F.greatest(F.length(c), F.lit(4))), lambda i: F.col(c).substr(F.lit(1), i))).alias(o))
     shorter = begins(a, "a", "b").filter("length(b) >= 4").join(b, "b").select("a", "b").unionByName(begins(b, "b", "a").filter("length(a) >= 4").join(a, "a").select("a", "b")) if least <= 0.8 else met.limit(0)
-    return met.unionByName(shorter).distinct().withColumn("s", alike(F.col("a"), F.col("b"))).filter(F.col("s") >= least)
+    # words may meet by several pieces: those that are alike are few
+    return met.unionByName(shorter).withColumn("s", alike(F.col("a"), F.col("b"))).filter(F.col("s") >= least).distinct()
 
 
 def supported_pairs(lines: DataFrame, products: DataFrame, line: str, words: str, product: str, required: str, called: str, least: float, weak: float) -> DataFrame:
@@ -59,21 +57,25 @@ def supported_pairs(lines: DataFrame, products: DataFrame, line: str, words: str
     u = lines.select(line, F.explode(F.array_distinct(words)).alias("a"))
     v = products.select(product, F.explode(F.array_distinct(required)).alias("b"))
     w = products.filter(F.size(required) == 0).select(product, F.explode(F.array_distinct(called)).alias("b"))
-    close = alike_words(u, v.select("b").unionByName(w.select("b")), weak)
-    supports = u.join(close, "a").groupBy(line, "b").agg(F.max("s").alias("s"))
+    close = cut(alike_words(u, v.select("b").unionByName(w.select("b")), weak))
+    # written, as what a line supports is looked at in four ways
+    supports = cut(u.join(close, "a").groupBy(line, "b").agg(F.max("s").alias("s")))
     loose = supports.join(w, "b").select(line, product).distinct()
     sure = supports.filter(F.col("s") >= least).select(line, "b")
     of_line = sure.groupBy(line).agg(F.sort_array(F.collect_set("b")).alias("has"))
     how_many = sure.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     ranked = v.join(how_many, "b", "left").groupBy(product).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "b"))).alias("x"))
     possible = ranked.filter(~F.exists("x", lambda x: x["n"] == 0))
-    rarest = F.transform(F.slice("x", 1, 2), lambda x: x["b"])
-    asked = possible.select(product, F.transform("x", lambda x: x["b"]).alias("needs"), F.array_join(F.sort_array(rarest), " ").alias("key"), F.size(rarest).alias("k"))
-    two = F.flatten(F.transform("has", lambda x, i: F.transform(F.slice("has", i + 2, F.size("has")), lambda y: F.concat_ws(" ", x, y))))
-    # only the keys that some product asks for are kept of a line's
-    wanted = asked.select("key").distinct()
-    offers = of_line.select(line, "has", F.explode(F.concat("has", two)).alias("key")).join(wanted, "key", "left_semi")
-    met = offers.join(asked, "key").filter(F.size(F.array_except("needs", "has")) == 0).select(line, product)
+    # a key stands for one word or two; of what meets by it the words themselves are looked at
+    key = lambda x, y=None: F.xxhash64(x) if y is None else F.xxhash64(x, y)
+    rarest = F.sort_array(F.transform(F.slice("x", 1, 2), lambda x: x["b"]))
+    asked = cut(possible.select(product, F.transform("x", lambda x: x["b"]).alias("needs"), rarest.alias("rarest")).select(product, "needs", F.when(F.size("rarest") == 1, key(F.get("rarest", F.lit(0)))).otherwise(key(F.get("rarest", F.lit(0)), F.get("rarest", F.lit(1)))).alias("key")))
+    # only the keys that some product asks for are kept of a line's; its words don't go with each of them
+    has = cut(spread(of_line))
+    one = has.select(line, F.explode("has").alias("x"), "has")
+    offers = one.select(line, key(c("x")).alias("key")).unionByName(one.select(line, "x", F.explode("has").alias("y")).filter("x < y").select(line, key(c("x"), c("y")).alias("key")))
+    offers = offers.join(asked.select("key").distinct(), "key", "left_semi")
+    met = offers.join(asked, "key").join(has, line).filter(F.size(F.array_except("needs", "has")) == 0).select(line, product)
     return loose.unionByName(met).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import numbers as N
+from basketry.operators.durable import spread as spread
 
 #: All that depends on the time of day is asked as of this moment.
 AS_OF = "1998-09-01 12:00:00"
@@ -15,11 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores, before work that a row costs much: a small file of many rows is read by one or two tasks."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Receipt items: a line of an order with its receipt, product and retailer; the columns named, or all.
 

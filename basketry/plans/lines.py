@@ -10,6 +10,7 @@ from basketry.functions import names as M
 from basketry.functions import receipts as P
 from basketry.functions import vocabulary as V
 from basketry.operators import relational as R
+from basketry.operators.durable import cut
 from basketry.plans.fixtures import spread, table
 from basketry.plans.grocery import GOODS_SQL, goods
 
@@ -75,14 +76,16 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue of names of three words: what documents begin with; id and pack of the first of each name."""
-    w = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,12}"), F.lit(0)), 1, 3)
+    # up to the third word, as a name needs no word behind it; a text of fewer has none
+    begins = F.regexp_extract("text", "(?s)^(?>.*?[A-Za-z]{4,12}){3}", 0)
+    w = F.slice(F.regexp_extract_all(begins, F.lit("[A-Za-z]{4,12}"), F.lit(0)), 1, 3)
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", w.alias("w")).filter("size(w) = 3")
     return rows.groupBy("w").agg(F.min("doc_id").alias("id"), F.concat(F.min("n_chars").cast("string"), F.lit("g")).alias("pack")).withColumn("name", F.array_join("w", " "))
 
 
 def recognised_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as a scanner reads them, with a letter lost and the pack behind or without it, against the catalogue of all names."""
-    titles = _titles(spark, sf_dir)
+    titles = cut(_titles(spark, sf_dir))
     first = F.get("w", F.lit(0))
     lost = F.concat(F.substring(first, 1, 1), F.substring(first, 3, 20))
     read = F.upper(F.concat_ws(" ", lost, F.array_join(F.slice("w", 2, 2), " "), "pack"))

@@ -83,3 +83,10 @@ def test_filling_sends_nothing_to_the_driver(spark):
     from basketry.plans import queries
 
     assert "Broadcast" not in queries()["filled_products"][0](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recognised_products_take_words_from_texts_once(spark):
+    from basketry.plans import queries
+
+    plan = queries()["recognised_products"][0](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "levenshtein" not in plan
