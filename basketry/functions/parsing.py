@@ -115,19 +115,24 @@ def regions(lines: DataFrame, key: str, number: str, text: str) -> DataFrame:
     c = F.col
     w = Window.partitionBy(key).orderBy(number, "t")
     rows = lines.select(c(key), c(number), line_text(c(text)).alias("t")).filter("t <> ''")
-    count, last, _ = last_amount(c("t"))
-    rows = rows.withColumns({"i": F.row_number().over(w) - 1, "n": count, "last": last, "next": F.lead("t").over(w), "second": F.lead("t", 2).over(w)})
-    counted = says(c("t"), PHOTO_COUNT) & (says(c("next"), PHOTO_SUM) | says(c("second"), PHOTO_SUM))
-    has = c("next").rlike(MONEY) & ~says(c("next"), PHOTO_PAYMENT)
-    total = F.coalesce(counted, F.lit(False)) | F.coalesce(says(c("t"), PHOTO_TOTAL) & ~says(c("t"), PHOTO_GST) & ((c("n") > 0) | has), F.lit(False))
-    at = lambda p: F.min(F.when(p, c("i")))
-    marks = rows.groupBy(key).agg(at(total).alias("total"), F.count(F.lit(1)).alias("lines"), at(says(c("t"), r"^description\b")).alias("heading"), at(says(c("t"), TRANSACTION)).alias("transaction"), F.max(says(c("t"), r"\bwoolworths\b")).alias("theirs"))
-    ends = marks.select(key, "heading", F.when(c("theirs"), c("transaction")).alias("transaction"), F.coalesce("total", "lines").alias("end"))
+    # all that a line says by itself is taken from it before lines are dealt and sorted, once; a line's place and its neighbours' marks are windows of that order
     above = F.size(F.filter(F.transform(F.regexp_extract_all("t", F.lit(f"({MONEY})"), F.lit(1)), money), lambda v: v > 0)) > 0
-    priced = above & c("t").rlike("(?i)[a-z]{2,}") & ~says(c("t"), PHOTO_HEADER, PHOTO_SUMMARY, PHOTO_PAYMENT, PHOTO_PROMOTION)
-    packed = says(c("t"), PHOTO_PACK) & c("t").rlike("(?i)[a-z]{3,}") & ~says(c("t"), PHOTO_HEADER, PHOTO_SUMMARY)
-    inside = rows.join(ends.select(key, "end"), key).filter("i < end")
-    found = followed(inside, [key], [c("i")], priced, priced | says(c("t"), PHOTO_QUANTITY, PHOTO_PROMOTION), 3, packed, 3)
+    rows = rows.withColumns({"money": c("t").rlike(MONEY), "pay": says(c("t"), PHOTO_PAYMENT), "head": says(c("t"), PHOTO_HEADER, PHOTO_SUMMARY), "promotion": says(c("t"), PHOTO_PROMOTION)})
+    rows = rows.withColumns({
+        "count": says(c("t"), PHOTO_COUNT), "sum": says(c("t"), PHOTO_SUM), "says": says(c("t"), PHOTO_TOTAL) & ~says(c("t"), PHOTO_GST), "has": c("money") & ~c("pay"),
+        "heading": says(c("t"), r"^description\b"), "transaction": says(c("t"), TRANSACTION), "theirs": says(c("t"), r"\bwoolworths\b"),
+        "priced": c("money") & ~c("head") & ~c("pay") & ~c("promotion") & c("t").rlike("(?i)[a-z]{2,}") & above, "packed": ~c("head") & says(c("t"), PHOTO_PACK) & c("t").rlike("(?i)[a-z]{3,}"), "goes": c("promotion") | says(c("t"), PHOTO_QUANTITY),
+    })
+    rows = rows.drop("pay", "head", "promotion")
+    ahead = lambda x, n=1: F.lead(x, n, False).over(w)
+    total = (c("count") & (ahead("sum") | ahead("sum", 2))) | (c("says") & (c("money") | ahead("has")))
+    rows = rows.withColumns({"i": F.row_number().over(w) - 1, "total": total})
+    at = lambda p: F.min(F.when(p, c("i")))
+    all_ = Window.partitionBy(key)
+    rows = rows.withColumn("end", F.coalesce(at(c("total")).over(all_), F.count(F.lit(1)).over(all_)))
+    inside = c("i") < c("end")
+    told = [F.first("end").alias("end"), at(c("heading")).alias("heading"), F.when(F.max("theirs"), at(c("transaction"))).alias("transaction")]
+    ends = followed(rows, [key], [c(number), c("t")], inside & c("priced"), inside & (c("priced") | c("goes")), 3, inside & c("packed"), 3, *told)
     start = F.coalesce(c("heading") + 1, c("transaction") + 1, "start", "end")
     by = F.when(c("heading").isNotNull(), "heading").when(c("transaction").isNotNull(), "transaction").when(c("start").isNotNull(), "merchandise").otherwise("none")
-    return ends.join(found, key, "left").select(key, start.cast("int").alias("start"), c("end").cast("int").alias("end"), by.alias("mark"))
+    return ends.select(key, start.cast("int").alias("start"), c("end").cast("int").alias("end"), by.alias("mark"))

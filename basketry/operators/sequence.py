@@ -6,6 +6,8 @@ All windows of a step have one partitioning and one order, so rows are dealt and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,21 +38,23 @@ def section(df: DataFrame, keys: list[str], order: list[Column], begins: Column,
     return df.withColumn("__over", over).filter("__in = 1 and __over = 0").drop("__in", "__over")
 
 
-def followed(df: DataFrame, keys: list[str], order: list[Column], marks: Column, follows: Column, ahead: int, belongs: Column, behind: int) -> DataFrame:
+def followed(df: DataFrame, keys: list[str], order: list[Column], marks: Column, follows: Column, ahead: int, belongs: Column, behind: int, *told: Column) -> DataFrame:
     """Per key: first, the number of the first row that marks and within so many rows ahead has one that follows; and start, from which
-    rows that belong lead up to it without a gap, so many at most.  Rows are numbered from 0; a key without such a row has none.
+    rows that belong lead up to it without a gap, so many at most.  Rows are numbered from 0; a key without such a row has none,
+    unless aggregates are told besides: then each key has a row, with these.
 
-    Both frames are bounded, so a row looks at a few others whatever the key holds.
+    A row looks at a few others whatever the key holds.
     """
     running = Window.partitionBy(*keys).orderBy(*order)
-    next_, last = running.rowsBetween(1, ahead), running.rowsBetween(-behind, -1)
-    df = df.withColumns({"__marks": marks, "__follows": follows, "__belongs": belongs})
-    near = F.coalesce(F.max(F.col("__follows").cast("int")).over(next_), F.lit(0)) == 1
-    run = F.array_position(F.reverse(F.collect_list(F.col("__belongs").cast("int")).over(last)), 0)
-    room = F.count(F.lit(1)).over(last)
-    df = df.withColumns({"__number": F.row_number().over(running) - 1, "__hit": F.coalesce(F.col("__marks") & near, F.lit(False)), "__run": F.when(run > 0, run - 1).otherwise(room)})
+    mark = lambda x: F.coalesce(x, F.lit(False))
+    df = df.withColumns({"__marks": mark(marks), "__follows": mark(follows), "__belongs": mark(belongs)})
+    near = reduce(or_, [F.lead("__follows", i, False).over(running) for i in range(1, ahead + 1)])
+    run = F.coalesce(*[F.when(~F.lag("__belongs", i, False).over(running), i - 1) for i in range(1, behind + 1)], F.lit(behind))
+    df = df.withColumns({"__number": F.row_number().over(running) - 1, "__hit": F.col("__marks") & near, "__run": run})
     hit = F.min(F.when(F.col("__hit"), F.struct("__number", "__run")))
-    return df.groupBy(*keys).agg(hit.alias("__first")).filter("__first is not null").select(*keys, F.col("__first.__number").alias("first"), (F.col("__first.__number") - F.col("__first.__run")).cast("int").alias("start"))
+    found = df.groupBy(*keys).agg(hit.alias("__first"), *told)
+    found = found if told else found.filter("__first is not null")
+    return found.select(*[c for c in found.columns if c != "__first"], F.col("__first.__number").alias("first"), (F.col("__first.__number") - F.col("__first.__run")).cast("int").alias("start"))
 
 
 def last_before(df: DataFrame, key: str, at: str, value: Column, out: str, blocks: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import parsing as P
-from basketry.plans.fixtures import table
+from basketry.plans.fixtures import spread, table
 
 
 def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,8 @@ def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     cents = F.floor(c("l_extendedprice") * 100 + 0.5)
     amount = lambda x: F.concat(F.floor(x / 100).cast("string"), F.lit("."), F.lpad((x % 100).cast("string"), 2, "0"))
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
+    told = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = spread(told).join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
     rows = rows.select(c("l_suppkey").alias("r"), (c("l_orderkey") * 1000 + c("l_linenumber") * 10).alias("num"), c("p_name").alias("name"), amount(cents).alias("price"), amount(F.floor(cents / c("l_quantity"))).alias("unit"), c("l_quantity").cast("int").cast("string").alias("q"), ((c("l_quantity") + c("l_linenumber")) % 10).cast("int").alias("form"))
     cat = lambda *x: F.concat(*[c(v[1:]) if v.startswith("$") and len(v) > 1 and v[1:].isalpha() else F.lit(v) for v in x])
     forms = [[cat(*line) for line in form] for form in FORMS]

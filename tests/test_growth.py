@@ -90,3 +90,11 @@ def test_recognised_products_take_words_from_texts_once(spark):
 
     plan = queries()["recognised_products"][0](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "levenshtein" not in plan
+
+
+def test_regions_read_and_deal_their_lines_once(spark):
+    from basketry.plans import queries
+
+    plan = queries()["receipt_regions"][0](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    # no join but that of the order lines with the products
+    assert plan.count("Join ") == 1
