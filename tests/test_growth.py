@@ -98,3 +98,12 @@ def test_regions_read_and_deal_their_lines_once(spark):
     plan = queries()["receipt_regions"][0](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     # no join but that of the order lines with the products
     assert plan.count("Join ") == 1
+
+
+def test_words_with_pairs_of_letters_that_come_again_meet(spark):
+    from basketry.operators.fuzzy import alike_words
+
+    told = [("rrrr", "rarr"), ("ieie", "geie"), ("vioi", "oioi"), ("ingonon", "ononon"), ("eanonan", "ananan"), ("tzte", "tete")]
+    words = spark.createDataFrame(told, "a string, b string")
+    found = {(x.a, x.b) for x in alike_words(words.select("a"), words.select("b"), 0.69).collect()}
+    assert set(told) <= found
