@@ -14,6 +14,8 @@ ARROW_ROWS = 400
 ARROW_BYTES = 8 << 20
 #: Bytes of text that one hash bucket of an exchange is meant to hold.
 BUCKET_BYTES = 20_000_000
+#: Spark's setting to remove a query's shuffle files as soon as it ends, not when the driver happens to collect its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage durably."""
+    """df, written as Parquet to the shared folder and read again: cuts the lineage durably.
+
+    What was shuffled for it goes when it is written: disk holds one step's exchanges, not those of all steps before.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
