@@ -128,7 +128,12 @@ def fit(examples: DataFrame, rows: int = SAMPLE, seed: int = 7) -> Model:
     raw_ids, raw_shares = found.column("ids"), found.column("shares")
     ids = [np.frombuffer(raw_ids[int(i)].as_py(), np.int32) for i in order]
     shares = [np.frombuffer(raw_shares[int(i)].as_py(), np.float32) for i in order]
-    return train(ids, shares, y, seed)
+    del found, raw_ids, raw_shares
+    model = train(ids, shares, y, seed)
+    # the driver goes on to other steps
+    del ids, shares
+    ts.released()
+    return model
 
 
 def train(ids: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, seed: int) -> Model:

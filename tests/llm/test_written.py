@@ -2,6 +2,7 @@
 
 import time
 
+from basketry.llm import quality
 from basketry.llm.common import written
 
 
@@ -20,3 +21,11 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert files() <= before
     assert table.count() == 50_000
     assert spark.conf.get(setting) == was
+
+
+def test_what_a_fit_took_of_the_drivers_memory_is_given_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(quality.ts, "released", lambda: calls.append(1))
+    rows = [(i, i % 2, ("good plain words here " if i % 2 else "zz qq ") * 5) for i in range(40)]
+    quality.fit(spark.createDataFrame(rows, "__k long, __y int, __text string"))
+    assert calls
