@@ -13,7 +13,8 @@ A signature that few sets share gives all their pairs.  One that many share give
 around a second one.  What stars leave apart is found in three steps, each without loss: signatures whose sets are all
 in one component by now are done; a set that has fewer of the others than ``need`` can't lose a link; and the sets that
 remain are joined by their rarest elements, between components only, each component's sets against those of the lesser
-ones.  Pairs found by fewer signatures than any link shares are dropped; each of the others is verified on the sets.
+ones.  That goes in rounds: one link joins a set to a component, so a set meets a few sets of a large component first, and all
+of them only if it has no link with these.  Pairs found by fewer signatures than any link shares are dropped; each of the others is verified on the sets.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ FILTER_BITS = 1 << 28
 BATCH = 1 << 20
 #: Elements of a set that a row of it carries to see whether a pair was made before: what is written grows with a set's size, not its square.
 BEFORE = 64
+#: What stars leave apart meets one in so many sets of a component that has more than LARGE, then more of them, then all.
+ROUNDS = (16, 4, 1)
+LARGE = 200
 #: Names of sets that a task remembers to have signed.
 SIGNED = 500_000
 
@@ -362,41 +366,59 @@ def _second_star(open_: DataFrame, threshold: Fraction) -> DataFrame:
     return counted.filter("4 * n >= q").select("x", "y").distinct()
 
 
-def _rarest(sets: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs x < y of the nodes' sets (node, label) in different components that share one of the rarest elements of each.
+def _part(size: Column, up: int, of: int) -> Column:
+    """How many of a set's first elements one of a share up / of of them must be among."""
+    return size - F.floor((size * up + of - 1) / of) + 1
+
+
+def _beginnings(sets: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """The rarest elements of each of the nodes' sets: node, size, e, place p and the elements before it.
 
     Of sets with similarity t, each has a share t of its elements in common with the other at least, and the smaller one a
     share 2t / (1 + t), so they meet in the first size - ceil(share * size) + 1 elements of any one order.  With rare
-    elements first, what a set has for itself fills its beginning, and a passage that many sets hold comes last.  For each
-    element, the sets of the component that has most of them meet those of the other components only; a pair is made
-    at the first element that both have, as far as the BEFORE elements ahead of each tell.
+    elements first, what a set has for itself fills its beginning, and a passage that many sets hold comes last.
     """
-    num, den = threshold.numerator, threshold.denominator
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, size, label, raw in zip(*batch.columns, strict=True):
+            for node, size, raw in zip(*batch.columns, strict=True):
                 mine = np.frombuffer(raw.as_buffer(), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), x.as_py(), t)) for x, t in ((node, np.int64), (size, np.int32), (label, np.int64))] + [pa.array(mine)], ["node", "size", "label", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), x.as_py(), t)) for x, t in ((node, np.int64), (size, np.int32))] + [pa.array(mine)], ["node", "size", "e"])
 
-    own = sets.join(nodes, sets["name"] == nodes["node"]).select("node", "size", "label", "elements")
-    parts = written(own.mapInArrow(ts.thrifty(emit), "node long, size int, label long, e long"))
+    own = sets.join(nodes, sets["name"] == nodes["node"]).select("node", "size", "elements")
+    parts = written(own.mapInArrow(ts.thrifty(emit), "node long, size int, e long"))
     ranked = parts.join(parts.groupBy("e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("node").orderBy("f", "e"))
+    first = ranked.withColumn("p", place).filter(F.col("p") <= _part(F.col("size"), threshold.numerator, threshold.denominator)).filter("f > 1")
+    return written(first.withColumn("before", F.collect_list("e").over(Window.partitionBy("node").orderBy("p").rowsBetween(-BEFORE, -1))).select("node", "size", "e", "p", "before"))
+
 
-    def part(size: Column, up: int, of: int) -> Column:
-        return size - F.floor((size * up + of - 1) / of) + 1
+def _rarest(beginnings: DataFrame, nodes: DataFrame, threshold: Fraction, one_in: int = 1) -> DataFrame:
+    """Pairs x < y of nodes (node, label) in different components that share one of the rarest elements of each.
 
-    first = ranked.withColumn("p", place).filter(F.col("p") <= part(F.col("size"), num, den)).filter("f > 1")
-    first = written(first.withColumn("before", F.collect_list("e").over(Window.partitionBy("node").orderBy("p").rowsBetween(-BEFORE, -1))).select("node", "size", "label", "e", "p", "before"))
-    blocks = first.groupBy("e", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("e").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("e", "main")
+    For each element, the sets of the component that has most of them meet those of the other components only; a pair is made
+    at the first element that both have, as far as the BEFORE elements ahead of each tell.
+
+    one_in: with more than 1, of components of more than LARGE nodes only one node in so many counts, by a hash of its name, and only pairs with these
+    are made; what has no element of theirs is left out at once.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    if one_in > 1:
+        large = nodes.groupBy("label").count().filter(F.col("count") > LARGE).select("label", F.lit(1).alias("large"))
+        nodes = written(nodes.join(large, "label", "left").withColumn("large", F.coalesce("large", F.lit(0))).filter((F.col("large") == 0) | (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(one_in)) == 0)))
+        theirs = beginnings.join(nodes.filter("large = 1"), "node", "left_semi").select("e").distinct()
+        beginnings = beginnings.join(theirs, "e", "left_semi")
+    else:
+        nodes = nodes.withColumn("large", F.lit(0))
+    first = written(beginnings.join(nodes, "node"))
+    blocks = first.groupBy("e", "label", "large").agg(F.count(F.lit(1)).alias("n")).groupBy("e").agg(F.max_by("label", F.struct("large", "n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("e", "main")
     # written, so that Spark can split the join below where many sets have an element
     tagged = written(first.join(blocks, "e"))
     of = lambda df, c: df.select(F.col("node").alias(c), "e", F.col("main").alias(f"m{c}"), F.col("label").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("p").alias(f"p{c}"), F.col("before").alias(f"b{c}"))
-    x, y = of(tagged.filter("label <> main"), "x"), of(tagged, "y")
+    x, y = of(tagged.filter("label <> main"), "x"), of(tagged.filter("large = 1 and label = main") if one_in > 1 else tagged, "y")
     near = F.greatest("sx", "sy") * num <= F.least("sx", "sy") * den
     once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
-    early = F.when(F.col("sx") <= F.col("sy"), F.col("px") <= part(F.col("sx"), 2 * num, num + den)).otherwise(F.col("py") <= part(F.col("sy"), 2 * num, num + den))
+    early = F.when(F.col("sx") <= F.col("sy"), F.col("px") <= _part(F.col("sx"), 2 * num, num + den)).otherwise(F.col("py") <= _part(F.col("sy"), 2 * num, num + den))
     # from the first element in common on, neither set may have fewer elements left than a link has in common
     left = F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) + 1
     met_first = near & once & early & (left * (num + den) >= (F.col("sx") + F.col("sy")) * num) & ~F.arrays_overlap("bx", "by")
@@ -441,8 +463,17 @@ def _labels(texts: DataFrame, rows: DataFrame, found: DataFrame, n: int, limit:
     if not again.isEmpty():
         labels = _joined(labels, again)
         open_ = written(_open(posts, labels))
-    apart = open_.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("q"), F.max("label").alias("label")).filter("n >= q").select("node", "label").distinct()
-    more = written(_verified(sets, written(_rarest(sets, apart, limit)), limit))
+    beginnings = None
+    for one_in in ROUNDS:
+        apart = written(open_.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("q"), F.max("label").alias("label")).filter("n >= q").select("node", "label").distinct())
+        if one_in > 1 and (apart.groupBy("label").count().agg(F.max("count")).first()[0] or 0) <= LARGE:
+            continue
+        # later rounds have no other nodes than the first, and any one order of the elements does
+        beginnings = _beginnings(sets, apart.select("node"), limit) if beginnings is None else beginnings
+        more = written(_verified(sets, written(_rarest(beginnings, apart, limit, one_in)), limit))
+        if one_in > 1 and not more.isEmpty():
+            labels = _joined(labels, more)
+            open_ = written(_open(posts, labels))
     return labels if more.isEmpty() else _joined(labels, more)
 
 
