@@ -14,12 +14,13 @@ around a second one.  What stars leave apart is found in three steps, each witho
 in one component by now are done; a set that has fewer of the others than ``need`` can't lose a link; and the sets that
 remain are joined by their rarest elements, between components only, each component's sets against those of the lesser
 ones.  That goes in rounds: one link joins a set to a component, so a set meets a few sets of a large component first, and all
-of them only if it has no link with these.  Pairs found by fewer signatures than any link shares are dropped; each of the others is verified on the sets.
+of them only if it has no link with these.  Pairs found by fewer signatures than any link shares are dropped; of each of the others a byte an element is
+compared first, which gives no less in common than there is, and what may reach the threshold by that is verified on the sets, unless its ends are in one component by then.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -48,6 +49,8 @@ ROUNDS = (16, 4, 1)
 LARGE = 200
 #: Names of sets that a task remembers to have signed.
 SIGNED = 500_000
+#: How many places the brief form of a set has for each element, at least: steps between them fit a byte then, but for a few.
+SPARSE = 64
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -220,14 +223,15 @@ def _found(texts: DataFrame, n: int, threshold: Fraction, buckets: int, key: int
                 # five bytes and the bucket tell signatures apart; what they confuse is verified away
                 short = np.ascontiguousarray(signs[pick[by]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
                 whose = mine % len(sizes)
-                about_them = np.stack([np.bincount(slot, minlength=len(mine)), sizes[whose], groups[mine], needs[mine]]).astype("<u4")
+                # low bytes first, then the next ones: those that are all 0 are compressed away
+                about_them = np.stack([np.bincount(slot, minlength=len(mine)), sizes[whose], groups[mine], needs[mine]]).astype("<u4").view(np.uint8).reshape(-1, 4).T
                 yield pa.RecordBatch.from_arrays([pa.array([int(bucket[pick[0]])], pa.int32()), pa.array([short.tobytes()], pa.binary()), pa.array([names[whose].astype("<i8").tobytes()], pa.binary()), pa.array([about_them.tobytes()], pa.binary())], ["bucket", "signs", "names", "about"])
 
     def meet(group: pa.Table) -> pa.Table:
         signs = np.zeros((sum(len(x.as_py()) for x in group.column("signs")) // 5, 8), np.uint8)
         signs[:, :5] = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint8).reshape(-1, 5)
         names = np.frombuffer(b"".join(group.column("names").to_pylist()), "<i8")
-        about = np.concatenate([np.frombuffer(x, "<u4").reshape(4, -1) for x in group.column("about").to_pylist()], axis=1).astype(np.int64)
+        about = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").reshape(4, -1) for x in group.column("about").to_pylist()], axis=1).astype(np.int64)
         first = int(group.column("bucket")[0].as_py()) << 40
         return met(signs.view("<i8").ravel() + first, np.repeat(np.arange(len(names)), about[0]), names, *about[1:], (num, den))
 
@@ -296,8 +300,34 @@ def _likely(found: DataFrame) -> DataFrame:
     return pairs.join(of("x"), ["x", "grp"], "left").join(of("y"), ["y", "grp"], "left").filter(F.col("n") + hidden >= F.greatest("qx", "qy")).select("x", "y").distinct()
 
 
+def brief(elements: np.ndarray) -> bytes:
+    """A byte an element, about: the steps between the elements' places, in order, among SPARSE to 2 * SPARSE places an element; a step of 255 or more has bytes of 255 before it."""
+    bits = (SPARSE * max(1, len(elements)) - 1).bit_length()
+    steps = np.diff(np.sort(ts.mix(elements) >> np.uint64(64 - bits)).astype(np.int64), prepend=0)
+    at = np.cumsum(steps // 255 + 1) - 1
+    out = np.full(int(at[-1]) + 1 if len(at) else 0, 255, np.uint8)
+    out[at] = steps % 255
+    return out.tobytes()
+
+
+def places(raw: np.ndarray) -> np.ndarray:
+    """The places that brief tells of, in order."""
+    return np.cumsum(raw.astype(np.int64))[raw != 255]
+
+
+def most_common(one: np.ndarray, other: np.ndarray) -> tuple[int, int]:
+    """How many elements two sets of these places have, and in common at most: what differs may share a place, what is equal does."""
+    small = min(len(one), len(other))
+    bits = [(SPARSE * max(1, len(x)) - 1).bit_length() for x in (one, other)]
+    one, other = (x >> max(0, b - min(bits)) for x, b in zip((one, other), bits, strict=True))
+    both = np.concatenate([one, other])
+    both.sort(kind="stable")
+    # a place that one set has several times and the other too counts for each pair of neighbours: no less than the lesser count
+    return len(both), min(small, int((both[1:] == both[:-1]).sum()))
+
+
 def _elements(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, key: int) -> DataFrame:
-    """The nodes' sets: name, size, elements (64-bit hashes).  Texts that no node has, by a filter, aren't cut into words."""
+    """The nodes' sets: name, size, elements (64-bit hashes) and their brief form.  Texts that no node has, by a filter, aren't cut into words."""
     by_text = _filter(rows.select(F.col("__set").alias("node"), "__hash").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("__hash").alias("h")), "h")
     by_set = _filter(nodes, "node")
 
@@ -314,31 +344,67 @@ def _elements(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, key:
             edge = np.concatenate([[0], np.cumsum(sizes)])
             for low in range(0, len(one), 200):
                 part = one[low : low + 200]
-                yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(sizes[part], pa.int32()), pa.array([hashes[edge[i] : edge[i + 1]].tobytes() for i in part], pa.binary())], ["name", "size", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(sizes[part], pa.int32()), pa.array([hashes[edge[i] : edge[i + 1]].tobytes() for i in part], pa.binary()), pa.array([brief(hashes[edge[i] : edge[i + 1]]) for i in part], pa.binary())], ["name", "size", "elements", "brief"])
 
-    made = texts.mapInArrow(ts.thrifty(emit), "name long, size int, elements binary")
+    made = texts.mapInArrow(ts.thrifty(emit), "name long, size int, elements binary, brief binary")
     return made.join(nodes, made["name"] == nodes["node"], "left_semi").dropDuplicates(["name"])
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs x, y whose sets reach the threshold."""
+def _compared(sets: DataFrame, pairs: DataFrame, column: str, reaches: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """The pairs x, y of sets whose bytes in the column reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            good = []
-            for i in range(batch.num_rows):
-                r, s = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([r, s]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(common * threshold.denominator >= threshold.numerator * (len(both) - common))
+            good = [reaches(np.frombuffer(a[i].as_buffer(), np.uint8), np.frombuffer(b[i].as_buffer(), np.uint8)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    left = pairs.select("x", "y").join(sets.select(F.col("name").alias("x"), F.col("elements").alias("a")), "x")
-    both = left.join(sets.select(F.col("name").alias("y"), F.col("elements").alias("b")), "y")
+    # sets of no pair aren't sent
+    of = lambda c, d: sets.join(pairs.select(F.col(c).alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias(c), F.col(column).alias(d))
+    both = pairs.select("x", "y").join(of("x", "a"), "x").join(of("y", "b"), "y")
     return both.select("x", "y", "a", "b").mapInArrow(ts.thrifty(check), "x long, y long")
 
 
+def _near(sets: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs x, y that may reach the threshold by the brief form of their sets."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def reaches(a: np.ndarray, b: np.ndarray) -> bool:
+        total, common = most_common(places(a), places(b))
+        return common * den >= num * (total - common)
+
+    return _compared(sets, pairs, "brief", reaches)
+
+
+def _exact(sets: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs x, y whose sets reach the threshold."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def reaches(a: np.ndarray, b: np.ndarray) -> bool:
+        both = np.sort(np.concatenate([a.view(np.uint64), b.view(np.uint64)]), kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return common * den >= num * (len(both) - common)
+
+    return _compared(sets, pairs, "elements", reaches)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links among the pairs x < y, enough of them to join all that the links among the pairs join.
+
+    Where many pairs come near the threshold, one pair of each set is verified first, and of the others those between the components that these make.
+    """
+    near = written(_near(sets, pairs, threshold))
+    first = written(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"))
+    if near.count() <= 2 * first.count():
+        return _exact(sets, near, threshold)
+    links = written(_exact(sets, first, threshold))
+    labels = components(links)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"c{c}"))
+    ends = near.join(first, ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left")
+    apart = written(ends.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y"))
+    return links.unionByName(_exact(sets, apart, threshold))
+
+
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (node, label) after these edges too: components of the labels that they join."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"c{c}"))
