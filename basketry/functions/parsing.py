@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -35,9 +38,24 @@ PHOTO_QUANTITY, PHOTO_PACK = r"^(?:qty\s+)?\d+(?:\.\d+)?\s*@", r"\b\d+(?:\.\d+)?
 TRANSACTION = r"\bpos\b.*\btrans\b"
 
 
+def _alone(pattern: str) -> bool:
+    """Whether a pattern is one alternative, so that what stands before it holds for all of it."""
+    bare = re.sub(r"\\.|\[[^\]]*\]", "", pattern)
+    return "|" not in "".join(x for x, depth in zip(bare, accumulate((x == "(") - (x == ")") for x in bare), strict=True) if depth == 0)
+
+
+def either(patterns: tuple[str, ...]) -> str:
+    """One pattern for all: those that begin alike, at the start or at a word's edge, share that beginning, which most places of a text fail by."""
+    said = []
+    for begin in (r"^\s*", r"\b"):
+        rest = [p[len(begin):] for p in patterns if p.startswith(begin) and _alone(p)]
+        said += [begin + "(?:" + "|".join(f"(?:{p})" for p in rest) + ")"] if rest else []
+    return "|".join(said + [f"(?:{p})" for p in patterns if not (p.startswith((r"^\s*", r"\b")) and _alone(p))])
+
+
 def says(c: Column, *patterns: str) -> Column:
     """Whether a text has one of the patterns, in any case."""
-    return c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    return c.rlike("(?i)" + either(patterns))
 
 
 def line_text(c: Column) -> Column:
@@ -78,19 +96,21 @@ def purchases(lines: DataFrame, key: str, number: str, text: str) -> DataFrame:
     purchases has no rows.  Two lines of one number are taken in the order of their texts.
     """
     c, keys, order = F.col, [key], [F.col(number), F.col("__t")]
-    rows = lines.select(c(key), c(number), line_text(c(text)).alias("__t")).filter("__t <> ''")
-    rows = section(rows, keys, order, says(c("__t"), DESCRIPTION), says(c("__t"), SUMMARY, *HARD_STOPS) & ~says(c("__t"), DESCRIPTION)).filter(~says(c("__t"), DESCRIPTION, *SKIPPED))
+    rows = lines.select(c(key), c(number), line_text(c(text)).alias("__t")).filter("__t <> ''").withColumn("__head", says(c("__t"), DESCRIPTION))
+    rows = section(rows, keys, order, c("__head"), ~c("__head") & says(c("__t"), SUMMARY, *HARD_STOPS)).filter(~c("__head") & ~says(c("__t"), *SKIPPED)).drop("__head")
     count, last, before = last_amount(c("__t"))
-    amount, unit = F.regexp_extract("__t", "(?i)" + QUANTITY, 1).try_cast("double"), money(F.regexp_extract("__t", "(?i)" + QUANTITY, 2))
-    rows = rows.withColumns({"n": count, "last": last, "before": before, "amount": amount, "unit": unit})
+    rows = rows.withColumns({"n": count, "last": last, "before": before, "amount": F.regexp_extract("__t", "(?i)" + QUANTITY, 1).try_cast("double")})
+    rows = rows.withColumn("unit", F.when(c("amount").isNotNull(), money(F.regexp_extract("__t", "(?i)" + QUANTITY, 2))))
     kind = F.when(c("amount").isNotNull(), "quantity").when((c("n") > 0) & (c("before") == ""), "amount").when(c("n") > 0, "priced").when(~says(c("__t"), *IGNORED, PROMOTION) & c("__t").rlike("(?i)[a-z]"), "words").otherwise("other")
-    own = cleaned(c("before"))
-    rows = rows.withColumns({"kind": kind, "own": cleaned(own), "named": (own != "") & ~says(own, r"^qty\b") & saleable(cleaned(own))})
-    sold = lambda x: saleable(cleaned(cleaned(x))) & ~says(cleaned(x), r"^qty\b")
-    closes = lambda x: (c("kind") == "quantity") | ((c("kind") == "priced") & c("named")) | ((c("kind") == "amount") & sold(x))
-    rows = carried(rows, keys, order, F.when(c("kind") == "words", cleaned(c("__t"))), closes, "open")
-    waits = F.coalesce(c("open"), F.lit("")) != ""
-    description = F.when((c("kind") == "priced") & c("named"), c("own")).when((c("kind") == "amount") & waits & sold(c("open")), cleaned(cleaned(c("open")))).when((c("kind") == "quantity") & waits & saleable(cleaned(c("open"))), cleaned(c("open")))
+    # what a description is worth is found where it stands, once, and carried with it; each step is null for other kinds of lines
+    rows = rows.withColumn("kind", kind).withColumn("own", F.when(c("kind") == "priced", cleaned(c("before"))).when(c("kind") == "words", cleaned(c("__t"))))
+    rows = rows.withColumn("once", cleaned(c("own"))).withColumn("twice", F.when(c("kind") == "words", cleaned(c("once"))))
+    rows = rows.withColumn("fits", saleable(c("once")))
+    rows = rows.withColumns({"named": (c("kind") == "priced") & (c("own") != "") & c("fits") & ~says(c("own"), r"^qty\b"), "sold": F.when(c("kind") == "words", ~says(c("once"), r"^qty\b") & saleable(c("twice")))})
+    closes = lambda x: (c("kind") == "quantity") | c("named") | ((c("kind") == "amount") & x["sold"])
+    rows = carried(rows, keys, order, F.when(c("kind") == "words", F.struct("own", "once", "twice", "fits", "sold")), closes, "open")
+    waits = F.coalesce(c("open.own"), F.lit("")) != ""
+    description = F.when(c("named"), c("once")).when((c("kind") == "amount") & waits & c("open.sold"), c("open.twice")).when((c("kind") == "quantity") & waits & c("open.fits"), c("open.once"))
     total = F.when(c("kind") == "quantity", F.when(c("n") > 1, c("last")).otherwise(F.floor(c("amount") * c("unit") * 100 + 0.5) / 100)).otherwise(c("last"))
     rows = rows.withColumns({"description": description, "quantity": F.when(c("kind") == "quantity", c("amount")).otherwise(1.0), "price": total, "told": c("description").isNotNull() | ((c("kind") == "quantity") & ~waits)})
     place = F.count("description").over(_running(key, number))

@@ -19,7 +19,8 @@ def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(c("l_suppkey").alias("r"), (c("l_orderkey") * 1000 + c("l_linenumber") * 10).alias("num"), c("p_name").alias("name"), amount(cents).alias("price"), amount(F.floor(cents / c("l_quantity"))).alias("unit"), c("l_quantity").cast("int").cast("string").alias("q"), ((c("l_quantity") + c("l_linenumber")) % 10).cast("int").alias("form"))
     cat = lambda *x: F.concat(*[c(v[1:]) if v.startswith("$") and len(v) > 1 and v[1:].isalpha() else F.lit(v) for v in x])
     forms = [[cat(*line) for line in form] for form in FORMS]
-    said = F.element_at(F.array(*[F.array(*form) for form in forms]), c("form") + 1)
+    # a row makes the lines of its own form only
+    said = F.coalesce(*[F.when(c("form") == i, F.array(*form)) for i, form in enumerate(forms)])
     body = rows.select("r", "num", F.posexplode(said).alias("i", "line")).select("r", (c("num") + c("i")).alias("num"), "line")
     shops = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("r"))
     ends = F.array(*[F.struct(F.lit(n).cast("long").alias("num"), F.lit(t).alias("line")) for n, t in FRAME])

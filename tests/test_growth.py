@@ -107,3 +107,26 @@ def test_words_with_pairs_of_letters_that_come_again_meet(spark):
     words = spark.createDataFrame(told, "a string, b string")
     found = {(x.a, x.b) for x in alike_words(words.select("a"), words.select("b"), 0.69).collect()}
     assert set(told) <= found
+
+
+def test_a_description_is_cleaned_where_it_stands_and_carried(spark):
+    from basketry.functions import parsing as P
+
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(("Description $", "Tea bags", "2.50", "3 x Oat milk", "Qty 2 @ $1.25 each", "Rice 4.00", "TOTAL 9.00"))], "r int, num int, line string")
+    df = P.purchases(lines, "r", "num", "line")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(r"[^\p{L}\p{N}&'()\-/\s]") <= 4
+    assert sorted((r.place, r.description, r.quantity, r.price, r.confidence) for r in df.collect()) == [(1, "Tea bags", 1.0, 2.5, 96), (2, "Oat milk", 2.0, 2.5, 98), (3, "Rice", 1.0, 4.0, 96)]
+
+
+def test_patterns_that_share_their_beginning_say_the_same(spark):
+    import re
+
+    from basketry.functions import parsing as P
+
+    lists = ((P.SUMMARY, *P.HARD_STOPS), (*P.IGNORED, P.PROMOTION), P.SKIPPED, (P.PHOTO_PROMOTION, *P.HARD_STOPS), (P.PHOTO_HEADER, P.PHOTO_SUMMARY), (r"\ba\b|b", r"\bc[|)]d", r"\be\|f"))
+    texts = ["TOTAL $12.34", "  grand  total", "subtotal 3", "my visa", "visage", "Authorisation 3", "3 for $2", "for $2", "therefore $3", "save", "----", "ab", "xb", "c|d", "xc|d", "e|f", "xe|f", "card no", "^promotional price", "thank you", "POS 1", "a gst", "GST 1"]
+    for patterns in lists:
+        assert [bool(re.search("(?i)" + P.either(patterns), t)) for t in texts] == [any(re.search("(?i)" + p, t) for p in patterns) for t in texts]
+    # a word's edge is looked for once, not for each pattern
+    assert P.either(P.HARD_STOPS).count(r"|\b") == 1
