@@ -16,50 +16,61 @@ def alike(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(prefix, 0.8).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
+def _letters(word: Column) -> Column:
+    """The letters of a word as bits: an edit takes one of them and brings one at most."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda has, x: has.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.crc32(x.cast("binary")), F.lit(64)).cast("int"))))
+
+
 def alike_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """All pairs (a of left, b of right) of distinct words with alike(a, b) >= least, and s.
 
     Words within k edits: of k + 1 pieces of b, one (number j from 0) is in a as it is, with j edits before it and k - j behind it at most, so it stands no
     more than j places from where it stands in b, and no more than k - j counted from the end.  k follows from both lengths.  Beginnings meet
-    by equality.  Words are compared where they meet only; nulls and empty words meet nothing.
+    by equality.  Words are compared where they meet only, and only if neither has more than k letters that the other doesn't have; nulls and empty words meet nothing.
     """
     c = F.col
-    side = lambda df, o: cut(spread(df.select(c(o)).filter(f"{o} <> ''").distinct()).withColumn("n", F.length(o)))
+    side = lambda df, o: cut(spread(df.select(c(o)).filter(f"{o} <> ''").distinct()).withColumns({"n": F.length(o), f"{o}_has": _letters(c(o))}))
     both = (side(left, "a"), side(right, "b"))
-    a, b = (df.drop("n") for df in both)
+    a, b = both[0].select("a"), both[1].select("b")
     shortest, longest = both[1].agg(F.coalesce(F.min("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     least_of, most_of = F.ceil(least * c("n") - 1e-9).cast("int"), F.floor(c("n") / least + 1e-9).cast("int")
     edits = lambda n: F.floor((1 - least) * n + 1e-9).cast("int")
     at = lambda j: F.floor(j * c("nb") / (c("k") + 1)).cast("int")
     j, by, start = c("j"), c("n") - c("nb"), at(c("j"))
     low, high = F.greatest(least_of, F.lit(shortest)), F.least(most_of, F.lit(longest))
-    asks = both[0].filter(low <= high).select("a", "n", F.explode(F.sequence(low, high)).alias("nb")).withColumn("k", edits(F.greatest("n", "nb"))).withColumn("j", F.explode(F.sequence(F.lit(0), c("k"))))
+    asks = both[0].filter(low <= high).select("a", "a_has", "n", F.explode(F.sequence(low, high)).alias("nb")).withColumn("k", edits(F.greatest("n", "nb"))).withColumn("j", F.explode(F.sequence(F.lit(0), c("k"))))
     asks = asks.withColumns({"size": at(j + 1) - start, "low": F.greatest(start + F.greatest(-j, by - c("k") + j), F.lit(0)), "high": start + F.least(j, by + c("k") - j)})
     asks = asks.withColumn("high", F.least("high", c("n") - c("size"))).filter("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
-    asks = asks.select("a", "nb", "k", "j", c("a").substr(c("at") + 1, c("size")).alias("piece"))
-    gives = both[1].select("b", c("n").alias("nb"), F.explode(F.array_distinct(F.transform(F.sequence(least_of, most_of), lambda n: edits(F.greatest(n, c("n")))))).alias("k")).withColumn("j", F.explode(F.sequence(F.lit(0), c("k"))))
-    gives = gives.select("b", "nb", "k", "j", c("b").substr(start + 1, at(j + 1) - start).alias("piece"))
-    met = asks.join(gives, ["nb", "k", "j", "piece"]).select("a", "b")
+    asks = asks.select("a", "a_has", "nb", "k", "j", c("a").substr(c("at") + 1, c("size")).alias("piece"))
+    gives = both[1].select("b", "b_has", c("n").alias("nb"), F.explode(F.array_distinct(F.transform(F.sequence(least_of, most_of), lambda n: edits(F.greatest(n, c("n")))))).alias("k")).withColumn("j", F.explode(F.sequence(F.lit(0), c("k"))))
+    gives = gives.select("b", "b_has", "nb", "k", "j", c("b").substr(start + 1, at(j + 1) - start).alias("piece"))
+    more = lambda x, y: F.bit_count(c(x).bitwiseAND(F.bitwise_not(c(y)))) <= c("k")
+    met = asks.join(gives, ["nb", "k", "j", "piece"]).filter(more("a_has", "b_has") & more("b_has", "a_has")).select("a", "b")
     begins = lambda df, c, o: df.select(c, F.explode(F.transform(F.sequence(F.lit(4), F.greatest(F.length(c), F.lit(4))), lambda i: F.col(c).substr(F.lit(1), i))).alias(o))
     shorter = begins(a, "a", "b").filter("length(b) >= 4").join(b, "b").select("a", "b").unionByName(begins(b, "b", "a").filter("length(a) >= 4").join(a, "a").select("a", "b")) if least <= 0.8 else met.limit(0)
     # words may meet by several pieces: those that are alike are few
     return met.unionByName(shorter).withColumn("s", alike(F.col("a"), F.col("b"))).filter(F.col("s") >= least).distinct()
 
 
-def supported_pairs(lines: DataFrame, products: DataFrame, line: str, words: str, product: str, required: str, called: str, least: float, weak: float) -> DataFrame:
+def supported(lines: DataFrame, line: str, words: str, sought: DataFrame, least: float) -> DataFrame:
+    """The words (b of sought) that a word of a line is alike to (least), and how much by the best of these: line, b, s.  Written, as it is looked at in several ways."""
+    u = lines.select(line, F.explode(F.array_distinct(words)).alias("a"))
+    close = cut(alike_words(u, sought, least))
+    return cut(u.join(close, "a").groupBy(line, "b").agg(F.max("s").alias("s")))
+
+
+def supported_pairs(lines: DataFrame, products: DataFrame, line: str, words: str, product: str, required: str, called: str, least: float, weak: float, supports: DataFrame | None = None) -> DataFrame:
     """Pairs of line and product such that each of the product's required words is alike (least) to one of the line's words; a product without required words comes
     with the lines that have a word alike (weak) to one of those it is called by.
 
     A product looks for its lines by the required word, or the two of them together, that fewest lines have, and the other words are then looked up
-    in what the line supports; so a word that all lines have brings no pairs by itself.
+    in what the line supports; so a word that all lines have brings no pairs by itself.  What lines support (weak) may be given.
     """
     c = F.col
-    u = lines.select(line, F.explode(F.array_distinct(words)).alias("a"))
     v = products.select(product, F.explode(F.array_distinct(required)).alias("b"))
     w = products.filter(F.size(required) == 0).select(product, F.explode(F.array_distinct(called)).alias("b"))
-    close = cut(alike_words(u, v.select("b").unionByName(w.select("b")), weak))
-    # written, as what a line supports is looked at in four ways
-    supports = cut(u.join(close, "a").groupBy(line, "b").agg(F.max("s").alias("s")))
+    if supports is None:
+        supports = supported(lines, line, words, v.select("b").unionByName(w.select("b")), weak)
     loose = supports.join(w, "b").select(line, product).distinct()
     sure = supports.filter(F.col("s") >= least).select(line, "b")
     of_line = sure.groupBy(line).agg(F.sort_array(F.collect_set("b")).alias("has"))

@@ -130,3 +130,18 @@ def test_patterns_that_share_their_beginning_say_the_same(spark):
         assert [bool(re.search("(?i)" + P.either(patterns), t)) for t in texts] == [any(re.search("(?i)" + p, t) for p in patterns) for t in texts]
     # a word's edge is looked for once, not for each pattern
     assert P.either(P.HARD_STOPS).count(r"|\b") == 1
+
+
+def test_a_line_that_says_a_product_meets_no_products_of_merely_alike_words(spark):
+    import itertools
+
+    from basketry.functions import receipts as P
+
+    # each word is alike (0.75) to each other one, so that all names may be meant by all lines, but not against the name itself
+    names = [" ".join(x) for x in itertools.product(["mil" + x for x in "abcdef"], repeat=3)]
+    catalogue = spark.createDataFrame([(i, x, f"{i}g") for i, x in enumerate(names)], "id int, name string, pack string")
+    lines = catalogue.select(F.explode(F.array("name", F.concat_ws(" ", "name", "pack"))).alias("line"))
+    # names of the same words in another order are left
+    assert P.candidate_pairs(lines, catalogue)[2].count() < 0.1 * 2 * len(names) ** 2
+    got = {x.line: x.id for x in P.matched_lines(lines, catalogue).collect()}
+    assert [got[f"{x} {i}g"] for i, x in enumerate(names)] == list(range(len(names)))
