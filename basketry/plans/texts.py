@@ -12,7 +12,7 @@ from basketry.functions import text as T
 from basketry.operators import relational as R
 from basketry.plans.fixtures import items, spread, table
 from basketry.plans.grocery import _LIST, GOODS_SQL, goods
-from basketry.plans.prices import CHAINS_SQL, chain_baskets
+from basketry.plans.prices import CHAINS_SQL, whole_chain_baskets
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +70,8 @@ def meals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def basket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per list: the retailer that has everything for the least, what that costs, and what it saves against the dearest that has everything."""
-    whole = chain_baskets(spark, sf_dir).filter("missing = 0").withColumn("cents", F.round(F.col("total") * 100).cast("long"))
-    best = R.top_rows(whole, ["list_id"], [F.col("cents"), F.col("retailer")]).select("list_id", "retailer", "cents")
-    ends = whole.groupBy("list_id").agg(F.max("cents").alias("dearest"), F.count(F.lit(1)).alias("complete"))
-    return best.join(ends, "list_id").select("list_id", "retailer", (F.col("cents") / 100).alias("total"), ((F.col("dearest") - F.col("cents")) / 100).alias("saves"), "complete")
+    best = whole_chain_baskets(spark, sf_dir)
+    return best.select("list_id", "retailer", (F.col("cents") / 100).alias("total"), ((F.col("dearest") - F.col("cents")) / 100).alias("saves"), "complete")
 
 
 def split_shop(spark: SparkSession, sf_dir: str) -> DataFrame:
