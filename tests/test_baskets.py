@@ -73,3 +73,20 @@ def test_suppliers_of_one_name_count_once(spark, tmp_path):
     lines = {x.l_orderkey: x.n for x in spark.read.parquet(f"{at}/lineitem.parquet").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = queries()["basket_all"][0](spark, at).collect()
     assert all(x.matched == lines[x.list_id] and x.missing == 0 for x in whole) and {x.list_id: x.total for x in whole} == {x.list_id: x.total for x in got}
+
+
+def test_lists_are_taken_in_steps_of_some_prices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(4)
+    items = pa.array([{"list_id": r.randrange(30), "wanted": r.choice(["a", "b", "c", "none", None]), "times": r.randrange(3), "n": r.randrange(1, 3)} for _ in range(300)], pa.struct([("list_id", pa.int64()), ("wanted", pa.string()), ("times", pa.int64()), ("n", pa.int64())]))
+    price, has = np.arange(12).reshape(3, 4), np.array([[1, 0, 2, 1], [1, 1, 1, 0], [0, 0, 1, 1]], np.int8)
+    price = price * (has == 1)
+
+    def told():
+        return {i: x for ids, *rest in B._steps(items, pa.array(["a", "b", "c"]), price, has) for i, *x in zip(ids.to_pylist(), *(y.tolist() for y in rest), strict=True)}
+
+    at_once = told()
+    monkeypatch.setattr(B, "CELLS", 40)
+    assert told() == at_once and len(at_once) > 20
