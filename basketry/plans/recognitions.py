@@ -9,6 +9,8 @@ from basketry.operators.recognitions import PACK, chosen
 from basketry.plans.fixtures import table
 
 TODAY = "1998-01-01"
+#: Lines of orders in a part of them.
+LINES = 150_000
 
 
 def _recognitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -16,13 +18,16 @@ def _recognitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     three = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("candidate")
     # the place is the same for all candidates, so lines are dealt by receipt and numbered before they are repeated
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
+    bought = table(spark, sf_dir, "lineitem")
+    # parts that a task sorts in memory, three times repeated
+    parts = max(spark.sparkContext.defaultParallelism, bought.count() // LINES)
+    lines = bought.join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey")).repartition(parts, "l_orderkey")
     placed = lines.withColumn("place", F.row_number().over(w))
     rows = placed.select(c("l_orderkey").alias("receipt"), three, "place", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.concat_ws(" ", "p_name", F.concat(c("p_size").cast("string"), F.lit("g"))).alias("description"))
     explicit = (c("l_suppkey") + c("candidate")) % 3 == 0
     items = rows.select("receipt", "candidate", "place", "description", F.when(explicit, c("l_quantity")).otherwise(1.0).alias("quantity"), F.when((c("l_partkey") + c("candidate")) % 5 != 0, c("l_extendedprice")).alias("price"), explicit.alias("explicit"))
     # orders are dealt by receipt before they are repeated too
-    o, k = table(spark, sf_dir, "orders").repartition("o_orderkey"), c("o_orderkey")
+    o, k = table(spark, sf_dir, "orders").repartition(parts, "o_orderkey"), c("o_orderkey")
     heads = o.select(k.alias("receipt"), three, "o_totalprice", "o_orderdate", "o_orderpriority", "o_custkey")
     i = c("candidate")
     return heads.select("receipt", "candidate", F.when((c("o_custkey") + i) % 6 != 0, c("o_orderpriority")).alias("retailer"), F.when((c("receipt") + i) % 7 != 0, c("o_totalprice") + F.when((c("o_custkey") + i) % 4 == 0, 1.0).otherwise(0.0)).alias("total"), F.when((c("receipt") + i) % 3 != 0, F.date_add(F.to_date("o_orderdate"), F.when(c("o_custkey") % 5 == i, 1).otherwise(0))).alias("date"), ((c("o_custkey") + i * 20) % 101).alias("sure"), ((c("receipt") + i * 30) % 120 - 10).alias("ocr"), (c("receipt") % 90 - i * 10).alias("structure"), ((c("o_custkey") + i) % 3).alias("warnings"), ((c("receipt") + i) % 8 == 0).alias("miscounted")), items
